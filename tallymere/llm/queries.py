@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .language import op10_language_id
 from .sharding import op2_sharding
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .language import op10_language_id
+from .ngram_join import op1_ngram_jaccard_join
 from .sharding import op2_sharding
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sharding": op2_sharding,
     "op10_language_id": op10_language_id,
 }

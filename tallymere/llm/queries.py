@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP7_SQL, op7_benchmark_decontamination
 from .language import op10_language_id
+from .line_dedup import op4_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .sharding import op2_sharding
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sharding": op2_sharding,
+    "op4_line_dedup": op4_line_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_benchmark_decontamination": OP7_SQL,
+}

@@ -6,6 +6,7 @@ from .decontaminate import OP7_SQL, op7_benchmark_decontamination
 from .language import op10_language_id
 from .line_dedup import op4_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
+from .pieces import op6_sentencepiece
 from .sharding import op2_sharding
 from .url_filter import op9_url_filter
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sharding": op2_sharding,
     "op4_line_dedup": op4_line_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,

@@ -161,7 +161,7 @@ def _fits(x: str, y: str, percent: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Of documents (doc_id, text), one row each: doc_id, n_shingles, component_id.
+    """Of documents (doc_id, text), one row each: doc_id, n_shingles, component_id, text_code (xxhash64 of the text).
 
     Two rows link when 100 * intersection >= percent * union of their sets;
     component_id is the smallest doc_id that links reach, the row's own included.
@@ -207,10 +207,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = links.union(_verify(rest, nodes, docs, scratch, "rest", width, percent))
 
     joined = components(links, scratch, "all-components")
-    rows = sets.select("doc_id", "n", "node").join(sized(joined), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = sets.select("doc_id", "n", "node", "text_code").join(sized(joined), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    return rows.join(least, "component", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.join(least, "component", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "text_code")
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one of each group: its first by doc_id, then by hash of the text. Input columns are unchanged."""
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = scratch.save(near_duplicates(docs, width, percent).where("n_shingles > 0"), "found")
+    key = F.struct("doc_id", "text_code")
+    first = found.groupBy("component_id").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    # a group whose rows have no doc_id has no component_id; such rows stay
+    drop = found.join(first, "component_id").where(key != F.col("first")).select(F.col("doc_id").alias("drop_id"), F.col("text_code").alias("drop_code")).distinct()
+    drop = scratch.save(drop, "drop")
+    code = F.xxhash64("text")
+    left = docs.join(sized(drop), (docs["doc_id"] == F.col("drop_id")) & (code == F.col("drop_code")), "left_anti")
+    twice = found.groupBy("doc_id", "text_code").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("twice_id"), F.col("text_code").alias("twice_code"))
+    if twice.isEmpty():
+        return left
+    # rows that repeat a document whole
+    twice = sized(scratch.save(twice, "twice"))
+    same = (left["doc_id"] == F.col("twice_id")) & (code == F.col("twice_code"))
+    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_code")

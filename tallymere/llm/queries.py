@@ -8,11 +8,13 @@ from .line_dedup import op4_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .pieces import op6_sentencepiece
 from .sharding import op2_sharding
+from .topk import OP3_SQL, op3_exact_top_k
 from .url_filter import op9_url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sharding": op2_sharding,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_line_dedup": op4_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
@@ -21,5 +23,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_exact_top_k": OP3_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
 }

@@ -8,6 +8,7 @@ from .line_dedup import op4_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .pieces import op6_sentencepiece
 from .sharding import op2_sharding
+from .token_counts import op8_token_counts
 from .topk import OP3_SQL, op3_exact_top_k
 from .url_filter import op9_url_filter
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
 }

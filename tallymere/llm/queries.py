@@ -7,6 +7,7 @@ from .language import op10_language_id
 from .line_dedup import op4_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .pieces import op6_sentencepiece
+from .pii import op5_pii
 from .sharding import op2_sharding
 from .token_counts import op8_token_counts
 from .topk import OP3_SQL, op3_exact_top_k
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_line_dedup": op4_line_dedup,
+    "op5_pii": op5_pii,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_token_counts": op8_token_counts,

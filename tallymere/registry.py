@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import scalar_queries  # noqa: F401
+from .plans.catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

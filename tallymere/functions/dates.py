@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .base import let
 from .names import SPACES, trim
 
 # Month names by their first three letters.
@@ -28,14 +29,16 @@ def parse_date(c: Column) -> Column:
 
     Other texts give null.
     """
-    s = trim(c)
-    part = lambda pattern, i: F.nullif(F.regexp_extract(s, pattern, i), F.lit(""))
     iso = r"^(\d{4})-(\d{2})-(\d{2})(?:T.*)?$"
     worded = rf"^(\d{{1,4}})(?:-|[{SPACES}]+)([A-Za-z]{{3,}})(?:-|[{SPACES}]+)(\d{{4}})$"
-    as_int = lambda x: x.try_cast("int")
-    from_iso = _rolled(as_int(part(iso, 1)), as_int(part(iso, 2)), as_int(part(iso, 3)))
-    from_words = _rolled(as_int(part(worded, 3)), month_number(part(worded, 2)), as_int(part(worded, 1)))
-    return F.coalesce(from_iso, from_words)
+    whole = lambda s, pattern, i: F.regexp_extract(s, pattern, i).try_cast("int")
+
+    def parsed(s: Column) -> Column:
+        from_iso = _rolled(whole(s, iso, 1), whole(s, iso, 2), whole(s, iso, 3))
+        from_words = _rolled(whole(s, worded, 3), month_number(F.regexp_extract(s, worded, 2)), whole(s, worded, 1))
+        return F.when(s.rlike(iso), from_iso).when(s.rlike(worded), from_words)
+
+    return let(trim(c), parsed)
 
 
 def iso_date(c: Column) -> Column:
@@ -44,13 +47,17 @@ def iso_date(c: Column) -> Column:
 
 def event_date(c: Column) -> Column:
     """Strict parser of event dates: ISO as it stands with month 1-12 and day 1-31, or D-Mon-YYYY; else null."""
-    s = trim(c)
-    month, day = F.substring(s, 6, 2).try_cast("int"), F.substring(s, 9, 2).try_cast("int")
-    as_iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$") & month.between(1, 12) & day.between(1, 31), s)
     worded = r"^(\d{1,2})-([A-Za-z]{3})-(\d{4})$"
-    number, d = month_number(F.regexp_extract(s, worded, 2)), F.regexp_extract(s, worded, 1).try_cast("int")
-    as_words = F.when(s.rlike(worded) & number.isNotNull() & d.between(1, 31), F.concat(F.regexp_extract(s, worded, 3), F.lit("-"), F.lpad(number.cast("string"), 2, "0"), F.lit("-"), F.lpad(d.cast("string"), 2, "0")))
-    return F.coalesce(as_iso, as_words)
+
+    def parsed(s: Column) -> Column:
+        month, day = F.substring(s, 6, 2).try_cast("int"), F.substring(s, 9, 2).try_cast("int")
+        number, d = month_number(F.regexp_extract(s, worded, 2)), F.regexp_extract(s, worded, 1).try_cast("int")
+        spelt = F.format_string("%s-%02d-%02d", F.regexp_extract(s, worded, 3), number, d)
+        return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.when(month.between(1, 12) & day.between(1, 31), s)).when(
+            s.rlike(worded), F.when(number.isNotNull() & d.between(1, 31), spelt)
+        )
+
+    return let(trim(c), parsed)
 
 
 def epoch_date(ms: Column) -> Column:
@@ -69,19 +76,24 @@ def within_days(a: Column, b: Column, days: int = 30) -> Column:
     return F.coalesce(F.abs(F.datediff(parse_date(a), parse_date(b))) <= days, F.lit(False))
 
 
-def date_range(c: Column) -> tuple[Column, Column]:
-    """Start and end of a text such as ``05th - 09th Jun 2026``: the first month and year count for both days."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)(\d+)(st|nd|rd|th)", "$1")
-    month_year = F.regexp_extract(s, rf"([A-Za-z]{{3,9}}[{SPACES}]+\d{{4}})", 1)
-    days = F.regexp_extract_all(s, F.lit(r"(?<![A-Za-z0-9_])(\d{1,2})(?![A-Za-z0-9_])"), 1)
-    some = (month_year != "") & (F.size(days) > 0)
-    day = lambda i: iso_date(F.concat(F.element_at(days, i), F.lit(" "), month_year))
-    return F.when(some, day(1)).otherwise(iso_date(s)), F.when(some, day(-1)).otherwise(iso_date(s))
+def date_range(c: Column) -> Column:
+    """Struct of start and end of a text such as ``05th - 09th Jun 2026``: the first month and year count for both days."""
+
+    def parts(s: Column) -> Column:
+        month_year = F.regexp_extract(s, rf"([A-Za-z]{{3,9}}[{SPACES}]+\d{{4}})", 1)
+        days = F.regexp_extract_all(s, F.lit(r"(?<![A-Za-z0-9_])(\d{1,2})(?![A-Za-z0-9_])"), 1)
+        return F.struct(s.alias("s"), month_year.alias("month_year"), days.alias("days"))
+
+    def of(p: Column) -> Column:
+        some = (p["month_year"] != "") & (F.size(p["days"]) > 0)
+        day = lambda i: iso_date(F.when(some, F.concat_ws(" ", F.try_element_at(p["days"], F.lit(i)), p["month_year"])).otherwise(p["s"]))
+        return F.struct(day(1).alias("start"), day(-1).alias("end"))
+
+    return let(let(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)(\d+)(st|nd|rd|th)", "$1"), parts), of)
 
 
 def infer_status(start: Column, end: Column, listing: Column, today: str) -> Column:
     now = F.lit(today)
-    return (
-        F.when(listing < now, "listed").when(end < now, "closed").when(start > now, "upcoming")
-        .when((start <= now) & (now <= end), "open")
-    )
+    return let(F.struct(start.alias("s"), end.alias("e"), listing.alias("l")), lambda d: (
+        F.when(d["l"] < now, "listed").when(d["e"] < now, "closed").when(d["s"] > now, "upcoming").when((d["s"] <= now) & (now <= d["e"]), "open")
+    ))

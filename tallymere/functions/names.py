@@ -48,11 +48,11 @@ def slug(name: Column, suffix: Column | None = None) -> Column:
     base = F.lower(F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown")))
     base = F.regexp_replace(F.replace(base, F.lit("&"), F.lit(" and ")), f"{BOUNDARY}(?:{SLUG_WORDS}){BOUNDARY}", " ")
     base = F.regexp_replace(F.trim(F.regexp_replace(base, "[^a-z0-9]+", " ")), " +", "-")
-    out = F.when(base == "", "unknown-ipo").otherwise(F.concat(base, F.lit("-ipo")))
+    out = F.concat(F.coalesce(F.nullif(base, F.lit("")), F.lit("unknown")), F.lit("-ipo"))
     if suffix is None:
         return out
-    tail = F.regexp_replace(F.lower(suffix), "[^a-z0-9]+", "")
-    return F.when(F.coalesce(suffix, F.lit("")) == "", out).otherwise(F.concat(out, F.lit("-"), tail))
+    tail = F.concat(F.lit("-"), F.regexp_replace(F.lower(suffix), "[^a-z0-9]+", ""))
+    return F.concat(out, F.when(F.coalesce(suffix, F.lit("")) == "", "").otherwise(tail))
 
 
 def bare_url(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .base import let
 from .names import SPACES, nonzero, trim
 
 NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
@@ -31,26 +32,34 @@ def half_up(x: Column, scale: int = 100) -> Column:
 
 def _strict(c: Column) -> Column:
     """A whole text as a number: '' is 0, anything else must be a number."""
-    return F.when(trim(c) == "", F.lit(0.0)).otherwise(trim(c).try_cast("double"))
+    return let(trim(c), lambda s: F.when(s == "", F.lit(0.0)).otherwise(s.try_cast("double")))
+
+
+def _band(low: Column, high: Column) -> Column:
+    return F.struct(low.cast("double").alias("minimum"), high.cast("double").alias("maximum"))
 
 
 def price_range(c: Column) -> Column:
     """Struct of minimum and maximum of a text such as ``Rs.326 to Rs.343``."""
-    clean = trim(F.regexp_replace(F.regexp_replace(c, r"(?i)Rs\.?", ""), ",", ""))
-    parts = F.split(clean, rf"(?i)[{SPACES}]+to[{SPACES}]+|[{SPACES}]*-[{SPACES}]*")
-    single = F.when(_strict(clean) > 0, _strict(clean))
-    two = F.size(parts) == 2
-    none = F.lit(None).cast("double")
-    low = F.when(F.coalesce(clean, F.lit("")) == "", none).when(two, _strict(F.get(parts, 0))).otherwise(single)
-    high = F.when(F.coalesce(clean, F.lit("")) == "", none).when(two, _strict(F.get(parts, 1))).otherwise(single)
-    return F.struct(low.alias("minimum"), high.alias("maximum"))
+    pattern = rf"(?i)[{SPACES}]+to[{SPACES}]+|[{SPACES}]*-[{SPACES}]*"
+    none = F.lit(None)
+
+    def of(parts: Column) -> Column:
+        single = let(_strict(F.get(parts, 0)), lambda x: F.when(x > 0, x))
+        return F.when(F.size(parts) == 2, _band(_strict(F.get(parts, 0)), _strict(F.get(parts, 1)))).when(F.size(parts) == 1, let(single, lambda x: _band(x, x))).otherwise(_band(none, none))
+
+    clean = trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)Rs\.?", ""), ",", ""))
+    return let(F.split(clean, pattern), of)
 
 
 def price_band(c: Column) -> Column:
     """Struct of minimum and maximum: the first two runs of digits and commas."""
-    runs = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d[\d,]*)"), 1)
-    number = lambda i: F.replace(F.get(runs, i), F.lit(","), F.lit("")).try_cast("double")
-    return F.struct(number(0).alias("minimum"), F.coalesce(number(1), number(0)).alias("maximum"))
+
+    def of(runs: Column) -> Column:
+        number = lambda i: F.replace(F.get(runs, i), F.lit(","), F.lit("")).try_cast("double")
+        return _band(number(0), F.coalesce(number(1), number(0)))
+
+    return let(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d[\d,]*)"), 1), of)
 
 
 def premium_percentage(given: Column, premium: Column, price: Column) -> Column:

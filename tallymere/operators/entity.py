@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.base import let
 from ..functions.names import bare_url, filled, first_filled, nonzero, slug
 from ..functions.numbers import half_up
 from ..schemas import GROWW, NSE, UPSTOX, ZERODHA
@@ -41,25 +42,29 @@ def documents_map() -> Column:
         (F.coalesce(filled(c("_z.docType")), F.lit("drhp")), c("_z.prospectusUrl"), "zerodha"),
     ]
     entries = F.array(*[F.struct(kind.alias("kind"), filled(url).alias("url"), F.lit(source).alias("source")) for kind, url, source in offers])
-    entries = F.filter(entries, lambda e: e["url"].isNotNull())
-    first = lambda kind: F.get(F.filter(entries, lambda e: e["kind"] == kind), 0)
-    kinds = F.filter(F.array(F.lit("rhp"), F.lit("drhp"), F.lit("final")), lambda k: F.exists(entries, lambda e: e["kind"] == k))
-    value = lambda e: F.struct(
-        bare_url(e["url"]).alias("url"), e["source"].alias("source"), F.lit(None).cast("string").alias("status"),
-        F.lit(None).cast("string").alias("markdown_url"), F.lit(None).cast("array<string>").alias("page_hashes"),
-    )
-    return F.map_from_entries(F.transform(kinds, lambda k: F.struct(k, value(first(k)))))
+
+    def mapped(some: Column) -> Column:
+        value = lambda e: F.struct(
+            bare_url(e["url"]).alias("url"), e["source"].alias("source"), F.lit(None).cast("string").alias("status"),
+            F.lit(None).cast("string").alias("markdown_url"), F.lit(None).cast("array<string>").alias("page_hashes"),
+        )
+        first = lambda kind: let(F.get(F.filter(some, lambda e: e["kind"] == kind), 0), value)
+        kinds = F.array_distinct(F.transform(some, lambda e: e["kind"]))
+        return F.map_from_entries(F.transform(kinds, lambda k: F.struct(k, first(k))))
+
+    return let(F.filter(entries, lambda e: e["url"].isNotNull()), mapped)
 
 
 def subscription(rates: Column) -> Column:
     """Pivot of rates by category; of a repeated category the last counts, and nothing known gives null."""
+    names = {"retail": "RETAIL", "qualified": "QIB", "nii": "NII", "total": "TOTAL"}
 
-    def of(category: str) -> Column:
-        own = F.filter(rates, lambda r: F.upper(F.coalesce(r["category"], F.lit(""))) == category)
-        return half_up(F.element_at(own, -1)["subscriptionRate"])
+    def of(all_rates: Column, category: str) -> Column:
+        own = F.filter(all_rates, lambda r: F.upper(F.coalesce(r["category"], F.lit(""))) == category)
+        return half_up(F.try_element_at(own, F.lit(-1))["subscriptionRate"])
 
-    known = F.coalesce(*[of(x) for x in ("RETAIL", "QIB", "NII", "TOTAL")]).isNotNull()
-    return F.when(known, F.struct(of("RETAIL").alias("retail"), of("QIB").alias("qualified"), of("NII").alias("nii"), of("TOTAL").alias("total")))
+    pivot = let(rates, lambda all_rates: F.struct(*[of(all_rates, category).alias(name) for name, category in names.items()]))
+    return let(pivot, lambda s: F.when(F.coalesce(*[s[name] for name in names]).isNotNull(), s))
 
 
 def sources_meta(now: str) -> Column:

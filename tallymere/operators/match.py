@@ -191,8 +191,8 @@ def deduplicate(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = links.union(pairs.where("x < y").select(value("name", "x").alias("a"), value("name", "y").alias("b")))
     groups = components(links, scratch)
     placed = scratch.save(keyed.withColumn("node", own).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"), "placed")
-    names = placed.where("name <> ''").select("name", "component").distinct()
-    scored = pairs.join(names, pairs.x == names.name).select("component", "x", "y", "score")
+    names = placed.where("name <> ''").select(F.col("name").alias("x"), F.col("component").alias("part")).distinct()
+    scored = pairs.join(names, "x").select("part", "x", "y", "score")
 
     def fold(left: pd.DataFrame, right: pd.DataFrame) -> tuple[list[dict], list[dict]]:
         rows = left.astype(object).where(left.notna(), None).to_dict("records")
@@ -206,7 +206,7 @@ def deduplicate(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     def misses(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(fold(left, right)[1], columns=["reason", "score", "first_ord", "ord"])
 
-    grouped = placed.groupBy("component").cogroup(scored.groupBy("component"))
+    grouped = placed.groupBy("component").cogroup(scored.groupBy("part"))
     return grouped.applyInPandas(entities, MASTER), grouped.applyInPandas(misses, BORDERLINE)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.base import let
 from ..functions.dates import event_date
 from ..functions.names import filled
 from ..schemas import EVENT, NSE, TIMELINE_EVENTS, UPSTOX
@@ -28,15 +29,18 @@ def timeline() -> Column:
     c = F.col
     opened = _first_date(c("_u.timeline.application_start_date"), c("_u.bidding_start_date"), c("_n.issueStartDate"), c("_n.ipoStartDate"), c("bidding_start_date"))
     closed = _first_date(c("_u.timeline.application_end_date"), c("_u.bidding_end_date"), c("_n.issueEndDate"), c("_n.ipoEndDate"))
-    filed = F.coalesce(event_date(c("bidding_start_date")), opened)
     some = lambda *urls: F.coalesce(*[filled(u) for u in urls]).isNotNull()
-    return F.struct(
-        F.when(some(c("document_urls.drhp"), c("_u.drhp_url"), c("_n.metaInfo.drhpUrl"), c("_n.drhpUrl")), filed).alias("drhp_available"),
-        F.when(some(c("document_urls.rhp"), c("_u.rhp_url"), c("_n.metaInfo.rhpUrl"), c("_n.rhpUrl")), filed).alias("rhp_available"),
-        opened.alias("open"), closed.alias("close"),
+    has_drhp = some(c("document_urls.drhp"), c("_u.drhp_url"), c("_n.metaInfo.drhpUrl"), c("_n.drhpUrl"))
+    has_rhp = some(c("document_urls.rhp"), c("_u.rhp_url"), c("_n.metaInfo.rhpUrl"), c("_n.rhpUrl"))
+    dates = F.struct(
+        event_date(c("bidding_start_date")).alias("started"), opened.alias("open"), closed.alias("close"),
         _first_date(c("_u.timeline.allotment_date"), c("_u.timeline.allotment_start_date")).alias("allotment"),
         _first_date(c("_u.timeline.listing_date"), c("_n.listingDate"), c("listing_date")).alias("listing"),
     )
+    return let(dates, lambda d: F.struct(
+        F.when(has_drhp, F.coalesce(d["started"], d["open"])).alias("drhp_available"), F.when(has_rhp, F.coalesce(d["started"], d["open"])).alias("rhp_available"),
+        d["open"].alias("open"), d["close"].alias("close"), d["allotment"].alias("allotment"), d["listing"].alias("listing"),
+    ))
 
 
 def event_source(event: str) -> Column:
@@ -55,12 +59,12 @@ def event_source(event: str) -> Column:
 
 def append_history(history: Column, events: Column, now: str) -> Column:
     """History with the events of the timeline that it doesn't hold yet (by status and date); nothing is changed or removed."""
-    before = F.coalesce(history, F.array().cast(f"array<{EVENT}>"))
     fresh = F.array(*[
         F.struct(F.lit(e).alias("status"), events[e].alias("date"), event_source(e).alias("source"), F.lit(now).alias("detected_at")) for e in TIMELINE_EVENTS
     ])
-    known = lambda e: F.exists(before, lambda h: (h["status"] == e["status"]) & (h["date"] == e["date"]))
-    return F.concat(before, F.filter(fresh, lambda e: e["date"].isNotNull() & ~known(e)))
+    known = lambda before, e: F.exists(before, lambda h: (h["status"] == e["status"]) & (h["date"] == e["date"]))
+    grown = lambda before: F.concat(before, F.filter(fresh, lambda e: e["date"].isNotNull() & ~known(before, e)))
+    return let(F.coalesce(history, F.array().cast(f"array<{EVENT}>")), grown)
 
 
 def with_timeline(records: DataFrame, now: str) -> DataFrame:

@@ -121,8 +121,8 @@ def q_price_band(spark, sf_dir):
 def q_date_range(spark, sf_dir):
     d = F.col("o_orderdate")
     s = F.when(F.col("o_orderkey") % 9 == 0, "To be announced").otherwise(F.concat(F.date_format(d, "dd"), F.lit("th – 28th "), F.date_format(d, "MMM yyyy")))
-    start, end = dates.date_range(s)
-    return table(spark, sf_dir, "orders").select("o_orderkey", start.alias("start_date"), end.alias("end_date"))
+    both = table(spark, sf_dir, "orders").select("o_orderkey", dates.date_range(s).alias("r"))
+    return both.select("o_orderkey", F.col("r.start").alias("start_date"), F.col("r.end").alias("end_date"))
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity AS q FROM lineitem)

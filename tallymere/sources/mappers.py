@@ -97,12 +97,12 @@ def groww(rows: DataFrame) -> DataFrame:
 
 def zerodha(rows: DataFrame, today: str) -> DataFrame:
     p = lambda name: F.col(f"p.{name}")
-    start, end = dates.date_range(p("biddingRange"))
-    listing = dates.iso_date(p("listingDateText"))
+    rows = _parsed(rows, ZERODHA).withColumns({"_range": dates.date_range(F.col("p.biddingRange")), "_listing": dates.iso_date(F.col("p.listingDateText"))})
+    start, end, listing = F.col("_range.start"), F.col("_range.end"), F.col("_listing")
     url = names.filled(p("prospectusUrl"))
     kind = names.document_class(url)
     return _record(
-        _parsed(rows, ZERODHA), "zerodha",
+        rows, "zerodha",
         isin=F.lit(None).cast("string"), symbol=names.filled(p("symbol")), company_name=names.filled(p("companyName")),
         status=dates.infer_status(start, end, listing, today), bidding_start_date=start, price_band=numbers.price_band(p("priceText")),
         document_urls=_urls(F.when(kind.isin("rhp", "final"), url), F.when(kind == "drhp", url)), listing_date=listing,

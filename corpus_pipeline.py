@@ -50,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether they decode to the text: doc_id, lang, source, n_pieces, ids, round_trip."""
     vocabulary = pieces.Pieces.load()
-    out = pieces.decode(pieces.encode(docs.select(*COLUMNS), vocabulary), vocabulary)
+    out = pieces.encode(docs.select(*COLUMNS), vocabulary, decoded=True)
     same = F.col("decoded").eqNullSafe(F.replace("row.text", F.lit(pieces.SPACE), F.lit(" ")))
     return out.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
 

@@ -27,11 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texthash import blocks, mix
+from .texthash import blocks, bounded_batches, by_blocks, mix
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 3 << 18
 
 # First code points of script ranges, with the script that starts there.
 SCRIPT_STARTS = [
@@ -232,10 +232,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in blocks(pc.struct_field(batch["row"], text), BLOCK_BYTES):
-                yield label(batch.slice(lo, hi - lo))
+        return by_blocks(batches, lambda batch: pc.struct_field(batch["row"], text), label, BLOCK_BYTES)
 
+    bounded_batches(docs.sparkSession)
     row = packed.schema["row"].dataType.simpleString()
     return packed.mapInArrow(run, f"row {row}, lang_pred string, score double, spans array<struct<lang:string,start:bigint,end:bigint>>")
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .graph import components, sized
 from .scratch import Scratch
-from .texthash import blocks, mix, shingle_sets
+from .texthash import blocks, bounded_batches, by_blocks, mix, shingle_sets
 
 SLOTS = 1 << 19
 BINS = 32
@@ -90,9 +90,7 @@ def _documents_as_sets(docs: DataFrame, counts: np.ndarray, width: int, percent:
         ], ["doc_id", "text_code", "n", "node", "prefix", "tail"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in blocks(batch["text"]):
-                yield convert(batch.slice(lo, hi - lo))
+        return by_blocks(batches, lambda batch: batch["text"], convert)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_code"), "text").mapInArrow(run, schema)
 
@@ -135,20 +133,20 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratc
     for side in "ab":
         pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}text")), side)
 
+    def linked(part: pa.RecordBatch) -> pa.RecordBatch:
+        good = np.zeros(part.num_rows, bool)
+        (a, aends), last = shingle_sets(part["atext"], width), None
+        for i in range(part.num_rows):
+            if last is None or part["b"][i].as_py() != last:
+                last = part["b"][i].as_py()
+                b = shingle_sets(part["btext"].slice(i, 1), width)[0]
+            own = a[aends[i] : aends[i + 1]]
+            common = len(np.intersect1d(own, b, assume_unique=True))
+            good[i] = 100 * common >= percent * (len(own) + len(b) - common)
+        return pa.RecordBatch.from_pydict({"a": part["a"].filter(pa.array(good)), "b": part["b"].filter(pa.array(good))})
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in blocks(batch["atext"]):
-                part = batch.slice(lo, hi - lo)
-                good = np.zeros(part.num_rows, bool)
-                (a, aends), last = shingle_sets(part["atext"], width), None
-                for i in range(part.num_rows):
-                    if last is None or part["b"][i].as_py() != last:
-                        last = part["b"][i].as_py()
-                        b = shingle_sets(part["btext"].slice(i, 1), width)[0]
-                    own = a[aends[i] : aends[i + 1]]
-                    common = len(np.intersect1d(own, b, assume_unique=True))
-                    good[i] = 100 * common >= percent * (len(own) + len(b) - common)
-                yield pa.RecordBatch.from_pydict({"a": part["a"].filter(pa.array(good)), "b": part["b"].filter(pa.array(good))})
+        return by_blocks(batches, lambda batch: batch["atext"], linked)
 
     return scratch.save(pairs.mapInArrow(check, "a long, b long"), f"{name}-links")
 
@@ -167,6 +165,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component_id is the smallest doc_id that links reach, the row's own included.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     counts = shingle_counts(docs, width)
     sets = scratch.save(_documents_as_sets(docs, counts, width, percent).withColumn("rid", F.monotonically_increasing_id()), "sets")

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texthash import blocks, mix
+from .texthash import bounded_batches, by_blocks, mix
 
 SPACE = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -229,25 +229,29 @@ class Pieces:
         return [raw[lo + (raw[lo : lo + 1] == b" ") : hi].decode(errors="replace") for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """Columns row (struct of the input's columns), ids (array<int>)."""
+def encode(docs: DataFrame, pieces: Pieces, text: str = "text", decoded: bool = False) -> DataFrame:
+    """Columns row (struct of the input's columns), ids (array<int>), and with ``decoded`` what the ids decode to, in the same pass."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
+    def convert(part: pa.RecordBatch) -> pa.RecordBatch:
+        own = pc.struct_field(part["row"], text)
+        ids, offsets = shared.value.encode(own)
+        out = {"row": part["row"], "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=own.is_null())}
+        if decoded:
+            out["decoded"] = pa.array(shared.value.decode(ids, offsets), pa.string(), mask=own.is_null().to_numpy(zero_copy_only=False))
+        return pa.RecordBatch.from_pydict(out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in blocks(pc.struct_field(batch["row"], text)):
-                part = batch.slice(lo, hi - lo)
-                own = pc.struct_field(part["row"], text)
-                ids, offsets = shared.value.encode(own)
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=own.is_null())
-                yield pa.RecordBatch.from_arrays([part["row"], lists], ["row", "ids"])
+        return by_blocks(batches, lambda batch: pc.struct_field(batch["row"], text), convert)
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>")
+    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
-    """Adds ``decoded`` to columns row and ids."""
+    """Adds ``decoded`` to a column ids; the others are kept in the struct ``row``."""
+    bounded_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,15 +261,15 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
                 ids = part["ids"]
                 offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
                 texts = shared.value.decode(ids.flatten().to_numpy(), offsets)
-                nulls = ids.is_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([part["row"], ids, pa.array(texts, pa.string(), mask=nulls)], ["row", "ids", "decoded"])
+                yield pa.RecordBatch.from_pydict({"row": part["row"], "ids": ids, "decoded": pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))})
 
-    return encoded.select("row", "ids").mapInArrow(run, f"row {encoded.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
+    packed = encoded.select(F.struct(*[F.col(f"`{c}`") for c in encoded.columns if c != "ids"]).alias("row"), "ids")
+    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     pieces = Pieces.load()
-    out = decode(encode(docs, pieces), pieces)
+    out = encode(docs, pieces, decoded=True)
     same = F.col("decoded").eqNullSafe(F.replace("row.text", F.lit(SPACE), F.lit(" ")))
     return out.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_code"), same.alias("round_trip"))

@@ -60,6 +60,31 @@ def blocks(text: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]
         start = stop
 
 
+def by_blocks(batches: Iterator[pa.RecordBatch], text_of, convert, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """``convert`` of each block of rows; at the end of the partition, memory that the allocators hold goes back to the system."""
+    for batch in batches:
+        for lo, hi in blocks(text_of(batch), limit):
+            yield convert(batch.slice(lo, hi - lo))
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
+def _trim() -> None:
+    """Workers live on between tasks; where the C library can, it gives back what they no longer use."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def bounded_batches(spark, rows: int = 2000) -> None:
+    """Lower the session's rows in an Arrow batch, unless they are lower already: whole texts make wide rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def buffer_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, each followed by a separator, and the offsets of the texts."""
     data = [b"" if x is None else x for x in text.cast(pa.large_binary()).to_pylist()]

@@ -99,7 +99,7 @@ def count_tokens(stream: DataFrame, scratch: Scratch, separator: int = END_OF_DO
                 yield pa.RecordBatch.from_arrays([batch["file"].slice(i, 1), batch["no"].slice(i, 1), pa.array([len(tokens)], pa.int64()), pa.array([found], pa.list_(pa.int64()))], ["file", "no", "n", "found"])
 
     searched = scratch.save(stream.select("file", "no", "data").mapInArrow(run, f"file {file_type}, no long, n long, found array<long>"), "searched")
-    small = searched.select("file", "no", F.floor(F.col("no") / SEGMENT).alias("segment"), "n", F.size("found").cast("long").alias("k"), F.element_at("found", -1).alias("last"))
+    small = searched.select("file", "no", F.floor(F.col("no") / SEGMENT).alias("segment"), "n", F.size("found").cast("long").alias("k"), F.try_element_at("found", F.lit(-1)).alias("last"))
 
     inside = Window.partitionBy("file", "segment").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")

@@ -61,21 +61,25 @@ def cover_tree(points: np.ndarray) -> tuple[Node, np.ndarray]:
         if hi - lo <= LEAF or node.radius == 0:
             return node
         scale = min(scale, node.radius) * SHRINK
-        rest, groups, singles = own, [], []
+        rest, groups, singles, alone = own, [], [], 0
         while len(rest):
+            if alone == LEAF:  # no structure left at this scale
+                singles.append(rest)
+                break
             away = np.sqrt(((points[rest] - points[rest[0]]) ** 2).sum(1))
             near = away <= scale
-            (groups if near.sum() > LEAF // 4 else singles).append(rest[near])
+            small = near.sum() <= LEAF // 4
+            alone = alone + 1 if small else 0
+            (singles if small else groups).append(rest[near])
             rest = rest[~near]
-        if not groups:
-            return build(lo, hi, centre, scale)  # nothing is that close: descend a level
-        if singles:  # small groups stay together, as leaves of the parent's size
+        if singles:  # points that are far from most others share leaves, by distance from the first of them
             flat = np.concatenate(singles)
+            flat = flat[np.argsort(((points[flat] - points[flat[0]]) ** 2).sum(1), kind="stable")]
             groups += [flat[i : i + LEAF] for i in range(0, len(flat), LEAF)]
         at = lo
         order[lo:hi] = np.concatenate(groups)
         for group in groups:
-            node.children.append(build(at, at + len(group), points[group[0]], scale))
+            node.children.append(build(at, at + len(group), points[group].mean(0), scale))
             at += len(group)
         return node
 

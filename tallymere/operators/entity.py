@@ -73,8 +73,8 @@ def sources_meta(now: str) -> Column:
     return F.transform_values("raw_sources", lambda k, v: F.struct(F.lit(now).alias("last_fetched"), url(v).alias("url")))
 
 
-def to_entities(records: DataFrame, now: str) -> DataFrame:
-    """Merged records (with timeline and status_history) to entities, by each field's precedence of sources."""
+def to_entities(records: DataFrame, now: str, *keep: str) -> DataFrame:
+    """Merged records (with timeline and status_history) to entities, by each field's precedence of sources; columns ``keep`` stay."""
     c = F.col
     d = "_g.detail"
     lot = F.coalesce(c("_u.lot_size"), c(f"{d}.lotSize"))
@@ -99,7 +99,7 @@ def to_entities(records: DataFrame, now: str) -> DataFrame:
         first_filled(c(f"{d}.registrar")).alias("registrar"),
         F.lit(None).cast("struct<value:double,percentage:double,source:string,updated_at:string>").alias("gmp"),
         subscription(c(f"{d}.subscriptionRates")).alias("subscription"), documents_map().alias("documents"),
-        sources_meta(now).alias("sources"), "raw_sources", "status_history", "timeline", F.lit(now).alias("updated_at"),
+        sources_meta(now).alias("sources"), "raw_sources", "status_history", "timeline", F.lit(now).alias("updated_at"), *keep,
     )
 
 

@@ -6,10 +6,16 @@ incoming rows; nothing is changed in place.
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import filled
+from ..plans.graph import components
+from ..plans.scratch import Scratch
 
 WATCHED = ("status", "price_band", "lot_size", "issue_size", "listing_date", "bidding_start", "bidding_end", "issue_price", "documents", "subscription")
 MAPS = ("documents",)
@@ -71,14 +77,94 @@ def merge_into(old: str, new: str, columns: list[str], texts: set[str]) -> Colum
     return F.struct(*parts)
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """New state, and actions (slug, action, changes), of a batch of entities with at most one row for each stored entity and each new slug.
-
-    Without a change in a watched field only ``sources`` is written.  Keys that repeat in a batch are merged before, as the batch's own entities.
+def ordered_upsert(stored: list[dict], batch: list[dict], now: str, texts: set[str]) -> tuple[list[dict], list[tuple[str, str, list[str]]]]:
+    """New state and actions of one group of entities (dicts without null fields), each row seeing what the rows before it wrote."""
+    state, actions = [dict(s) for s in sorted(stored, key=lambda s: s["slug"])], []
+    for row in batch:
+        own = next((s for key in ("isin", "symbol") if row.get(key) for s in state if s.get(key) == row[key]), None)
+        if own is None and row.get("company_name"):
+            own = next((s for s in state if s["slug"] == row["slug"]), None)
+        if own is None:
+            slug = row["slug"]
+            if any(s["slug"] == slug for s in state):
+                tail = row.get("symbol") or (row.get("isin") or "")[-4:]
+                slug = f"{slug}-{re.sub('[^a-z0-9]+', '', tail.lower())}"
+            state.append({**row, "slug": slug, "created_at": now})
+            actions.append((slug, "new", []))
+            continue
+        merged = {**own, **{k: v for k, v in row.items() if k not in ("slug", "gmp", "created_at", "documents", "sources", "raw_sources") and not (k in texts and v == "")}}
+        for key in ("sources", "raw_sources"):
+            if key in own or key in row:
+                merged[key] = {**own.get(key, {}), **row.get(key, {})}
+        old, new = own.get("documents", {}), row.get("documents", {})
+        merged["documents"] = {kind: {**old.get(kind, {}), **{k: v for k, v in new.get(kind, {}).items() if v != ""}} for kind in {**old, **new}}
+        if "gmp" in own or "gmp" in row:
+            merged["gmp"] = own.get("gmp", row.get("gmp"))
+        changes = [f for f in WATCHED if (merged.get(f) or None if f in MAPS else merged.get(f)) != (own.get(f) or None if f in MAPS else own.get(f))]
+        if changes:
+            own.update(merged, updated_at=now)
+        elif "sources" in merged:
+            own["sources"] = merged["sources"]
+        actions.append((own["slug"], "updated" if changes else "unchanged", changes))
+    return state, actions
+
+
+def _crowded(stored: DataFrame, incoming: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
+    """Incoming rows (_row) and stored entities (slug) by group (part), of groups that hold several incoming rows, or one without a name."""
+    value = lambda kind, c: F.xxhash64(F.lit(kind), F.col(c))
+    keys = F.array(*[F.when(F.coalesce(F.col(c), F.lit("")) != "", value(c, c)) for c in ("isin", "symbol", "slug")])
+    linked = lambda frame, kind, own: frame.select(value(kind, own).alias("a"), F.explode(keys).alias("b")).where("b is not null")
+    new = scratch.save(linked(incoming, "row", "_row"), "incoming-keys")
+    old = linked(stored, "stored", "slug")
+    met = old.join(new.select("b").distinct(), "b", "left_semi").select("a").distinct()
+    groups = scratch.save(components(new.union(old.join(met, "a", "left_semi")), scratch, "upsert"), "groups")
+    nameless = (F.coalesce(F.col("company_name"), F.lit("")) == "").alias("nameless")
+    rows = incoming.select("_row", nameless, value("row", "_row").alias("node")).join(groups, "node")
+    crowded = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max("nameless").alias("nameless")).where("n > 1 or nameless").select("component")
+    crowded = scratch.save(crowded, "crowded")
+    if crowded.isEmpty():
+        return None
+    part = F.col("component").alias("part")
+    ours = rows.join(crowded, "component").select("_row", part)
+    theirs = stored.select("slug", value("stored", "slug").alias("node")).join(groups, "node").join(crowded, "component").select("slug", part)
+    return ours, theirs
+
+
+def upsert(stored: DataFrame, incoming: DataFrame, now: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """New state, and actions (slug, action, changes), of a batch of entities.
+
+    Without a change in a watched field only ``sources`` is written.  Rows that share no identifier, symbol or slug with another row
+    of the batch, directly or through stored entities, meet the store by joins.  The few that do are taken in turn inside
+    their group, by the column ``order`` (else by slug), and each sees what those before it wrote.  A row without a
+    name never takes a stored slug; its own gets its symbol or the end of its isin as a suffix.
     """
+    scratch = Scratch(stored.sparkSession, "upsert")
     columns = stored.columns
     texts = {f.name for f in stored.schema.fields if f.dataType.simpleString() == "string"}
-    fresh = incoming.withColumn("created_at", F.lit(now))
+    batch = scratch.save(incoming.withColumn("created_at", F.lit(now)).withColumn("_row", F.monotonically_increasing_id()), "batch")
+    crowded = _crowded(stored, batch, scratch)
+    if crowded is None:
+        return _joined_upsert(stored, batch, columns, texts, now)
+    ours, theirs = crowded
+    alone = _joined_upsert(stored.join(theirs, "slug", "left_anti").select(*columns), batch.join(ours, "_row", "left_anti"), columns, texts, now)
+
+    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = left.sort_values(["place", "_row"], kind="stable")["entity"] if len(left) else []
+        state, actions = ordered_upsert([json.loads(x) for x in right["entity"]], [json.loads(x) for x in rows], now, texts)
+        out = [(s["slug"], None, None, json.dumps(s)) for s in state] + [(slug, action, changes, None) for slug, action, changes in actions]
+        return pd.DataFrame(out, columns=["slug", "action", "changes", "entity"])
+
+    entity = F.to_json(F.struct(*columns)).alias("entity")
+    left = batch.join(ours, "_row").select("part", "_row", F.col(order or "slug").alias("place"), entity)
+    right = stored.join(theirs, "slug").select("part", entity)
+    folded = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(fold, "slug string, action string, changes array<string>, entity string")
+    folded = scratch.save(folded, "folded")
+    state = folded.where("entity is not null").select(F.from_json("entity", stored.schema).alias("s")).select("s.*")
+    return alone[0].unionByName(state), alone[1].unionByName(folded.where("action is not null").select("slug", "action", "changes"))
+
+
+def _joined_upsert(stored: DataFrame, fresh: DataFrame, columns: list[str], texts: set[str], now: str) -> tuple[DataFrame, DataFrame]:
+    """As upsert, of rows that each have an entity or a new slug of their own."""
     found = resolve(fresh, stored).select(F.coalesce("stored_slug", "slug").alias("key"), F.struct(*[F.col(c) for c in columns]).alias("new"))
     old = stored.select(F.col("slug").alias("key"), F.struct(*columns).alias("old"))
     both = old.join(found, "key", "full").withColumn("merged", F.when(F.col("old").isNull(), F.col("new")).when(F.col("new").isNotNull(), merge_into("old", "new", columns, texts)))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extraction, listing, series, store
+from ..operators import extraction, listing, scrape, series, store
+from . import feeds
 from .catalog import NOW, query, table
 from .record_queries import entities
 from .scratch import Scratch
@@ -187,6 +188,15 @@ def q_upsert_actions(spark, sf_dir):
     return store.upsert(old, batch, NOW)[1].select("slug", "action", F.array_join("changes", ",").alias("changes"))
 
 
+@query()
+def q_scrape_run(spark, sf_dir):
+    """A whole run into an empty store, as cards."""
+    from ..operators.entity import to_cards
+
+    run = scrape.run_feeds(feeds.feeds(spark, sf_dir), None, NOW, feeds.TODAY)
+    return to_cards(run.state).select("slug", "company_name", "isin", "symbol", "status", "issue_type", "bidding_start", "bidding_end", "listing_date", F.array_join(F.array_sort("sources"), ",").alias("sources"))
+
+
 @query()
 def q_scrape_tally(spark, sf_dir):
     old, batch = _run(spark, sf_dir)

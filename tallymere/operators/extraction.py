@@ -61,6 +61,15 @@ def contents_lines(page: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(title(x).alias("title"), number(x).alias("page")))
 
 
+def page_offset(lines: DataFrame, pages: DataFrame, key: str, head: int = 300) -> DataFrame:
+    """Difference of page index and printed number for each document, from its earliest title in print that opens a page.
+
+    ``lines``: key, title, page (as printed); ``pages``: key, index, text. Documents without such a page are absent.
+    """
+    met = lines.join(pages, key).where(F.contains(F.upper(F.substring("text", 1, head)), F.upper("title")))
+    return met.groupBy(key).agg(F.min(F.struct("page", "index")).alias("m")).select(key, (F.col("m.index") - F.col("m.page")).cast("long").alias("offset"))
+
+
 def section_verified(section: str, text: Column) -> Column:
     out = F.lit(True)
     for word in ANCHORS.get(section, []):

@@ -119,6 +119,19 @@ def historical_run(entities: DataFrame, candles: DataFrame, status: str = "liste
     return blocks, targets.join(blocks, "slug", "left_anti").select("slug", F.lit("no candle data").alias("reason"))
 
 
+def with_historical(entities: DataFrame, blocks: DataFrame, now: str) -> DataFrame:
+    """Entities with the listing blocks (slug, then the block's columns) written in over former ones."""
+    new = blocks.select("slug", F.struct(*[c for c in blocks.columns if c != "slug"]).alias("_block"))
+    out = entities.join(new, "slug", "left")
+    block = F.coalesce("_block", "historical") if "historical" in entities.columns else F.col("_block")
+    return out.withColumns({"historical": block, "updated_at": F.when(F.col("_block").isNotNull(), F.lit(now)).otherwise(F.col("updated_at"))}).drop("_block")
+
+
+def health(entities: DataFrame) -> DataFrame:
+    """One row: status, ipos."""
+    return entities.agg(F.count(F.lit(1)).alias("ipos")).select(F.lit("ok").alias("status"), "ipos")
+
+
 def latest_of(frame: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.col(order).desc())
     return frame.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -248,3 +248,12 @@ def contained_premium(entries: DataFrame, entities: DataFrame) -> DataFrame:
     hit = (F.col("g") == F.col("n")) | ((F.length("g") >= 4) & F.contains("n", "g")) | ((F.length("n") >= 4) & F.contains("g", "n"))
     met = e.select("g").distinct().join(i, hit).groupBy("g").agg(F.min("first").alias("first"))
     return e.join(met, "g").select("ord", F.col("first.slug").alias("slug"))
+
+
+def crawl_premium(entries: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Snapshots of entities (slug, current, percent, id) by containing names, the last of several entries on one; and one row of updated and skipped entries."""
+    met = contained_premium(entries, entities).withColumnRenamed("slug", "_slug")
+    all_entries = entries.join(met, "ord", "left")
+    last = F.max_by(F.struct(F.col("gmp").alias("current"), F.col("gmp_percent").alias("percent"), "id"), "ord")
+    snapshots = all_entries.where("_slug is not null").groupBy(F.col("_slug").alias("slug")).agg(last.alias("s")).select("slug", "s.*")
+    return snapshots, all_entries.agg(F.count("_slug").alias("updated"), F.count_if(F.col("_slug").isNull()).alias("skipped"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import opening_gain
+from ..functions.dates import premium_date
+from ..functions.numbers import opening_gain, prefix_or_zero
 
 
 def historical(candles: DataFrame, key: str, issue_price: Column) -> DataFrame:
@@ -48,3 +49,23 @@ def new_points(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 def latest_of_day(points: DataFrame) -> DataFrame:
     w = Window.partitionBy("slug", "date").orderBy(F.col("ord").desc())
     return points.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def premium_series(rows: DataFrame) -> DataFrame:
+    """Points (id, date, gmp) from a premium feed's daily rows (id, gmp_date, gmp as texts). Rows without a readable date go; an unreadable premium is 0."""
+    return rows.select("id", premium_date(F.col("gmp_date")).alias("date"), prefix_or_zero(F.col("gmp")).alias("gmp")).where("date is not null")
+
+
+def candle_of_day(candles: DataFrame, key: str, day: str) -> DataFrame:
+    """The first candle (by ord) of each key on a day."""
+    one = candles.where(F.col("date") == day)
+    rest = [c for c in candles.columns if c not in (key, "ord")]
+    return one.groupBy(key).agg(F.min_by(F.struct(*rest), "ord").alias("c")).select(key, "c.*")
+
+
+def candle_actions(records: DataFrame, candles: DataFrame) -> DataFrame:
+    """Of each record (slug, status, isin): updated if it is listed, has an isin, and candles came for it; else skipped."""
+    known = candles.select("isin").distinct().withColumn("_came", F.lit(True))
+    wanted = (F.col("status") == "listed") & (F.coalesce(F.col("isin"), F.lit("")) != "")
+    came = records.join(known, "isin", "left")
+    return came.select("slug", F.when(wanted & F.col("_came"), "updated").otherwise("skipped").alias("action"))

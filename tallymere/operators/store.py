@@ -215,6 +215,11 @@ def last_jobs(jobs: DataFrame, most: int = 20, kind: str | None = None, status:
     return jobs.drop("logs", "params").orderBy(F.col("created_at").desc(), "job_id").limit(min(100, most))
 
 
+def get_job(jobs: DataFrame, job_id) -> DataFrame:
+    """One job with its log; no row for an unknown identifier."""
+    return jobs.where(F.col("job_id") == F.lit(job_id))
+
+
 def latest(frame: DataFrame, key: str, *order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
     return frame.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

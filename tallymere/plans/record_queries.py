@@ -106,17 +106,15 @@ def q_match_symbol(spark, sf_dir):
     return match.match_on(r.where("src = 'groww'"), r.where("src = 'zerodha'"), names.symbol_key(F.col("symbol")), "key").select("ord", "r_ord")
 
 
-ENTRIES = "SELECT i AS ord, name AS company_name FROM base WHERE i % 10 = 3"
-
-
-@query(f"""WITH RECURSIVE {feeds.BASE}, e AS (SELECT i AS ord, {key_sql('name', names.PREMIUM_WORDS)} AS n FROM base WHERE i % 10 = 3), t AS (SELECT i, {key_sql('name', names.PREMIUM_WORDS)} AS k FROM base WHERE i % 10 = 4),
+@query(f"""WITH RECURSIVE {feeds.BASE}, e AS (SELECT i AS ord, {key_sql('name', names.PREMIUM_WORDS)} AS n FROM base WHERE i % 2 = 0), t AS (SELECT i, {key_sql('name', names.PREMIUM_WORDS)} AS k FROM base WHERE i % 2 = 1),
 p AS (SELECT row_number() OVER () AS id, n AS a, k AS b FROM (SELECT DISTINCT n, k FROM e, t WHERE n <> '' AND k <> '')), {JW},
 r AS (SELECT t.i, e.ord, score, row_number() OVER (PARTITION BY t.i ORDER BY (e.n = t.k) DESC, score DESC, e.ord) AS rk FROM t JOIN jw ON jw.b = t.k JOIN e ON e.n = jw.a WHERE score >= 0.92)
 SELECT i, ord, round(score, 9) AS score FROM r WHERE rk = 1""")
 def q_gmp_best_match(spark, sf_dir):
+    """Records of even number are the snapshot's entries, the others the entities."""
     rows = feeds.base(spark, sf_dir)
-    entries = rows.where("i % 10 = 3").select(F.col("i").alias("ord"), F.col("name").alias("company_name"))
-    ours = rows.where("i % 10 = 4").select("i", F.col("name").alias("company_name"))
+    entries = rows.where("i % 2 = 0").select(F.col("i").alias("ord"), F.col("name").alias("company_name"))
+    ours = rows.where("i % 2 = 1").select("i", F.col("name").alias("company_name"))
     return match.best_premium(ours, entries).select("i", "ord", F.round("score", 9).alias("score"))
 
 

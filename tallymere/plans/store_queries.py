@@ -254,11 +254,12 @@ def q_delete_cascade(spark, sf_dir):
     return count(left, "entities").union(count(points, "history"))
 
 
-@query("SELECT p_partkey, least(p_size % 8 + 1, 5)::BIGINT AS n, 'new' AS last, CASE WHEN p_size % 8 + 1 > 5 THEN p_size % 8 - 4 + 1 ELSE 1 END::BIGINT AS first FROM part WHERE p_size % 8 > 0")
+@query("SELECT p_partkey, least(p_size % 8 + 1, 5)::BIGINT AS n, 'new' AS last, CASE WHEN p_size % 8 > 4 THEN p_size % 8 - 3 WHEN p_size % 8 > 0 THEN 1 END::BIGINT AS first FROM part")
 def q_error_log(spark, sf_dir):
-    before = F.transform(F.sequence(F.lit(1), F.col("p_size") % 8), lambda x: x.cast("string"))
+    k = F.col("p_size") % 8
+    before = F.when(k > 0, F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda x: x.cast("string")))
     grown = store.append_error(before, F.lit("new"))
-    return table(spark, sf_dir, "part").where("p_size % 8 > 0").select("p_partkey", grown.alias("e")).select("p_partkey", F.size("e").cast("long").alias("n"), F.element_at("e", -1).alias("last"), F.get("e", 0).cast("long").alias("first"))
+    return table(spark, sf_dir, "part").select("p_partkey", grown.alias("e")).select("p_partkey", F.size("e").cast("long").alias("n"), F.element_at("e", -1).alias("last"), F.get("e", F.lit(0)).try_cast("long").alias("first"))
 
 
 # --- document extraction -----------------------------------------------------------------------------------------

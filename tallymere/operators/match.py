@@ -63,31 +63,48 @@ def possible_pairs(x: list[str], y: list[str], least: float) -> tuple[np.ndarray
     return np.nonzero(jaro + 0.1 * _prefix(x, y) * (1 - jaro) >= least - 1e-9)
 
 
-def similar_names(names: DataFrame, scratch: Scratch, least: float = NEAR, block: int = 2000) -> DataFrame:
-    """Of distinct non-empty names (column name), pairs x, y with score of (x, y) at least ``least``, in both directions.
-
-    Names are dealt into blocks of about ``block``, sorted by length, and each pair of blocks is one group of at most two blocks.
-    """
-    n = names.count()
-    parts = max(1, math.ceil(n / block))
-    dealt = names.select("name", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int").alias("b"))
-    left = dealt.select("name", "b", F.explode(F.sequence(F.col("b"), F.lit(parts - 1))).alias("other")).select(F.col("b").alias("i"), F.col("other").alias("j"), F.col("name").alias("x"))
-    right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), F.col("name").alias("y"))
+def _met(left: DataFrame, right: DataFrame, least: float, ordered: bool) -> DataFrame:
+    """Possible pairs x, y of two dealt sides (i, j, x) and (i, j, y); ``ordered``: each pair once where a block meets itself."""
 
     def pairs(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         x, y = sorted(a["x"].to_pylist()), sorted(b["y"].to_pylist())
         if not x or not y:
             return pa.table({"x": pa.array([], pa.string()), "y": pa.array([], pa.string())})
         i, j = possible_pairs(x, y, least)
-        if key[0].as_py() == key[1].as_py():
+        if ordered and key[0].as_py() == key[1].as_py():
             i, j = i[x_before := i < j], j[x_before]
         return pa.table({"x": pa.array(x).take(pa.array(i)), "y": pa.array(y).take(pa.array(j))})
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(pairs, "x string, y string")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(pairs, "x string, y string")
+
+
+def _dealt(names: DataFrame, parts: int) -> DataFrame:
+    return names.select("name", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int").alias("b"))
+
+
+def similar_names(names: DataFrame, scratch: Scratch, least: float = NEAR, block: int = 2000) -> DataFrame:
+    """Of distinct non-empty names (column name), pairs x, y with score of (x, y) at least ``least``, in both directions.
+
+    Names are dealt into blocks of about ``block``, and each pair of blocks is one group of at most two blocks.
+    """
+    parts = max(1, math.ceil(names.count() / block))
+    dealt = _dealt(names, parts)
+    left = dealt.select("name", "b", F.explode(F.sequence(F.col("b"), F.lit(parts - 1))).alias("other")).select(F.col("b").alias("i"), F.col("other").alias("j"), F.col("name").alias("x"))
+    right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), F.col("name").alias("y"))
+    found = _met(left, right, least, True)
     both = found.union(found.select("y", "x"))
     return scratch.save(both.withColumn("score", jaro_winkler(F.col("x"), F.col("y"))).where(F.col("score") >= least), "similar-names")
 
 
+def names_between(names: DataFrame, others: DataFrame, least: float, block: int = 2000) -> DataFrame:
+    """Of two sets of distinct non-empty names (column name), pairs x, y with score of (y, x) at least ``least``; a block of each side is one group."""
+    parts, other_parts = (max(1, math.ceil(side.count() / block)) for side in (names, others))
+    left = _dealt(names, parts).select(F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(other_parts - 1))).alias("j"), F.col("name").alias("x"))
+    right = _dealt(others, other_parts).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i"), F.col("b").alias("j"), F.col("name").alias("y"))
+    met = _met(left, right, least, False).repartition("x", "y")  # blocks are few, scores are the work
+    return met.withColumn("score", jaro_winkler(F.col("y"), F.col("x"))).where(F.col("score") >= least)
+
+
 # --- ordered merge -----------------------------------------------------------------------------------------------
 
 MASTER = (
@@ -220,24 +237,22 @@ def match_on(left: DataFrame, right: DataFrame, key: Column, name: str) -> DataF
     return a.join(b, name)
 
 
-def best_premium(entities: DataFrame, entries: DataFrame, least: float = PREMIUM, most_entries: int = 100_000) -> DataFrame:
+def best_premium(entities: DataFrame, entries: DataFrame, least: float = PREMIUM) -> DataFrame:
     """Of each entity (slug, company_name) the best entry (ord, company_name, ...): an equal name first, else the highest score of at least ``least``, ties to the earliest.
 
-    Equal names meet by an equi-join.  Only the rest is scored, against the snapshot's distinct names, which is broadcast while it has at most ``most_entries``.
+    Equal names meet by an equi-join.  Only the other distinct names are scored, in blocks, behind the bound from shared characters.
     """
+    scratch = Scratch(entities.sparkSession, "premium")
     ours = entities.withColumn("k", premium_key(F.col("company_name"))).where("k <> ''")
     theirs = entries.withColumn("n", premium_key(F.col("company_name"))).where("n <> ''").drop("company_name")
-    first = theirs.withColumn("_r", F.row_number().over(Window.partitionBy("n").orderBy("ord"))).where("_r = 1").drop("_r")
+    first = scratch.save(theirs.withColumn("_r", F.row_number().over(Window.partitionBy("n").orderBy("ord"))).where("_r = 1").drop("_r"), "entries")
     keys = ours.select("k").distinct()
     exact = keys.join(first, keys.k == first.n).withColumn("score", F.lit(1.0))
-    rest = keys.join(first, keys.k == first.n, "left_anti")
-    few = first.limit(most_entries + 1).count() <= most_entries
-    # a snapshot in blocks against the names: lengths that can't reach the score don't meet
-    size = lambda c: F.length(c).cast("double")
-    reach = (F.least(size("k"), size("n")) / F.greatest(size("k"), size("n")) + 2) / 3
-    scored = rest.join(F.broadcast(first) if few else first, reach + 0.4 * (1 - reach) >= least - 1e-9)
-    scored = scored.withColumn("score", jaro_winkler(F.col("n"), F.col("k"))).where(F.col("score") >= least)
-    best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy(F.col("score").desc(), "ord"))).where("_r = 1").drop("_r")
+    rest = scratch.save(keys.join(first, keys.k == first.n, "left_anti"), "rest")
+    near = names_between(rest.select(F.col("k").alias("name")), first.select(F.col("n").alias("name")), least)
+    scored = near.select(F.col("x").alias("k"), F.col("y").alias("_y"), "score").join(first, F.col("_y") == F.col("n")).drop("_y")
+    place = F.struct(F.col("score"), (-F.col("ord")).alias("early"))
+    best = scored.groupBy("k").agg(F.max_by(F.struct(*[c for c in scored.columns if c != "k"]), place).alias("s")).select("k", "s.*")
     return ours.join(exact.unionByName(best).drop("n"), "k").drop("k")
 
 

@@ -91,8 +91,8 @@ def similar_names(names: DataFrame, scratch: Scratch, least: float = NEAR, block
     dealt = _dealt(names, parts)
     left = dealt.select("name", "b", F.explode(F.sequence(F.col("b"), F.lit(parts - 1))).alias("other")).select(F.col("b").alias("i"), F.col("other").alias("j"), F.col("name").alias("x"))
     right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), F.col("name").alias("y"))
-    found = _met(left, right, least, True)
-    both = found.union(found.select("y", "x"))
+    found = _met(left, right, least, True).repartition("x", "y")  # blocks are few, scores are the work
+    both = found.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p")).select("p.*")
     return scratch.save(both.withColumn("score", jaro_winkler(F.col("x"), F.col("y"))).where(F.col("score") >= least), "similar-names")
 
 

@@ -109,3 +109,24 @@ def test_premium_matches(spark):
 def test_candidates_by_keys(spark):
     a = spark.createDataFrame([(1, "X"), (2, ""), (3, None)], "ord long, isin string")
     assert [tuple(r) for r in match.match_on(a, a, F.col("isin"), "key").select("ord", "r_ord").collect()] == [(1, 1)]
+
+
+def test_names_between_blocks_lose_no_pair(spark):
+    from tallymere.functions.similarity import jaro_winkler
+
+    left = [("alpha beta",), ("alpha bets",), ("gamma",), ("delta one",), ("x",), ("omega foods",)]
+    right = [("alpha beta",), ("alpha betas",), ("gama",), ("delta on",), ("y",), ("foods omega",)]
+    a, b = spark.createDataFrame(left, "name string"), spark.createDataFrame(right, "name string")
+    got = {(r["x"], r["y"]) for r in match.names_between(a, b, 0.9, block=2).collect()}
+    pairs = spark.createDataFrame([(x[0], y[0]) for x in left for y in right], "x string, y string")
+    want = {(r["x"], r["y"]) for r in pairs.where(jaro_winkler(F.col("y"), F.col("x")) >= 0.9).collect()}
+    assert got == want and ("alpha bets", "alpha beta") in got
+    assert match.names_between(a.limit(0), b, 0.9).count() == 0
+
+
+def test_crawl_takes_the_last_entry(spark):
+    entries = spark.createDataFrame([(1, 11, "Alpha", 1.0, 2.0), (2, 12, "Alpha Foods Ltd", 3.0, None), (3, 13, "Nobody", 4.0, 5.0)], "ord long, id long, company_name string, gmp double, gmp_percent double")
+    ours = spark.createDataFrame([(1, "a", "Alpha Foods Limited"), (2, "b", "Alpha Foods India")], "ord long, slug string, company_name string")
+    snapshots, counts = match.crawl_premium(entries, ours)
+    assert [tuple(r) for r in snapshots.select("slug", "current", "percent", "id").collect()] == [("a", 3.0, None, 12)]
+    assert tuple(counts.first()) == (2, 1)

@@ -30,8 +30,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated chunks of lines; a document of which no word is left goes."""
-    out = line_dedup.remove_repeated_chunks(docs.select(*COLUMNS))
+    """Removes repeated passages of lines; a document of which no word is left goes."""
+    out = line_dedup.remove_repeated_passages(docs.select(*COLUMNS))
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
     return out.select("row.doc_id", "text", "row.lang", "row.source", changed.alias("n_chars"))

@@ -1,21 +1,26 @@
-"""Line deduplication over content-defined chunks of lines.
+"""Line deduplication: every repeated passage of two or more lines goes whole.
 
-A rolling (cyclic-shift) hash over the hashes of the last lines decides where
-a chunk ends, so an inserted line moves only the boundaries next to it and a
-passage that two texts share is mostly cut alike in both.  A chunk of two or
-more lines that occurs again, anywhere, is removed except at its first place
-(least doc_id, then text, then position), after its bytes have been compared
-with the first occurrence.
+A passage repeats if each pair of neighbouring lines in it occurred before.
+So the pairs are the unit: a pair of lines that occurs again, anywhere, loses
+both lines except at its first place (least doc_id, then text, then position),
+after its bytes have been compared with the first occurrence.  What stands
+around a passage plays no part, and of overlapping passages all lines go that
+are in one of them.  Each line that goes is left in some earlier place.
 
-All steps are DataFrame expressions.  Only hashes of chunks are shuffled, the
-bytes of chunks that repeat, and the decisions; documents meet the decisions
-by a broadcast while these are few, else by a shuffle.
+All steps are DataFrame expressions.  Hashes of all pairs are shuffled, the
+bytes of pairs that repeat, and the decisions; documents meet these by a
+broadcast while they are few, else by a shuffle.
+
+``remove_repeated_chunks`` is the weaker form on content-defined chunks: a
+rolling (cyclic-shift) hash over the hashes of the last lines decides where a
+chunk ends, and a chunk of two or more lines that occurs again goes.  It
+shuffles fewer hashes, but misses most passages of 2 to 5 lines.
 
 Defined results: a null text stays null with 0 lines; an empty text is one
 empty line; rows with equal doc_id and equal text are one occurrence and get
-the same result, as do rows with a null doc_id and equal text; a chunk whose
-hash is equal but whose bytes differ stays.  Input columns are kept inside the
-struct ``row``.
+the same result, as do rows with a null doc_id and equal text; a pair or chunk
+whose hash is equal but whose bytes differ stays; a single line between lines
+that are its own stays.  Input columns are kept inside the struct ``row``.
 """
 
 from __future__ import annotations
@@ -92,6 +97,57 @@ def remove_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 3) -
     )
 
 
+def _pairs(text, combine):
+    """Array of ``combine`` of each two neighbouring lines of a text, in order."""
+
+    def pairs(lines):
+        n = F.size(lines) - 1
+        return F.zip_with(F.slice(lines, 1, n), F.slice(lines, 2, n), combine)
+
+    return let(F.split(text, "\n", -1), pairs)
+
+
+def _met(docs: DataFrame, listed: DataFrame, name: str, how: str) -> DataFrame:
+    """Documents (doc_id, text_code) with the array ``name`` of what ``listed`` (doc_id, text_code, name) has for them."""
+    few = listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    lists = listed.groupBy(F.col("doc_id").alias("its_id"), F.col("text_code").alias("its_code")).agg(F.collect_set(name).alias(name))
+    met = docs.join(F.broadcast(lists) if few else lists, (docs.text_code == F.col("its_code")) & docs.doc_id.eqNullSafe(F.col("its_id")), how)
+    return met.drop("its_id", "its_code")
+
+
+def remove_repeated_passages(docs: DataFrame) -> DataFrame:
+    """Columns row (struct of the input's columns), text (what stays), n_lines, n_removed (lines)."""
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_code"))
+    light = packed.where("text is not null").select("doc_id", "text_code", "text")
+    place = F.struct("doc_id", "text_code", "no")
+
+    pairs = light.select("doc_id", "text_code", F.posexplode(_pairs(F.col("text"), lambda a, b: F.xxhash64(a, b))).alias("no", "code"))
+    first = pairs.groupBy("code").agg(F.count(F.lit(1)).alias("k"), F.min(place).alias("first")).where("k > 1").select("code", "first")
+    first = sized(scratch.save(first, "first"))
+    found = pairs.join(first, "code").select("doc_id", "text_code", F.struct("no", "code", place.eqNullSafe(F.col("first")).alias("is_first")).alias("found"))
+    found = scratch.save(found, "found")
+
+    spelt = let(_pairs(F.col("text"), lambda a, b: F.concat(a, F.lit("\n"), b)), lambda of: F.transform("found", lambda x: x.withField("pair", F.get(of, x["no"]))))
+    repeats = _met(light, found, "found", "inner").select("doc_id", "text_code", F.explode(spelt).alias("x")).select("doc_id", "text_code", "x.*")
+    repeats = scratch.save(repeats, "repeats")
+    kept = repeats.where("is_first").groupBy("code").agg(F.first("pair").alias("kept"))
+    gone = repeats.where("not is_first").join(kept, "code").where("pair = kept").select("doc_id", "text_code", "no")
+    gone = scratch.save(gone, "gone")
+
+    lines = F.split("text", "\n", -1)
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+
+    def without(c):
+        stays = F.array_except(F.sequence(F.lit(0), F.size(c) - 1), F.concat("no", F.transform("no", lambda k: k + 1)))
+        return let(stays, lambda s: F.struct(F.array_join(F.transform(s, lambda k: F.get(c, k)), "\n").alias("text"), (F.size(c) - F.size(s)).cast("long").alias("lost")))
+
+    left = F.when(F.col("no").isNotNull(), let(lines, without))
+    return _met(packed, gone, "no", "left").select("row", "text", n.alias("n_lines"), left.alias("left")).select(
+        "row", F.when(F.col("left").isNull(), F.col("text")).otherwise(F.col("left.text")).alias("text"), "n_lines", F.coalesce("left.lost", F.lit(0).cast("long")).alias("n_removed")
+    )
+
+
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeated_chunks(docs).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
+    return remove_repeated_passages(docs).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")

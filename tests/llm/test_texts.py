@@ -149,6 +149,47 @@ def test_line_dedup_edges(spark, docs, none):
     assert line_dedup.remove_repeated_chunks(none).count() == 0
 
 
+def without_passages(rows):
+    """Plain version: each pair of neighbouring lines stays only at its first place."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        gone = set()
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            if first.setdefault(pair, (i, k)) != (i, k):
+                gone |= {k, k + 1}
+        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
+    return out
+
+
+def test_line_dedup_removes_planted_passages_whole(spark):
+    """Passages of 2 to 6 lines between lines of their own: all lines go everywhere but at the first place."""
+    r = random.Random(11)
+    passages = [[f"passage {p} line {k}" for k in range(2 + p % 5)] for p in range(40)]
+    rows, seen, expected = [], set(), {}
+    for i in range(200):
+        p = r.randrange(40)
+        before, after = [f"before {i} {k}" for k in range(r.randint(0, 3))], [f"after {i} {k}" for k in range(r.randint(0, 3))]
+        rows.append((i, "\n".join(before + passages[p] + after)))
+        expected[i] = "\n".join(before + ([] if p in seen else passages[p]) + after)
+        seen.add(p)
+    out = line_dedup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["row"]["doc_id"]: r["text"] for r in out} == expected
+
+
+def test_line_dedup_equals_plain_version(spark, docs, none):
+    r = random.Random(12)
+    rows = [(i, "\n".join(r.choice(["", "a", "b", "c", "d", *[f"own {i} {k}" for k in range(4)]]) for _ in range(r.randint(1, 14)))) for i in range(120)]
+    rows += [(200, "x\nx\nx\nx"), (201, "one"), (202, "one"), (203, "")]
+    out = line_dedup.remove_repeated_passages(spark.createDataFrame(rows + rows[:3], "doc_id long, text string").repartition(4)).collect()
+    expected = without_passages(rows)
+    assert len(out) == len(rows) + 3
+    assert all((r["text"], r["n_lines"], r["n_removed"]) == expected[r["row"]["doc_id"]] for r in out)
+    out = {(r["row"]["doc_id"], r["row"]["text"]): r for r in line_dedup.remove_repeated_passages(docs).collect()}
+    assert out[3, None]["text"] is None and out[3, None]["n_lines"] == 0 and out[4, ""]["text"] == "" and out[4, ""]["n_lines"] == 1
+    assert line_dedup.remove_repeated_passages(none).count() == 0
+
+
 def brute_contamination(docs, items):
     out = []
     for i, text in docs:

@@ -1,10 +1,12 @@
 """URL filter: rules for hosts and paths, and gradient-boosted trees on lexical features for the rest.
 
 The longest rule that fits an url decides; where none fits, boosted trees
-trained on labelled urls do.  Features: lengths, depth, digit ratio, character
+trained on the urls that a rule labels do; urls without a rule teach nothing.
+Features: lengths, depth, digit ratio, character
 entropy, counts of parameters, labels and hyphens, and for the last two labels
 of the host how many labelled urls have them and the smoothed share of those
-that is blocked.
+that is blocked.  In training that share leaves out the urls of the row's own
+fold of hosts, so no label tells on itself.
 
 Everything is DataFrame expressions and MLlib.  Training takes at most about
 ``sample_rows`` labelled rows, chosen by a hash of the url.  The statistics of
@@ -12,8 +14,8 @@ suffixes are broadcast while their counted rows are few.
 
 Defined results: a null url, or one without ``://``, has empty host and path,
 fits no rule and is judged on its features (all zero for null); with no
-labelled url all others are allowed, with one class all others get it;
-repeated rows get equal verdicts.  Input columns are kept inside the struct
+labelled url, or labels of one class, nothing can be learnt and all others are
+allowed; repeated rows get equal verdicts.  Input columns are kept inside the struct
 ``row``.
 """
 
@@ -34,6 +36,8 @@ from .scratch import Scratch
 
 FEATURES = ["url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "host_labels", "hyphens", "suffix_count", "suffix_blocked"]
 SMOOTHING = 5.0
+#: Folds of hosts, for the shares of blocked urls that training sees.
+FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -105,12 +109,12 @@ class UrlModel:
     def blocked(self, urls: DataFrame) -> DataFrame:
         """Adds ``blocked`` (boolean) to rows with columns url, host and path."""
         if self.trees is None:
-            return urls.withColumn("blocked", F.lit(self.prior > 0.5))
-        ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(self._met(with_features(urls)))
+            return urls.withColumn("blocked", F.lit(False))
+        ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(self.met(with_features(urls), self.suffixes, ["suffix"]))
         return self.trees.transform(ready).select(*urls.columns, (F.col("prediction") > 0.5).alias("blocked"))
 
-    def _met(self, rows: DataFrame) -> DataFrame:
-        met = rows.join(sized(self.suffixes), "suffix", "left")
+    def met(self, rows: DataFrame, statistics: DataFrame, by: list[str]) -> DataFrame:
+        met = rows.join(sized(statistics), by, "left")
         return met.withColumns({"suffix_count": F.log1p(F.coalesce("suffix_count", F.lit(0))), "suffix_blocked": F.coalesce("suffix_blocked", F.lit(self.prior))})
 
 
@@ -118,17 +122,20 @@ def train(labelled: DataFrame, sample_rows: int = 20_000, rounds: int = 10, dept
     """Learn from rows with columns url, host, path and label (1: block)."""
     scratch = Scratch(labelled.sparkSession, "url-model")
     rows = with_features(labelled.select("url", "host", "path", F.col("label").cast("double").alias("label")).where("label is not null"))
-    suffixes = rows.groupBy("suffix").agg(F.count(F.lit(1)).alias("suffix_count"), F.sum("label").alias("blocked"))
-    suffixes = scratch.save(suffixes, "suffixes")
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)))
+    folds = scratch.save(rows.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")), "folds")
+    suffixes = scratch.save(folds.groupBy("suffix").agg(F.sum("n").alias("suffix_count"), F.sum("bad").alias("blocked")), "suffixes")
     n, blocked = suffixes.agg(F.coalesce(F.sum("suffix_count"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
     prior = blocked / n if n else 0.0
     if prior in (0.0, 1.0):
         return UrlModel(None, None, prior)
-    suffixes = suffixes.select("suffix", "suffix_count", ((F.col("blocked") + SMOOTHING * prior) / (F.col("suffix_count") + SMOOTHING)).alias("suffix_blocked"))
+    share = lambda bad, of: ((bad + SMOOTHING * prior) / (of + SMOOTHING)).alias("suffix_blocked")
+    others = folds.join(suffixes, "suffix").select("suffix", "fold", "suffix_count", share(F.col("blocked") - F.col("bad"), F.col("suffix_count") - F.col("n")))
+    suffixes = suffixes.select("suffix", "suffix_count", share(F.col("blocked"), F.col("suffix_count")))
     model = UrlModel(None, suffixes, prior)
     if n > sample_rows:
         rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
-    sample = scratch.save(model._met(rows).select("label", *FEATURES), "sample")
+    sample = scratch.save(model.met(rows, others, ["suffix", "fold"]).select("label", *FEATURES), "sample")
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)
     model.trees = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed).fit(ready)
     return model
@@ -137,9 +144,9 @@ def train(labelled: DataFrame, sample_rows: int = 20_000, rounds: int = 10, dept
 def judge(urls: DataFrame, rules: Sequence[Rule], sample_rows: int = 20_000) -> DataFrame:
     """Columns row (struct of the input's columns), host, path, rule, verdict.
 
-    The rules give the labels: what they block is learnt as bad, and all else,
-    known to be good or not known to be bad, as good.  Labels of blocked urls
-    alone would make every url of a suffix with one blocked folder bad.
+    The rules give the labels: what they block is learnt as bad, what they
+    allow as good, and an url without a rule is only judged.  So where all
+    labelled urls of a suffix have one label, its other urls mostly get it too.
     """
     actions = {r.target: r.action for r in rules}
     packed = urls.select(F.struct(*[F.col(f"`{c}`") for c in urls.columns]).alias("row"), F.col("url"))
@@ -147,7 +154,7 @@ def judge(urls: DataFrame, rules: Sequence[Rule], sample_rows: int = 20_000) ->
     placed = placed.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
     action = F.coalesce(*[F.when(F.col("rule") == target, F.lit(a)) for target, a in actions.items()], F.lit(None).cast("string"))
     placed = placed.withColumn("action", action)
-    label = F.coalesce((F.col("action") == "block").cast("double"), F.lit(0.0))
+    label = (F.col("action") == "block").cast("double")
     model = train(placed.where("url is not null").withColumn("label", label), sample_rows)
     verdict = F.coalesce("action", F.when(F.col("blocked"), "block").otherwise("allow"))
     return model.blocked(placed).select("row", "host", "path", "rule", verdict.alias("verdict"))

@@ -123,6 +123,19 @@ def test_trees_learn_from_labelled_urls(spark):
     assert judged.agg(F.avg((F.col("blocked") == (F.col("label") == 1)).cast("int"))).first()[0] > 0.95
 
 
+def test_urls_without_a_rule_teach_nothing(spark):
+    """Bad and good hosts differ by their form; most bad-looking urls have no rule and must not be learnt as good."""
+    rules = [url_filter.Rule("block", "bad.biz/"), url_filter.Rule("allow", "good.edu/")]
+    bad = lambda i, top: f"http://s{i % 60}.{top}/{(i * 7919 + 123456) % 10**6:06}/{(i * 104729 + 123456) % 10**6:06}?a=1&b=2&c=3"
+    urls = [bad(i, "bad.biz") for i in range(60)] + [f"http://s{i}.good.edu/about/people" for i in range(60)] + [bad(i, f"ne{i % 10}.org") for i in range(300)] + [f"http://s{i % 60}.fin{i % 10}.org/about/people" for i in range(300)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    verdicts = {r["row"]["page_id"]: r["verdict"] for r in url_filter.judge(frame, rules).collect()}
+    assert sum(verdicts[i] == "block" for i in range(120, 420)) > 285
+    assert sum(verdicts[i] == "allow" for i in range(420, 720)) > 285
+    # labels of one class teach nothing: the others are allowed
+    assert {r["verdict"] for r in url_filter.judge(frame.where("page_id >= 120 or page_id < 60"), rules).where("rule is null").collect()} == {"allow"}
+
+
 # --- top-k ---------------------------------------------------------------------------------------------------------
 
 

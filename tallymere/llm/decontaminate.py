@@ -24,8 +24,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import sized
-from .scratch import Scratch
+from ..plans.graph import sized
+from ..plans.scratch import Scratch
 
 
 def words(text: Column) -> Column:

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import let
-from .graph import BROADCAST_ROWS, sized
-from .scratch import Scratch
+from ..plans.graph import BROADCAST_ROWS, sized
+from ..plans.scratch import Scratch
 
 
 def _chunks(text, window: int, divisor: int):

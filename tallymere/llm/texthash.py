@@ -21,6 +21,8 @@ _SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: By n, a number whose lowest n bytes are set.
+_LOW_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,7 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
 _POWERS = np.ones(1 << 16, np.uint64)
 _POWERS[1:] = _MULTIPLIER
 _POWERS = np.multiply.accumulate(_POWERS)
@@ -104,10 +105,15 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, np.uint64), offsets
     sizes = stops - starts
-    at = np.flatnonzero(inside)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    place = np.arange(len(at)) - np.repeat(first, sizes)
-    values = _BYTE_VALUES[_LOWER[raw[at]]] * _powers(int(sizes.max()))[place]
+    # eight bytes are one number; numbers are mixed with their place before they are added, so no pattern of letters cancels out
+    parts = (sizes + 7) // 8
+    first = np.cumsum(parts) - parts
+    within = np.arange(int(parts.sum())) - np.repeat(first, parts)
+    at = np.repeat(starts, parts) + 8 * within
+    left = np.minimum(np.repeat(sizes, parts) - 8 * within, 8)
+    lower = np.concatenate([_LOWER[raw], np.zeros(7, np.uint8)])
+    chunks = np.lib.stride_tricks.sliding_window_view(lower, 8)[at].view("<u8").ravel() & _LOW_BYTES[left]
+    values = mix(chunks ^ mix((within.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER))
     return mix(np.add.reduceat(values, first) + sizes.astype(np.uint64)), offsets
 
 

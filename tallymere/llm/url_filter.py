@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import let
-from .graph import sized
-from .scratch import Scratch
+from ..plans.graph import sized
+from ..plans.scratch import Scratch
 
 FEATURES = ["url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "host_labels", "hyphens", "suffix_count", "suffix_blocked"]
 SMOOTHING = 5.0

@@ -64,10 +64,48 @@ def test_shingles_are_sets_of_word_runs():
     assert got[0] == got[1] and got[2] != got[6] and not got[4] and not got[5]
 
 
+def test_words_of_two_letters_in_any_pattern_differ():
+    first = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = first.translate(str.maketrans("ab", "ba"))
+    hashes, _ = texthash.word_hashes(pa.array([first, other, first[:512], first[:511] + "c", "a" * 1024]))
+    assert len(set(hashes.tolist())) == 5
+
+
 def groups(frame):
     return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in frame.collect())
 
 
+def near_copies(seed, n, size=200):
+    """Copies of a text that is not among them: two or three words of each are changed, so two copies have a Jaccard index of about 0.7 to 0.85."""
+    r = random.Random(seed)
+    original = [f"w{r.randrange(10**6)}" for _ in range(size)]
+    rows = []
+    for i in range(n):
+        text = list(original)
+        for at in r.sample(range(size), r.choice([2, 3])):
+            text[at] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_joined_rows_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    made = Counter()
+    save = ngram_join.Scratch.save
+
+    def counted(self, frame, name, *rest):
+        out = save(self, frame, name, *rest)
+        if "pairs" in name or name == "meets":
+            made[n] += out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "save", counted)
+    for n in (150, 600):
+        rows = near_copies(3, n)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert groups(ngram_join.near_duplicates(docs)) == brute_groups(rows)
+    assert made[600] <= 6 * made[150]
+
+
 def test_near_duplicates_equal_brute_force(spark):
     for seed in (1, 2):
         rows = corpus(seed)

@@ -3,19 +3,23 @@
 Patterns with validation give the base spans of four kinds.  The field labels
 the tokens that hold a digit or an @; its potentials are shapes of tokens,
 transitions between neighbours, and skip edges between distant tokens that are
-repeated or similar (equal when reduced to letters and digits, equal long
-numbers, the name part of an address).  Base spans are evidence.  Loopy
-message passing spreads it, so that a variant of an entity which no pattern
-takes gets the label of its twin; such tokens are added as spans.
-
-The weights are learnt from a sample that ``sample_rows`` bounds: shapes and
-transitions from counts of tokens by shape and label, with the validation
-hidden for half of them, and the skip weight from how often repeated tokens
-agree.  Occurrences of a token are chained, so the number of edges is linear in
-the tokens.  Every text is handled whole, in blocks, by one pass of array
+repeated or similar (equal when reduced to letters and digits; equal long
+numbers, also over several tokens, or equal last digits of them; the name part
+of an address).  Base spans are evidence.  Loopy message passing spreads it,
+so tokens that no pattern takes, because of how they are written or of what
+stands next to them, are labelled by their shape, neighbours and twins; those
+with a label of more than ``least`` belief are added as spans.
+
+The weights maximise the pseudo-likelihood of the base labels over a sample
+that ``sample_rows`` bounds.  For a random half of the base spans the evidence
+is hidden there, so that shapes, neighbours and twins have to explain them.
+What reaches the driver are counts of the different situations of a token.
+Occurrences of a key are chained, so the number of edges is linear in the
+tokens.  Every text is handled whole, in blocks, by one pass of array
 operations over all of a block's graphs.
 
 Defined results: a null or empty text has no spans; positions are code points;
+numbers of any length are read (leading zeros of an address part don't count);
 repeated rows get equal results; columns other than the text are kept inside
 the struct ``row`` and not read.
 """
@@ -25,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texthash import blocks
+from .texthash import bounded_batches, by_blocks
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -75,12 +80,15 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, i
     """Valid spans by kind and start; and (start, end, kind number) of matches that failed."""
     good, bad = [("email", *x) for x in emails(text)], []
     for m in ADDRESS.finditer(text):
-        ok = all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))
+        ok = all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))
         good.append(("ip", *m.span())) if ok else bad.append((*m.span(), 2))
     for m in CARD.finditer(text):
         digits = NOT_DIGIT.sub("", m[0])
         ok = 16 <= len(digits) <= 19 and luhn(digits)
-        good.append(("card", *m.span())) if ok else bad.append((*m.span(), 3))
+        if ok:
+            good.append(("card", *m.span()))
+        elif len(digits) >= 12:  # short numbers are no failed cards
+            bad.append((*m.span(), 3))
     for m in PHONE.finditer(text) if "+" in text else ():
         ok = 8 <= len(NOT_DIGIT.sub("", m[0])) <= 15
         good.append(("phone", *m.span())) if ok else bad.append((*m.span(), 4))
@@ -96,30 +104,45 @@ class Tokens:
     end: list[int]
     shape: list[int]  #: bits of features
     label: list[int]  #: of the base span that it lies in
-    keys: list[tuple]  #: (token, key) pairs for skip edges
+    span: list[int]  #: start of that span, or -1
+    keys: list[tuple]  #: (text, kind, key, token, first token of the occurrence) for skip edges
 
 
-SHAPES = 16
+SHAPES = 20
 
 
-def _shape(word: str, digits: int, failed: int) -> int:
+def _shape(text: str, start: int, end: int, digits: int, failed: int) -> int:
+    word = text[start:end]
     letters = sum(c.isalpha() for c in word)
     flags = [
         True, "@" in word, word.count(".") == 3 and letters == 0, word.startswith("+"), letters > 0, letters > digits,
-        digits == 0, 1 <= digits <= 4, 5 <= digits <= 6, 7 <= digits <= 15, 16 <= digits <= 19, digits > 19,
-        failed == 2, failed == 3 and digits >= 12, failed == 4, "." in word,
+        digits == 0, 1 <= digits <= 2, 3 <= digits <= 4, 5 <= digits <= 6, 7 <= digits <= 9, 10 <= digits <= 15, 16 <= digits <= 19, digits > 19,
+        failed == 2, failed == 3, "." in word, "-" in word, start > 0 and text[start - 1] == "(", end < len(text) and text[end] == ")",
     ]
     return sum(1 << i for i, on in enumerate(flags) if on)
 
 
+def _number_keys(digits: str) -> list[tuple[str, str]]:
+    """A number of 7 to 19 digits meets those that are equal, or whose last 10 or 7 digits are."""
+    return [("d", digits), *[(f"d{n}", digits[-n:]) for n in (10, 7) if len(digits) >= n]] if 7 <= len(digits) <= 19 else []
+
+
 def tokens_of(texts: list[str | None], spans: list, fails: list) -> Tokens:
-    out = Tokens([], [], [], [], [], [])
+    out = Tokens([], [], [], [], [], [], [])
     for d, text in enumerate(texts):
         if not text:
             continue
         own = sorted((s, e, KINDS.index(k) + 1) for k, s, e in spans[d])
         bad = sorted(fails[d])
         at = at_bad = 0
+        run: list[int] = []  # neighbouring tokens of digits alone
+
+        def close(run=run, d=d, text=text) -> None:
+            if len(run) > 1:
+                joined = "".join(NOT_DIGIT.sub("", text[out.start[i] : out.end[i]]) for i in run)
+                out.keys.extend((d, *key, i, run[0]) for key in _number_keys(joined) for i in run)
+            run.clear()
+
         for m in TOKEN.finditer(text):
             word = m[0].strip(EDGE)
             if not word:
@@ -130,34 +153,46 @@ def tokens_of(texts: list[str | None], spans: list, fails: list) -> Tokens:
                 at += 1
             while at_bad < len(bad) and bad[at_bad][1] <= start:
                 at_bad += 1
-            label = own[at][2] if at < len(own) and own[at][0] < end else 0
+            inside = at < len(own) and own[at][0] < end
             failed = bad[at_bad][2] if at_bad < len(bad) and bad[at_bad][0] < end else 0
             digits = NOT_DIGIT.sub("", word)
             i = len(out.doc)
-            for field, x in ((out.doc, d), (out.start, start), (out.end, end), (out.shape, _shape(word, len(digits), failed)), (out.label, label)):
+            values = (d, start, end, _shape(text, start, end, len(digits), failed), own[at][2] if inside else 0, own[at][0] if inside else -1)
+            for field, x in zip((out.doc, out.start, out.end, out.shape, out.label, out.span), values, strict=True):
                 field.append(x)
             lower = word.lower()
-            out.keys.append((d, "w", "".join(c for c in lower if c.isalnum()), i))
-            if len(digits) >= 7:
-                out.keys.append((d, "d", digits, i))
+            out.keys.append((d, "w", "".join(c for c in lower if c.isalnum()), i, i))
+            out.keys.extend((d, *key, i, i) for key in _number_keys(digits))
             if "@" in lower:
                 name = lower.partition("@")[0]
                 if len(name) >= 5:
-                    out.keys.append((d, "w", "".join(c for c in name if c.isalnum()), i))
+                    out.keys.append((d, "w", "".join(c for c in name if c.isalnum()), i, i))
+            if run and (start - out.end[run[-1]] > 2 or len(run) == 8):
+                close()
+            if digits and not any(c.isalpha() or c == "@" for c in word):
+                run.append(i)
+            else:
+                close()
+        close()
     return out
 
 
 def skip_edges(tokens: Tokens) -> np.ndarray:
-    """Pairs of tokens: each occurrence of a key with the next one."""
-    last: dict[tuple, int] = {}
-    pairs = []
-    for d, kind, key, i in tokens.keys:
+    """Different pairs of tokens: each occurrence of a key with the one before it; neighbours are left to the chain.
+
+    The tokens of a number in parts are one occurrence, and each is tied to the one before.
+    """
+    last: dict[tuple, tuple[int, int, int]] = {}  # key: start of its last occurrence, end of that, end of the one before
+    pairs = set()
+    for d, kind, key, i, start in tokens.keys:
         if len(key) >= 5:
-            before = last.get((d, kind, key))
-            if before is not None and before != i:
-                pairs.append((before, i))
-            last[d, kind, key] = i
-    return np.array(pairs, np.int64).reshape(-1, 2)
+            own, end, before = last.get((d, kind, key), (-1, -1, -1))
+            if own != start:
+                before = end
+            if 0 <= before < i - 1:
+                pairs.add((before, i))
+            last[d, kind, key] = (start, i, before)
+    return np.array(sorted(pairs), np.int64).reshape(-1, 2)
 
 
 @dataclass
@@ -165,52 +200,73 @@ class Weights:
     shapes: np.ndarray  #: features by labels
     transitions: np.ndarray  #: labels by labels, log potentials of neighbours
     skip: float  #: added where tokens of a skip edge agree
-    evidence: float = 12.0  #: for the label of a base span
-    rounds: int = 8
+    evidence: float  #: for the label of a base span
+    rounds: int = 12
 
 
 def _features(shape: np.ndarray) -> np.ndarray:
     return (shape[:, None] >> np.arange(SHAPES)) & 1
 
 
-def learn(docs: DataFrame, text: str = "text", sample_rows: int = 20_000, steps: int = 300) -> Weights:
-    """Learn from the base spans of about ``sample_rows`` texts, chosen by a hash. Counts by shape and label reach the driver."""
+def situations(tokens: Tokens, hidden: np.ndarray) -> np.ndarray:
+    """Of each token: shape, label, label of the evidence (0 where ``hidden``), labels of both neighbours (-1: none), and of up to two twins."""
+    n = len(tokens.doc)
+    doc, label = np.array(tokens.doc), np.array(tokens.label)
+    out = np.full((n, 7), -1, np.int64)
+    out[:, 0], out[:, 1], out[:, 2] = tokens.shape, label, np.where(hidden, 0, label)
+    same = np.flatnonzero(doc[1:] == doc[:-1])
+    out[same + 1, 3], out[same, 4] = label[same], label[same + 1]
+    pairs = skip_edges(tokens)
+    out[pairs[:, 1], 5], out[pairs[:, 0], 6] = label[pairs[:, 0]], label[pairs[:, 1]]
+    return out
+
+
+def fit(rows: np.ndarray, weight: np.ndarray, steps: int = 600, penalty: float = 1e-3) -> Weights:
+    """Largest pseudo-likelihood of the labels of ``situations``, by gradient steps with a small penalty; the problem is convex."""
+    n_labels = len(LABELS)
+    x = _features(rows[:, 0]).astype(float)
+    y, seen = np.eye(n_labels)[rows[:, 1]], np.eye(n_labels)[rows[:, 2]]
+    seen[:, 0] = 0
+    around = [np.where((rows[:, c] >= 0)[:, None], np.eye(n_labels)[np.maximum(rows[:, c], 0)], 0.0) for c in (3, 4, 5, 6)]
+    twins = around[2] + around[3]
+    scale = weight / max(weight.sum(), 1)
+    w = [np.zeros((SHAPES, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(1), np.zeros(1)]
+    sums = [np.full_like(v, 1e-8) for v in w]
+    for _ in range(steps if len(rows) else 0):
+        score = x @ w[0] + around[0] @ w[1] + around[1] @ w[1].T + w[2] * twins + w[3] * seen
+        p = np.exp(score - score.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        miss = scale[:, None] * (y - p)
+        slopes = [x.T @ miss, around[0].T @ miss + miss.T @ around[1], np.array([(miss * twins).sum()]), np.array([(miss * seen).sum()])]
+        for v, total, slope in zip(w, sums, slopes, strict=True):
+            slope = slope - penalty * v / max(np.sqrt(weight.sum()), 1)
+            total += slope**2
+            v += 0.5 * slope / np.sqrt(total)
+    return Weights(w[0], w[1], float(max(w[2][0], 0)), float(max(w[3][0], 0)))
+
+
+def learn(docs: DataFrame, text: str = "text", sample_rows: int = 20_000, hidden_share: float = 0.5) -> Weights:
+    """Learn from the base spans of about ``sample_rows`` texts, chosen by a hash. Counts of situations reach the driver."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
     n = rows.count()
     if n > sample_rows:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
+    names = [f"c{i}" for i in range(7)]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            found = [base_spans(x) for x in texts]
-            tokens = tokens_of(texts, [g for g, _ in found], [b for _, b in found])
-            label, doc = np.array(tokens.label, np.int64), np.array(tokens.doc)
-            pairs = skip_edges(tokens)
-            next_to = np.flatnonzero(doc[1:] == doc[:-1])
-            a = [np.full(len(label), 0), np.full(len(next_to), 1), np.full(len(pairs), 2)]
-            b = [np.array(tokens.shape, np.int64), label[next_to], label[pairs[:, 0]] if len(pairs) else label[:0]]
-            c = [label, label[next_to + 1], label[pairs[:, 1]] if len(pairs) else label[:0]]
-            yield pa.RecordBatch.from_pydict({"what": pa.array(np.concatenate(a)), "a": pa.array(np.concatenate(b)), "b": pa.array(np.concatenate(c))})
-
-    counts = rows.mapInArrow(count, "what long, a long, b long").groupBy("what", "a", "b").count().toPandas()
-    n_labels = len(LABELS)
-    of = lambda what: counts[counts["what"] == what]
-    shapes, labels, weight = (of(0)[c].to_numpy() for c in ("a", "b", "count"))
-    x, w = _features(shapes).astype(float), np.zeros((SHAPES, n_labels))
-    y = np.eye(n_labels)[labels]
-    weight = weight / max(weight.sum(), 1)
-    for _ in range(steps):  # softmax regression with a small penalty
-        p = np.exp(x @ w - (x @ w).max(1, keepdims=True, initial=-1e9))
-        p /= p.sum(1, keepdims=True)
-        w += 2.0 * (x.T @ (weight[:, None] * (y - p)) - 1e-4 * w)
-    pairs = np.ones((n_labels, n_labels))
-    np.add.at(pairs, (of(1)["a"].to_numpy(), of(1)["b"].to_numpy()), of(1)["count"].to_numpy())
-    share = pairs / pairs.sum()
-    transitions = np.log(share / (share.sum(1, keepdims=True) * share.sum(0, keepdims=True)))
-    same = of(2)[of(2)["a"] == of(2)["b"]]["count"].sum()
-    differ = of(2)["count"].sum() - same
-    return Weights(w, np.clip(transitions, -2, 2), float(np.clip(np.log((same + 1) / (differ + 1)), 1.0, 6.0)))
+    def met(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = part["text"].to_pylist()
+        found = [base_spans(x) for x in texts]
+        tokens = tokens_of(texts, [g for g, _ in found], [b for _, b in found])
+        # all tokens of a span are hidden together, by a hash of its text and place
+        hidden = np.array([s >= 0 and crc32(f"{s}:{texts[d][s : s + 40]}".encode()) % 1000 < 1000 * hidden_share for d, s in zip(tokens.doc, tokens.span, strict=True)], bool)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in situations(tokens, hidden).T], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return by_blocks(batches, lambda batch: batch["text"], met)
+
+    counts = rows.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy(*names).count().orderBy(*names).toPandas().astype(np.int64)
+    return fit(counts[names].to_numpy(), counts["count"].to_numpy())
 
 
 def beliefs(tokens: Tokens, weights: Weights) -> np.ndarray:
@@ -246,39 +302,19 @@ def beliefs(tokens: Tokens, weights: Weights) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def entity_groups(tokens: Tokens) -> list[set[int]]:
-    """Of each token, the labels of base spans among the tokens that skip edges tie to it."""
-    parent = list(range(len(tokens.doc)))
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i, j in skip_edges(tokens).tolist():
-        parent[top(i)] = top(j)
-    labels: dict[int, set[int]] = {}
-    for i, label in enumerate(tokens.label):
-        if label:
-            labels.setdefault(top(i), set()).add(label)
-    return [labels.get(top(i), set()) for i in range(len(parent))]
-
-
 def added_spans(texts: list[str | None], spans: list, fails: list, weights: Weights, least: float = 0.5) -> list[list[tuple[str, int, int]]]:
-    """Of each text, tokens outside all base spans that the field labels with more than ``least`` belief, as an entity that they are tied to."""
+    """Of each text, tokens outside all base spans that the field gives a label with more than ``least`` belief; neighbours of one kind are one span."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     tokens = tokens_of(texts, spans, fails)
     if not tokens.doc:
         return out
     p = beliefs(tokens, weights)
-    best, tied = p.argmax(1), entity_groups(tokens)
+    best = p.argmax(1)
     for i in np.flatnonzero((best > 0) & (p.max(1) > least) & (np.array(tokens.label) == 0)):
-        if best[i] not in tied[i]:
-            continue
         kind, d, start, end = LABELS[best[i]], tokens.doc[i], tokens.start[i], tokens.end[i]
-        if out[d] and out[d][-1][0] == kind and texts[d][out[d][-1][2] : start] == " ":
-            out[d][-1] = (kind, out[d][-1][1], end)
+        before = out[d][-1] if out[d] else None
+        if before and before[0] == kind and 0 <= start - before[2] <= 2 and not texts[d][before[2] : start].strip(EDGE):
+            out[d][-1] = (kind, before[1], end)
         else:
             out[d].append((kind, start, end))
     return out
@@ -292,16 +328,17 @@ def find(docs: DataFrame, weights: Weights, text: str = "text") -> DataFrame:
         order = lambda x: (KINDS.index(x[0]), x[1])
         return pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in sorted(own, key=order)] for own in spans], item)
 
+    def found(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = pc.struct_field(part["row"], text).to_pylist()
+        both = [base_spans(x or "") for x in texts]
+        base = [g for g, _ in both]
+        more = added_spans(texts, base, [b for _, b in both], weights)
+        return pa.RecordBatch.from_arrays([part["row"], listed(base), listed([a + b for a, b in zip(base, more, strict=True)])], ["row", "base", "spans"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in blocks(pc.struct_field(batch["row"], text)):
-                part = batch.slice(lo, hi - lo)
-                texts = pc.struct_field(part["row"], text).to_pylist()
-                found = [base_spans(x or "") for x in texts]
-                base = [g for g, _ in found]
-                more = added_spans(texts, base, [b for _, b in found], weights)
-                yield pa.RecordBatch.from_arrays([part["row"], listed(base), listed([a + b for a, b in zip(base, more, strict=True)])], ["row", "base", "spans"])
+        return by_blocks(batches, lambda batch: pc.struct_field(batch["row"], text), found)
 
+    bounded_batches(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
     return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, base {spans}, spans {spans}")

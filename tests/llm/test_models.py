@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,57 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(text)[0] == plain_spans(text), text
 
 
+def test_numbers_of_any_length_are_read():
+    text = "0" * 4301 + "1.1.1.1"
+    assert pii.base_spans(text)[0] == [("ip", 0, len(text))]
+    assert not pii.base_spans("9" * 9000 + ".1.1.1")[0] and not pii.base_spans("1" * 9000)[0]
+
+
+def exact_marginals(n, unary, edges):
+    """Marginals of a field by enumeration; edges are (a, b, log potential)."""
+    total = np.zeros((n, unary.shape[1]))
+    for labels in itertools.product(range(unary.shape[1]), repeat=n):
+        p = np.exp(sum(unary[i, k] for i, k in enumerate(labels)) + sum(table[labels[a], labels[b]] for a, b, table in edges))
+        for i, k in enumerate(labels):
+            total[i, k] += p
+    return total / total.sum(1, keepdims=True)
+
+
+def test_beliefs_equal_enumeration_on_chains_and_are_near_it_on_loops():
+    r = np.random.default_rng(4)
+    n_labels = len(pii.LABELS)
+    weights = pii.Weights(r.normal(size=(pii.SHAPES, n_labels)), r.normal(size=(n_labels, n_labels)), 1.5, 2.0, rounds=60)
+    for words, loop in ((["11", "2.2", "33333", "a4"], False), (["555555", "a1", "77", "555555"], True)):
+        tokens = pii.tokens_of([" ".join(words)], [[]], [[]])
+        unary = pii._features(np.array(tokens.shape)) @ weights.shapes
+        edges = [(i, i + 1, weights.transitions) for i in range(3)] + [(a, b, np.eye(n_labels) * weights.skip) for a, b in pii.skip_edges(tokens).tolist()]
+        assert (len(edges) == 4) == loop
+        assert np.abs(pii.beliefs(tokens, weights) - exact_marginals(4, unary, edges)).max() < (0.1 if loop else 1e-6)
+
+
+def test_hidden_entities_are_found_by_shape_neighbours_and_twins(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null")
+    taught = pii.learn(docs.where("doc_id % 2 = 0"))
+    hidden = found = other = 0
+    for text in [r["text"] for r in docs.where("doc_id % 2 = 1").select("text").collect()]:
+        good, bad = pii.base_spans(text)
+        gone = [s for s in good if crc32(f"{s}{text[s[1] : s[2]]}".encode()) % 2]
+        more = pii.added_spans([text], [[s for s in good if s not in gone]], [bad], taught)[0]
+        meets = lambda x, y: x[0] == y[0] and x[1] < y[2] and y[1] < x[2]
+        hidden += len(gone)
+        found += sum(any(meets(s, x) for x in more) for s in gone)
+        other += sum(not any(meets(s, x) for s in gone) for x in more)
+    assert hidden > 100 and found >= 0.95 * hidden and other <= 0.05 * hidden
+
+
+def test_entities_in_other_spellings_are_added(spark):
+    text = "Call +1 (017) 555-7713; later 017-555-7713, or 017 555 7713. Card 4845168114407329, 4845_1681_1440_7329; order 9807915762804490, version 2.0"
+    good, bad = pii.base_spans(text)
+    taught = pii.learn(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    added = {(k, text[s:e]) for k, s, e in pii.added_spans([text], [good], [bad], taught)[0]}
+    assert added == {("phone", "017-555-7713"), ("phone", "017 555 7713"), ("card", "4845_1681_1440_7329")}
+
+
 def test_variants_of_an_entity_are_added(spark, docs, none):
     text = "mail bo.42@mail8.example.com or BO.42@MAIL8.EXAMPLE.COM, card 4041894974608795, again 4041.8949.7460.8795; bad 4041894974608796, version 3."
     taught = pii.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
 from ..schemas import SOURCES
+from ..sources import feeds as scans
 from ..sources.mappers import standard_records
 from ..sources.scans import without_listed
 from .entity import to_entities
@@ -30,15 +31,32 @@ class Run:
 
 
 def run_feeds(feeds: dict[str, DataFrame], stored: DataFrame | None, now: str, today: str, sources: Sequence[str] = SOURCES, dry_run: bool = False) -> Run:
-    """Standardise the feeds (source name to landing rows), merge across them, and upsert into the store.
+    """Standardise the feeds (source name to items that were keyed and met with details before: ord, payload), merge across them, and upsert into the store.
 
     Without a store (None) all entities are new.  A source that isn't known gives an error row and stops nothing.
     """
     known = [s for s in sources if s in feeds]
-    spark = next(iter(feeds.values())).sparkSession
+    records = standard_records({s: feeds[s] for s in known}, today) if known else standard_records(feeds, today).limit(0)
+    return run_records(records, list(feeds), stored, now, sources, dry_run)
+
+
+def run_landed(landed: dict[str, tuple[DataFrame, DataFrame | None]], stored: DataFrame | None, now: str, today: str, sources: Sequence[str] = SOURCES, dry_run: bool = False) -> Run:
+    """As run_feeds, from what the feeds delivered: source name to its lists and details, by the scans of ``sources.feeds``."""
+    scan = {"upstox": scans.upstox, "nse": scans.nse, "groww": scans.groww, "zerodha": lambda pages, details: scans.zerodha(pages, details, today)}
+    records = None
+    for source in SOURCES:
+        if source in landed:
+            own = scan[source](*landed[source])
+            own = own if source in sources else own.limit(0)
+            records = own if records is None else records.unionByName(own)
+    return run_records(records, list(landed), stored, now, sources, dry_run)
+
+
+def run_records(records: DataFrame, known: Sequence[str], stored: DataFrame | None, now: str, sources: Sequence[str] = SOURCES, dry_run: bool = False) -> Run:
+    """Merge standard records of the known sources and upsert them into the store."""
+    spark = records.sparkSession
     scratch = Scratch(spark, "run")
     asked = spark.createDataFrame([(s,) for s in sources], "source string")
-    records = standard_records({s: feeds[s] for s in known}, today) if known else standard_records(feeds, today).limit(0)
     records = scratch.save(records, "records")
     masters, borderline = deduplicate(records)
     masters = scratch.save(masters, "masters")
@@ -48,7 +66,7 @@ def run_feeds(feeds: dict[str, DataFrame], stored: DataFrame | None, now: str, t
     merged = masters.agg(
         F.coalesce(F.sum(F.size("member_ords")), F.lit(0)).alias("records"), F.count(F.lit(1)).alias("masters"), F.count_if(F.col("status") == "listed").alias("listed_dropped")
     )
-    errors = asked.where(~F.col("source").isin(list(feeds))).select("source", F.lit("unknown source").alias("error"))
+    errors = asked.where(~F.col("source").isin(list(known))).select("source", F.lit("unknown source").alias("error"))
     if dry_run:
         return Run(None, None, entities, counts, merged, borderline, errors)
     # the merge's order decides which of two entities with one key comes first

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import RANK
 from ..sources.mappers import standard_records
 from .catalog import TODAY, table
 
@@ -105,14 +106,14 @@ std AS (
   SELECT 'upstox' AS src, i AS ord, isin, symbol, regexp_replace(name, '\\s+IPO$', '') AS company_name, {STATE.format("upcoming", "open", "closed", "listed")} AS status,
     {ISO.format(0)} AS bidding_start_date, low::DOUBLE AS low, high::DOUBLE AS high, CASE WHEN i % 8 = 0 THEN {URL.format("rhp")} END AS rhp, NULL::VARCHAR AS drhp, NULL::VARCHAR AS listing_date, i, n, d
   FROM base WHERE i % 4 = 0
-  UNION ALL SELECT 'nse', 1000000000 + i, isin, symbol, name, {STATE.format("open", "closed", "upcoming", "forthcoming")}, {ISO.format(0)}, low, high, NULL, CASE WHEN i % 3 = 1 THEN {URL.format("drhp")} END, NULL, i, n, d
+  UNION ALL SELECT 'nse', {RANK} + i, isin, symbol, name, {STATE.format("open", "closed", "upcoming", "forthcoming")}, {ISO.format(0)}, low, high, NULL, CASE WHEN i % 3 = 1 THEN {URL.format("drhp")} END, NULL, i, n, d
   FROM base WHERE i % 4 = 1
-  UNION ALL SELECT 'groww', 2000000000 + i, isin, symbol, name,
+  UNION ALL SELECT 'groww', {2 * RANK} + i, isin, symbol, name,
     CASE WHEN i % 8 = 6 THEN {STATE.format("open", "closed", "upcoming", "listed")} ELSE {STATE.format("open", "upcoming", "closed", "closed")} END,
     CASE WHEN i % 8 = 6 THEN {ISO.format(1)} ELSE {ISO.format(0)} END, low + (i % 8 = 6)::INT, high + (i % 8 = 6)::INT,
     CASE WHEN i % 8 = 6 AND (i // 4) % 4 <> 2 THEN {URL.format("file")} END, CASE WHEN i % 8 = 6 AND (i // 4) % 4 = 2 THEN {URL.format("file")} END, NULL, i, n, d
   FROM base WHERE i % 4 = 2
-  UNION ALL SELECT 'zerodha', 3000000000 + i, NULL, symbol, name,
+  UNION ALL SELECT 'zerodha', {3 * RANK} + i, NULL, symbol, name,
     CASE WHEN d + 12 < DATE '{TODAY}' THEN 'listed' WHEN d < DATE '{TODAY}' THEN 'closed' WHEN d > DATE '{TODAY}' THEN 'upcoming' ELSE 'open' END,
     {ISO.format(0)}, low, high, NULL, CASE WHEN i % 8 = 7 THEN {URL.format("draft")} END, {ISO.format(12)}, i, n, d
   FROM base WHERE i % 4 = 3)"""

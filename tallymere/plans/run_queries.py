@@ -38,7 +38,7 @@ def q_list_rows(spark, sf_dir):
     )
     other = F.lit('<tr><td class="name"><a href="/about/">About</a></td></tr>')
     pages = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("<table>"), row, row, other, F.lit("</table>")).alias("html"))
-    return html.extract_rows(pages)
+    return html.extract_rows(pages).drop("place")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN '/files/' || c_custkey || '.pdf' END AS prospectus_url FROM customer")

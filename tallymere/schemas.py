@@ -9,7 +9,8 @@ from __future__ import annotations
 #: Source names in rank order; the order of records across sources is data.
 SOURCES = ("upstox", "nse", "groww", "zerodha")
 KNOWN_SOURCES = ("nse", "bse", "upstox", "groww", "zerodha", "investorgain")
-RANK = 1_000_000_000
+#: Orders of arrival in a source lie below this, clocks in microseconds included.
+RANK = 1 << 60
 
 BAND = "struct<minimum:double,maximum:double>"
 URLS = "struct<rhp:string,drhp:string>"

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: More rows than a list page can have: places in a page and pages make one order.
+PAGE_ROWS = 1 << 20
 LIST_ROW = "symbol string, type string, is_sme boolean, company_name string, detail_path string, bidding_range string, listing_date_text string, price_text string"
 
 
@@ -19,10 +21,15 @@ class Element:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
     def walk(self) -> Iterator[Element]:
-        for child in self.children:
-            if isinstance(child, Element):
+        """All elements below, in the order of the page. Pages can be nested deeper than Python's calls."""
+        open_ = [iter(self.children)]
+        while open_:
+            child = next(open_[-1], None)
+            if child is None:
+                open_.pop()
+            elif isinstance(child, Element):
                 yield child
-                yield from child.walk()
+                open_.append(iter(child.children))
 
     def has(self, tag: str | None, name: str | None = None) -> bool:
         return (tag is None or self.tag == tag) and (name is None or name in (self.attrs.get("class") or "").split())
@@ -32,12 +39,15 @@ class Element:
 
     def text(self, without: str | None = None, nested: bool = True) -> str:
         """All text below; not that of elements with the class ``without``, at any depth or only of children."""
-        out = []
-        for child in self.children:
-            if isinstance(child, str):
+        out, open_ = [], [iter(self.children)]
+        while open_:
+            child = next(open_[-1], None)
+            if child is None:
+                open_.pop()
+            elif isinstance(child, str):
                 out.append(child)
-            elif not (without and child.has(None, without)):
-                out.append(child.text(without if nested else None, nested))
+            elif not (without and (nested or len(open_) == 1) and child.has(None, without)):
+                open_.append(iter(child.children))
         return "".join(out)
 
 
@@ -105,13 +115,14 @@ def prospectus_link(html: str | None) -> str | None:
 
 
 def extract_rows(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Explodes the list rows of each page; the other columns are repeated."""
+    """Explodes the list rows of each page, with their place in it (from 0); the other columns are repeated."""
 
     @F.pandas_udf(f"array<struct<{LIST_ROW.replace(' ', ':').replace(',:', ',')}>>")
     def rows(column: pd.Series) -> pd.Series:
         return column.map(list_rows)
 
-    return pages.withColumn("_row", F.explode(rows(html))).select(*[c for c in pages.columns if c != html], "_row.*")
+    kept = [c for c in pages.columns if c != html]
+    return pages.select(*kept, F.posexplode(rows(html)).alias("place", "_row")).select(*kept, "place", "_row.*")
 
 
 def extract_prospectus(pages: DataFrame, html: str = "html") -> DataFrame:

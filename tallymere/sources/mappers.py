@@ -15,9 +15,14 @@ from ..schemas import GROWW, NSE, RANK, SOURCES, UPSTOX, ZERODHA
 OUT = ("src", "ord", "isin", "symbol", "company_name", "status", "bidding_start_date", "price_band", "document_urls", "listing_date", "raw_sources")
 
 
+def first_ord(source: str) -> Column:
+    """Where the orders of a source begin, so that all of one source come before those of the next."""
+    return F.lit(SOURCES.index(source) * RANK).cast("long")
+
+
 def _record(frame: DataFrame, source: str, **columns: Column) -> DataFrame:
-    rank = SOURCES.index(source) * RANK
-    fixed = {"src": F.lit(source), "ord": F.col("ord") + F.lit(rank).cast("long"), "raw_sources": F.create_map(F.lit(source), F.col("payload"))}
+    wrong = F.raise_error(F.lit(f"ord must be 0 to {RANK - 1}")).cast("long")
+    fixed = {"src": F.lit(source), "ord": F.when(F.col("ord").between(0, RANK - 1), F.col("ord") + first_ord(source)).otherwise(wrong), "raw_sources": F.create_map(F.lit(source), F.col("payload"))}
     columns.setdefault("listing_date", F.lit(None).cast("string"))
     return frame.select(*[(fixed | columns)[name].alias(name) for name in OUT])
 

@@ -5,14 +5,16 @@ the script of a word (fixed ranges of code points) narrows the languages that
 can have produced it, each word gets a log-likelihood under every language,
 and a Viterbi pass over the words with a penalty for each switch labels the
 spans of a mixed text.  The language of a text is the one with most letters;
-its score is its share of the letters.
+its score is its share of all letters, where words in a script that no language
+is written in speak for none.
 
 The model has a fixed size for each language.  Learning reads a sample that
 ``sample_rows`` bounds; prediction works on blocks of whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0; rows with a null label teach nothing; with nothing to learn from, all texts
-are ``und``; ties go to the language that sorts first.  Input columns are kept
+are ``und``; ties go to the language that sorts first, also for a text in a
+script of no language, whose score is 0.  Input columns are kept
 inside the struct ``row``.
 """
 
@@ -121,14 +123,17 @@ def learn(
     labelled: DataFrame, text: str = "text", label: str = "lang", sample_rows: int = 20_000,
     min_script_share: float = 0.001, smoothing: float = 0.5, switch_penalty: float = 12.0,
 ) -> Model:
-    """Learn from rows with text and label; from about ``sample_rows`` of them, chosen by a hash of the text, if there are more.
+    """Learn from rows with text and label; if there are more than ``sample_rows``, from about an equal part of these of each
+    language, chosen by a hash of the text, so that rare languages are taken whole.
 
     What reaches the driver is one count for each language and bucket.
     """
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("string").alias("label")).where("text is not null and label is not null")
-    n = rows.count()
-    if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
+    known = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
+    if sum(r["n"] for r in known) > sample_rows:
+        most = {r["label"]: sample_rows / len(known) / r["n"] for r in known}
+        share = F.create_map(*[F.lit(x) for name, part in sorted(most.items()) for x in (name, int(1_000_000 * part))])
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(share, F.col("label")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -163,7 +168,7 @@ def best_path(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.nda
     full = np.flatnonzero(counts)
     sums[full] = np.add.reduceat(scores, offsets[full], axis=0) if len(full) else 0
     alone = sums.argmax(1)
-    labels = alone[doc].astype(np.int8)
+    labels = alone[doc].astype(np.int32)
     # No path with switches beats the best language alone if no stretch gains more than half a penalty by leaving it.
     gain = scores - np.take_along_axis(scores, labels[:, None].astype(int), 1)
     total = np.cumsum(gain, axis=0, dtype=np.float64)
@@ -177,8 +182,8 @@ def best_path(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.nda
     if not len(mixed):
         return labels
     sizes, base = counts[mixed], offsets[mixed]
-    came = np.zeros(scores.shape, np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    came = np.zeros(scores.shape, np.int32)
+    own = np.arange(scores.shape[1], dtype=np.int32)
     value = scores[base].astype(np.float64)
     open_at = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # texts with more than t words
     for t in range(1, sizes[0]):
@@ -202,6 +207,7 @@ def best_path(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.nda
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Columns row (struct of the input's columns), lang_pred, score, spans (lang, start, end; code points, end exclusive)."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for each language
     names = np.array([*model.languages, UNKNOWN])
     n_lang = len(model.languages)
 
@@ -211,14 +217,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         if not n_lang or not len(found.start):
             empty = pa.array([[]] * n, span_type)
             return pa.RecordBatch.from_arrays([part["row"], pa.array([UNKNOWN] * n), pa.array(np.zeros(n)), empty], ["row", "lang_pred", "score", "spans"])
-        scores = np.add.reduceat(model.gram_scores[found.grams], found.gram_offsets[:-1], axis=0)
-        allowed = model.allowed[found.script]
-        scores = np.where(allowed, scores, np.float32(model.foreign_score))
-        labels = best_path(scores, found.offsets, model.switch_penalty)
+        own = shared.value
+        scores = np.add.reduceat(own.gram_scores[found.grams], found.gram_offsets[:-1], axis=0)
+        allowed = own.allowed[found.script]
+        scores = np.where(allowed, scores, np.float32(own.foreign_score))
+        labels = best_path(scores, found.offsets, own.switch_penalty)
         doc = np.repeat(np.arange(n), counts)
-        letters = np.bincount(doc * n_lang + labels, found.size, minlength=n * n_lang).reshape(n, n_lang)
+        written = found.size * allowed[np.arange(len(doc)), labels]  # a word in a script of no language speaks for none
+        letters = np.bincount(doc * n_lang + labels, written, minlength=n * n_lang).reshape(n, n_lang)
         top = letters.argmax(1)
-        share = letters[np.arange(n), top] / np.maximum(letters.sum(1), 1)
+        share = letters[np.arange(n), top] / np.maximum(np.bincount(doc, found.size, minlength=n), 1)
         top[counts == 0] = n_lang
         # a span starts where the text or the label changes
         fresh = np.ones(len(doc), bool)

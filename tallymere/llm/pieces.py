@@ -2,10 +2,12 @@
 
 An Aho-Corasick automaton over the pieces reads a text once; at each character
 its output links give the pieces that end there, and each relaxes the best
-score at that place.  The path of best scores is the encoding.  No piece
-crosses from a character to a following space mark, so texts are cut there and
-each different part of a block is encoded once; parts advance through the
-automaton side by side, in numpy arrays.
+score at that place.  The path of best scores is the encoding.  Texts are cut
+where no piece can cross: before a space mark, if the vocabulary has no piece
+with a space mark after another character (else they are not), and in long
+words between two characters that are neighbours in no piece.  Each different
+part of a block is encoded once; short parts advance through the automaton side
+by side, in numpy arrays, and long ones character by character.
 
 The model file is read on the driver; what executors get is the automaton,
 whose size depends on the vocabulary alone.  The best path need not equal the
@@ -35,6 +37,8 @@ from .texthash import bounded_batches, by_blocks, mix
 SPACE = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 _EMPTY = np.uint64((1 << 64) - 1)
+#: Bytes of a word from which it is cut between characters, and characters of a part from which it is taken alone.
+LONG_WORD, LONG_PART = 64, 192
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -57,6 +61,7 @@ class Pieces:
     first_byte: int  #: id of byte piece 0
     raw: np.ndarray  #: bytes of all pieces, space marks as spaces
     raw_ends: np.ndarray
+    inner: np.ndarray  #: neighbours in pieces, first << 21 | second, in order
 
     @classmethod
     def build(cls, pieces: list[str], scores: list[float], usable: list[bool], first_byte: int) -> Pieces:
@@ -96,9 +101,11 @@ class Pieces:
                 at = (at + 1) % width
             keys[at], targets[at] = key, to
         raw = [bytes([i - first_byte]) if first_byte <= i < first_byte + 256 else (p.replace(SPACE, " ").encode() if ok else b"") for i, (p, ok) in enumerate(zip(pieces, usable, strict=True))]
+        used = [p for p, ok in zip(pieces, usable, strict=True) if ok]
+        inner = np.unique(np.array([(ord(a) << 21) | ord(b) for p in used for a, b in zip(p, p[1:])], np.int64))
         return cls(
             keys, targets, fail, np.array(piece, np.int32), link, np.array([len(p) for p in pieces], np.int32), np.array(scores),
-            min(s for s, ok in zip(scores, usable, strict=True) if ok) - 10, first_byte, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]),
+            min(s for s, ok in zip(scores, usable, strict=True) if ok) - 10, first_byte, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), inner,
         )
 
     @classmethod
@@ -183,6 +190,69 @@ class Pieces:
         counts = np.bincount(np.searchsorted(start, place, "right") - 1, minlength=n)
         return self._with_bytes(ids, counts)
 
+    def long_path(self, code: list[int]) -> np.ndarray:
+        """As best_paths for one part, a character at a time; before characters without a piece become bytes."""
+        if not hasattr(self, "_lists"):
+            full = np.flatnonzero(self.keys != _EMPTY)
+            children = dict(zip(self.keys[full].tolist(), self.targets[full].tolist(), strict=True))
+            self._lists = (children, *[x.tolist() for x in (self.fail, self.piece, self.link, self.size, self.score)])
+        children, fail, piece, link, size, score = self._lists
+        best, came, back, state = [0.0], [0], [1], 0
+        for j, c in enumerate(code):
+            to = children.get(state << 21 | c, 0)
+            while not to and state:
+                state = fail[state]
+                to = children.get(state << 21 | c, 0)
+            state = to
+            top, top_piece, top_size, single = -np.inf, 0, 1, False
+            at = state if piece[state] >= 0 else link[state]
+            while at:
+                p = piece[at]
+                n = size[p]
+                single |= n == 1
+                own = best[j + 1 - n] + score[p]
+                if own > top:
+                    top, top_piece, top_size = own, p, n
+                at = link[at]
+            if not single and best[j] + self.unknown_score > top:
+                top, top_piece, top_size = best[j] + self.unknown_score, -1 - c, 1
+            best.append(top)
+            came.append(top_piece)
+            back.append(top_size)
+        ids, at = [], len(code)
+        while at > 0:
+            ids.append(came[at])
+            at -= back[at]
+        return np.array(ids[::-1], np.int32)
+
+    def all_paths(self, code: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the best path of each part, whatever its size, and how many each has."""
+        long = np.flatnonzero(sizes > LONG_PART)
+        if not len(long):
+            return self.best_paths(code, sizes)
+        start = np.cumsum(sizes) - sizes
+        short = np.flatnonzero(sizes <= LONG_PART)
+        own, own_counts = self.best_paths(code[_ranges(start[short], sizes[short])], sizes[short])
+        alone = [self.long_path(code[start[i] : start[i] + sizes[i]].tolist()) for i in long]
+        rest, rest_counts = self._with_bytes(np.concatenate(alone), np.array([len(x) for x in alone]))
+        counts = np.zeros(len(sizes), np.int64)
+        counts[short], counts[long] = own_counts, rest_counts
+        place = np.cumsum(counts) - counts
+        ids = np.zeros(counts.sum(), np.int32)
+        ids[_ranges(place[short], own_counts)] = own
+        ids[_ranges(place[long], rest_counts)] = rest
+        return ids, counts
+
+    def _cuts(self, word: bytes) -> np.ndarray:
+        """Bytes of a word, after its first, before which no piece crosses."""
+        code = np.frombuffer(word.decode().replace(" ", SPACE).encode("utf-32-le"), np.uint32).astype(np.int64)
+        pair = (code[:-1] << 21) | code[1:]
+        at = np.minimum(np.searchsorted(self.inner, pair), max(len(self.inner) - 1, 0))
+        open_ = self.inner[at] != pair if len(self.inner) else np.ones(len(pair), bool)
+        width = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+        width[code == ord(SPACE)] = 1
+        return np.cumsum(width)[:-1][open_]
+
     def _with_bytes(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece (-1 - character) become their UTF-8 bytes."""
         odd = np.flatnonzero(ids < 0)
@@ -208,20 +278,31 @@ class Pieces:
         space = buffer == 0x20
         first = space.copy()
         first[1:] &= ~space[:-1]
+        if not self._splits_before_spaces():
+            first[:] = False
         first[bounds[:-1][bounds[:-1] < len(buffer)]] = True
         starts = np.flatnonzero(first)
+        sizes = np.diff(np.append(starts, len(buffer)))
+        more = [start + self._cuts(raw[start : start + size]) for start, size in zip(starts[sizes > LONG_WORD].tolist(), sizes[sizes > LONG_WORD].tolist(), strict=True)]
+        if more:
+            starts = np.sort(np.concatenate([starts, *more]))
         ends = np.append(starts, len(buffer)).astype(np.int32)
         parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)]).dictionary_encode()
         known = [x.decode().replace(" ", SPACE) for x in parts.dictionary.to_pylist()]
         sizes = np.array([len(x) for x in known], np.int64)
         code = np.frombuffer("".join(known).encode("utf-32-le"), np.uint32)
-        ids, counts = self.best_paths(code, sizes)
+        ids, counts = self.all_paths(code, sizes)
         index = parts.indices.to_numpy()
         each = counts[index]
         out = ids[_ranges((np.cumsum(counts) - counts)[index], each)]
         offsets = np.concatenate([[0], np.cumsum(each)])[np.searchsorted(starts, bounds)]
         return out, offsets
 
+    def _splits_before_spaces(self) -> bool:
+        """No piece has a space mark after another character."""
+        before, after = self.inner >> 21, self.inner & ((1 << 21) - 1)
+        return not ((after == ord(SPACE)) & (before != ord(SPACE))).any()
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         sizes = np.diff(self.raw_ends)[ids]
         raw = self.raw[_ranges(self.raw_ends[ids], sizes)].tobytes()
@@ -272,4 +353,4 @@ def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
     pieces = Pieces.load()
     out = encode(docs, pieces, decoded=True)
     same = F.col("decoded").eqNullSafe(F.replace("row.text", F.lit(SPACE), F.lit(" ")))
-    return out.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_code"), same.alias("round_trip"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))

@@ -1,10 +1,12 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Test items are partitioned by size (powers of two of their shingle counts).
-In a partition every item is sketched by its smallest shingle hashes, so many
-of them that a document which contains the wanted share of an item must
-contain one of the sketch, and with it at least the sketch less the shingles
-that may be missing.  However long a document is, its shingles probe the
+In a partition every item has a MinHash sketch of one length, its smallest
+shingle hashes (bottom-k), so many of them that a document which contains the
+wanted share of an item must contain at least the sketch less the shingles
+that may be missing.  A sketch of the document itself would hold next to
+nothing of a short item, so documents probe with all their shingles, and no
+contaminated document is missed.  However long a document is, its shingles probe the
 sketches where they are read; only hits are shuffled.  Candidates are verified
 by exact containment of the shingles themselves.
 
@@ -13,8 +15,9 @@ counted rows are few, and joined by a shuffle beyond that.
 
 Defined results: null or empty texts, on either side, have no shingles and
 match nothing; a text of fewer than ``width`` words has its whole sequence as
-its one shingle; repeated rows give repeated pairs; other columns are not read,
-and keep() returns the input's columns unchanged.
+its one shingle; repeated rows give repeated pairs; items with a null item_id
+or one that other items have too are searched like all others; other columns
+are not read, and keep() returns the input's columns unchanged.
 """
 
 from __future__ import annotations
@@ -63,32 +66,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent
     """A row for each document and item of which it contains at least ``percent`` of the shingles:
     doc_id, item_id, n_item_shingles, n_shared."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    coded = docs.select("doc_id", "text", F.xxhash64("text").alias("text_code")).where("text is not null")
-
-    items = _hashed(benchmark.select("item_id", "text"), "text", width, ["item_id"]).where("codes is not null")
-    items = items.select("item_id", F.array_sort(F.array_distinct("codes")).alias("codes")).withColumn("n", F.size("codes"))
+    codes = [F.xxhash64("text").alias("text_code"), F.hash("text").alias("text_check")]
+    text_key = ["text_code", "text_check"]
+    coded = docs.select("doc_id", "text", *codes).where("text is not null")
+
+    # rows of equal sets are one item, whatever their item_id
+    listed = _hashed(benchmark.select("item_id", "text"), "text", width, ["item_id", "text"]).where("codes is not null")
+    listed = scratch.save(listed.withColumn("codes", F.array_sort(F.array_distinct("codes"))).withColumn("item", F.xxhash64("codes")), "items")
+    items = listed.groupBy("item").agg(F.first("codes").alias("codes"), F.first("text").alias("text")).withColumn("n", F.size("codes"))
     upper = (F.pow(F.lit(2), F.floor(F.log2("n")) + 1) - 1).cast("int")  # largest size in the item's partition
     missing = F.floor(F.col("n") * (100 - percent) / 100).cast("int")
     length = F.least(F.floor(upper * (100 - percent) / 100).cast("int") + 1, F.col("n"))
-    sketches = scratch.save(
-        items.select("item_id", "n", (length - missing).alias("needed"), F.explode(F.slice("codes", F.lit(1), length)).alias("code")), "sketches"
-    )
+    sketches = scratch.save(items.select("item", (length - missing).alias("needed"), F.explode(F.slice("codes", F.lit(1), length)).alias("code")), "sketches")
 
-    probes = _hashed(coded, "text", width, ["text_code"]).select("text_code", F.explode("codes").alias("code"))
-    hits = probes.join(sized(sketches), "code").groupBy("text_code", "item_id").agg(F.count_distinct("code").alias("hits"), F.max("needed").alias("needed"))
-    candidates = scratch.save(hits.where("hits >= needed").select("text_code", "item_id"), "candidates")
+    probes = _hashed(coded, "text", width, text_key).select(*text_key, F.explode("codes").alias("code"))
+    hits = probes.join(sized(sketches), "code").groupBy(*text_key, "item").agg(F.count_distinct("code").alias("hits"), F.max("needed").alias("needed"))
+    candidates = scratch.save(hits.where("hits >= needed").select(*text_key, "item"), "candidates")
 
     # each different text is verified once
-    texts = coded.join(sized(candidates.select("text_code").distinct()), "text_code").groupBy("text_code").agg(F.first("text").alias("text"))
-    spelt = _spelt(texts, "text", width, ["text_code"]).withColumnRenamed("shingles", "own")
-    known = _spelt(benchmark.select("item_id", "text"), "text", width, ["item_id"]).where("shingles is not null")
+    texts = coded.join(sized(candidates.select(*text_key).distinct()), text_key).groupBy(*text_key).agg(F.first("text").alias("text"))
+    spelt = _spelt(texts, "text", width, text_key).withColumnRenamed("shingles", "own")
+    known = _spelt(items, "text", width, ["item"])
     found = (
-        candidates.join(spelt, "text_code").join(known, "item_id")
-        .select("text_code", "item_id", F.size("shingles").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("shingles", "own")).cast("long").alias("n_shared"))
+        candidates.join(spelt, text_key).join(known, "item")
+        .select(*text_key, "item", F.size("shingles").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("shingles", "own")).cast("long").alias("n_shared"))
         .where(F.col("n_shared") * 100 >= F.col("n_item_shingles") * percent)
     )
-    found = scratch.save(found, "found")
-    return coded.select("doc_id", "text_code").join(sized(found), "text_code").select("doc_id", "item_id", "n_item_shingles", "n_shared")
+    found = scratch.save(found, "found").join(sized(listed.select("item", "item_id")), "item")
+    out = coded.select("doc_id", *text_key).join(sized(found), text_key).select("doc_id", "item_id", "n_item_shingles", "n_shared")
+    scratch.drop("sketches", "candidates")
+    return out
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

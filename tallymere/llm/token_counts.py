@@ -10,17 +10,18 @@ before it.  The scan has two levels, so no task sees all blocks of a large file.
 ``write_token_blocks`` makes such files from texts: one file for each input
 partition, as Parquet rows of raw blocks, so that any Spark storage holds them,
 and a list of the documents in the order of the files.  ``read_token_files``
-reads plain binary files.
+reads plain binary files of any size, range by range.
 
 Defined results: a null or empty text is a document of 0 tokens; a separator
 counts to no document; tokens after the last separator of a file are a last
 document, marked as not ended; blocks may have any sizes, also none; a null
-block is empty.
+block is empty; identifiers of documents keep their type.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,44 +48,71 @@ def load_encoding(path: str = RANKS_PATH):
     return tiktoken.Encoding("flat-files", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_type_of(encoding) -> str:
+    """Two bytes a token where the vocabulary allows, else four."""
+    return "<u2" if encoding.n_vocab <= 1 << 16 else "<u4"
+
+
 def write_token_blocks(docs: DataFrame, encoding, scratch: Scratch, separator: int = END_OF_DOCUMENT, block_tokens: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
-    """Blocks (file, no, data) of 16-bit ids, and documents (file, ordinal, doc_id) in their order."""
+    """Blocks (file, no, data) of ids of token_type_of(encoding), and documents (file, ordinal, doc_id) in their order."""
     shared = docs.sparkSession.sparkContext.broadcast(encoding)
-    schema = pa.schema([("kind", pa.string()), ("file", pa.int32()), ("no", pa.int64()), ("doc_id", pa.int64()), ("data", pa.binary())])
+    token_type = token_type_of(encoding)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def row(kind: str, file: int, no: list, doc_id: list, data: list) -> pa.RecordBatch:
+    def row(kind: str, file: int, no: list, doc_id: pa.Array, data: list) -> pa.RecordBatch:
         n = len(no)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array([file] * n, pa.int32()), pa.array(no, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(data, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array([file] * n, pa.int32()), pa.array(no, pa.int64()), doc_id, pa.array(data, pa.binary())], ["kind", "file", "no", "doc_id", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, no, ordinal, waiting, held = TaskContext.get().partitionId(), 0, 0, [], 0
+        none = None
         for batch in batches:
+            none = pa.nulls(1, batch["doc_id"].type)
             for lo, hi in blocks(batch["text"]):
                 part = batch.slice(lo, hi - lo)
                 n = part.num_rows
-                yield row("document", file, list(range(ordinal, ordinal + n)), part["doc_id"].to_pylist(), [None] * n)
+                yield row("document", file, list(range(ordinal, ordinal + n)), part["doc_id"], [None] * n)
                 ordinal += n
                 for text in part["text"].to_pylist():
-                    waiting.append(np.array([*shared.value.encode_ordinary(text or ""), separator], "<u2"))
+                    waiting.append(np.array([*shared.value.encode_ordinary(text or ""), separator], token_type))
                     held += len(waiting[-1])
-                while held >= block_tokens:
-                    flat = np.concatenate(waiting)
-                    yield row("block", file, [no], [None], [flat[:block_tokens].tobytes()])
-                    waiting, held, no = [flat[block_tokens:]], held - block_tokens, no + 1
+                if held >= block_tokens:
+                    flat, at = np.concatenate(waiting), 0
+                    for at in range(block_tokens, held + 1, block_tokens):
+                        yield row("block", file, [no], none, [flat[at - block_tokens : at].tobytes()])
+                        no += 1
+                    waiting, held = [flat[at:].copy()], held - at
         if held:
-            yield row("block", file, [no], [None], [np.concatenate(waiting).tobytes()])
+            yield row("block", file, [no], none, [np.concatenate(waiting).tobytes()])
 
-    written = scratch.save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind string, file int, no long, doc_id long, data binary"), "tokens", partition_by="kind")
+    written = scratch.save(docs.select("doc_id", "text").mapInArrow(run, f"kind string, file int, no long, doc_id {id_type}, data binary"), "tokens", partition_by="kind")
     stream = written.where("kind = 'block'").select("file", "no", "data")
     return stream, written.where("kind = 'document'").select("file", F.col("no").alias("ordinal"), "doc_id")
 
 
 def read_token_files(spark: SparkSession, path: str, block_bytes: int = 1 << 20) -> DataFrame:
-    """Blocks (file, no, data) of plain binary files below a path; block_bytes must be a multiple of a token's width. A file can have up to 2 GB."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), F.col("content"))
-    at = F.sequence(F.lit(0), F.floor((F.octet_length("content") - 1) / block_bytes).cast("int"))
-    cut = files.where(F.octet_length("content") > 0).select("file", "content", F.explode(at).alias("no"))
-    return cut.select("file", F.col("no").cast("long").alias("no"), F.substring("content", F.col("no") * block_bytes + 1, F.lit(block_bytes)).alias("data"))
+    """Blocks (file, no, data) of plain binary files of any size below a path; block_bytes must be a multiple of a token's width.
+
+    Spark lists the files and their lengths; tasks read ranges of bytes, so a file is never in memory whole.  The
+    store must be one that pyarrow can open (local or shared folders, object stores, HDFS).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    ranges = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes))).alias("no"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = batch.slice(i, 1)
+                name, no = own["file"][0].as_py(), own["no"][0].as_py()
+                store, place = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+                with store.open_input_file(place) as opened:
+                    data = opened.read_at(min(block_bytes, own["length"][0].as_py() - no * block_bytes), no * block_bytes)
+                yield pa.RecordBatch.from_arrays([own["file"], own["no"], pa.array([data], pa.binary())], ["file", "no", "data"])
+
+    # ranges are few numbers each; dealt anew, as all of a large file's come from one row
+    return ranges.repartition("file", "no").mapInArrow(run, "file string, no long, data binary")
 
 
 def count_tokens(stream: DataFrame, scratch: Scratch, separator: int = END_OF_DOCUMENT, token_type: str = "<u2") -> DataFrame:
@@ -125,5 +153,6 @@ def count_tokens(stream: DataFrame, scratch: Scratch, separator: int = END_OF_DO
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scratch = Scratch(spark, "token-counts")
-    stream, order = write_token_blocks(docs, load_encoding(), scratch)
-    return count_tokens(stream, scratch).join(order, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    encoding = load_encoding()
+    stream, order = write_token_blocks(docs, encoding, scratch)
+    return count_tokens(stream, scratch, token_type=token_type_of(encoding)).join(order, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")

@@ -65,6 +65,22 @@ def test_held_out_accuracy(spark):
     assert right > 0.98
 
 
+def test_many_languages_and_a_script_of_none(spark):
+    r = random.Random(5)
+    words = {f"l{k:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for k in range(150)}
+    rows = [(" ".join(r.choice(own) for _ in range(30)), name) for name, own in words.items() for _ in range(3)]
+    taught = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    out = language.identify(spark.createDataFrame([(t, n) for t, n in rows[::3]] + [("привет мир", None)], "text string, lang string"), taught).collect()
+    assert all(x["lang_pred"] == x["row"]["lang"] and x["score"] > 0.9 for x in out if x["row"]["lang"]) and len(taught.languages) == 150
+    assert [(x["lang_pred"], x["score"]) for x in out if x["row"]["lang"] is None] == [("l000", 0.0)]
+
+
+def test_rare_languages_are_learnt_from_a_bounded_sample(spark):
+    rows = [(f"the and with {i}", "en") for i in range(3000)] + [(f"ñandú mañana señor {i}", "es") for i in range(3)]
+    taught = language.learn(spark.createDataFrame(rows, "text string, lang string"), sample_rows=200)
+    assert taught.languages == ["en", "es"]
+
+
 # --- personal data -------------------------------------------------------------------------------------------------
 
 
@@ -242,6 +258,9 @@ def test_documents_and_files(spark, docs, none, tmp_path):
         out = token_counts.count_tokens(stream, scratch).join(order, ["file", "ordinal"])
         got = sorted(((r["doc_id"], r["n_tokens"]) for r in out.collect()), key=str)
         assert got == sorted(((r["doc_id"], len(encoding.encode_ordinary(r["text"] or ""))) for r in frame.collect()), key=str)
+    named = spark.createDataFrame([("a", "one two"), (None, "three")], "doc_id string, text string")
+    stream, order = token_counts.write_token_blocks(named, encoding, Scratch(spark, "t"))
+    assert {r["doc_id"] for r in order.collect()} == {"a", None} and stream.count() >= 1
     tokens = np.array([5, 6, 9, 9, 5, 9, 4], "<u2")
     (tmp_path / "a.bin").write_bytes(tokens.tobytes())
     found = token_counts.count_tokens(token_counts.read_token_files(spark, str(tmp_path), block_bytes=4), Scratch(spark, "t"), separator=9)
@@ -281,6 +300,23 @@ def test_paths_are_best_and_round_trip():
         assert abs(got - best_score(text, table, model.unknown_score)) < 1e-6, text
 
 
+@pytest.mark.parametrize("crossing", [False, True])
+def test_text_without_spaces_and_pieces_across_spaces(crossing):
+    r = random.Random(9)
+    names = ["▁", "a", "b", "c", "▁a", "bb", "abb", "ccc"] + ["a▁b", "bb▁"] * crossing
+    scores = [0.0] * 256 + [-r.random() * 9 for _ in names]
+    model = pieces.Pieces.build([f"<0x{i:02X}>" for i in range(256)] + names, scores, [False] * 256 + [True] * len(names), 0)
+    assert model._splits_before_spaces() != crossing
+    table = dict(zip(names, scores[256:], strict=True))
+    texts = ["".join(r.choice("aabbbc" + " " * (k % 3 == 0)) for _ in range(r.choice([3, 40, 90, 400]))) for k in range(120)]
+    ids, offsets = model.encode(pa.array(texts))
+    assert model.decode(ids, offsets) == texts
+    for i, text in enumerate(texts):
+        assert abs(sum(scores[k] for k in ids[offsets[i] : offsets[i + 1]]) - best_score(text, table, model.unknown_score)) < 1e-6, text
+    mixed = ["漢字é" * 500, "a" * 1000 + "漢" + "b" * 300]
+    assert model.decode(*model.encode(pa.array(mixed))) == mixed
+
+
 def test_pieces_of_the_vocabulary(spark, docs, none):
     model = pieces.Pieces.load()
     out = pieces.encode(docs, model, decoded=True).collect()

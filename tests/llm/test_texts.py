@@ -241,6 +241,7 @@ def brute_contamination(docs, items):
 def test_contamination_equals_brute_force(spark, docs, none):
     r = random.Random(3)
     items = [(k, " ".join(f"b{r.randrange(400)}" for _ in range(r.choice([1, 3, 5, 6, 9, 30, 55])))) for k in range(25)] + [(90, ""), (91, None), (92, items_text := "one two three four five six")]
+    items += [(None, items[3][1]), (4, items[6][1] + " and more words of its own"), (7, items[7][1])]
     rows = corpus(9, 60)
     for i in range(60):
         own = (r.choice(items[:25])[1] or "").split()

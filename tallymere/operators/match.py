@@ -1,11 +1,16 @@
 """Entity matching: exact keys, similar names, and the ordered merge of records into entities.
 
 Records are merged in the order of ``ord``: each goes to the first entity that
-matches it by identifier, symbol, or similar name with close dates.  Every
-attribute of an entity comes from one of its members, so records that could
-ever meet are connected by links between members.  Links are found by joins,
-their components by contractions, and the ordered merge runs inside each
-component, on scored links.
+matches it by identifier, symbol, or similar name with close dates, as that
+entity stands when the record's turn comes.
+
+No record is handled by itself and no group in one task.  A round takes a guess
+of where every record went, derives from it how each entity stood at any time,
+and decides all records anew, by joins.  A guess that a round does not change
+is the result of taking the records in turn, as each record's decision then
+rests on right ones before it.  A round makes at least the first undecided
+record of every chain right, so rounds end; how many it takes depends on how far
+corrections travel along chains of records that decide each other.
 
 Similar names are found between blocks of distinct names, a pair of blocks a
 task; a bound from shared characters drops most pairs before they are scored.
@@ -14,19 +19,17 @@ task; a bound from shared characters drops most pairs before they are scored.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
 from ..functions.names import company_key, premium_key, symbol_key
-from ..functions.similarity import jaro_winkler
-from ..plans.graph import components
+from ..functions.similarity import scores
 from ..plans.scratch import Scratch
-from ..schemas import BAND, URLS
 
 SAME, NEAR = 0.90, 0.85
 DAYS = 30
@@ -63,26 +66,29 @@ def possible_pairs(x: list[str], y: list[str], least: float) -> tuple[np.ndarray
     return np.nonzero(jaro + 0.1 * _prefix(x, y) * (1 - jaro) >= least - 1e-9)
 
 
-def _met(left: DataFrame, right: DataFrame, least: float, ordered: bool) -> DataFrame:
-    """Possible pairs x, y of two dealt sides (i, j, x) and (i, j, y); ``ordered``: each pair once where a block meets itself."""
+def _met(left: DataFrame, right: DataFrame, least: float, both: bool) -> DataFrame:
+    """Pairs x, y with score of two dealt sides (i, j, x) and (i, j, y). ``both``: of one set of names dealt as both sides, each pair in both directions."""
 
     def pairs(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         x, y = sorted(a["x"].to_pylist()), sorted(b["y"].to_pylist())
         if not x or not y:
-            return pa.table({"x": pa.array([], pa.string()), "y": pa.array([], pa.string())})
+            return pa.table({"x": pa.array([], pa.string()), "y": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
         i, j = possible_pairs(x, y, least)
-        if ordered and key[0].as_py() == key[1].as_py():
+        if both and key[0].as_py() == key[1].as_py():
             i, j = i[x_before := i < j], j[x_before]
-        return pa.table({"x": pa.array(x).take(pa.array(i)), "y": pa.array(y).take(pa.array(j))})
+        left, right = [x[k] for k in i], [y[k] for k in j]
+        # in one set the score is that of (x, y), between two sets that of (y, x)
+        found = [(left, right, scores(left, right)), (right, left, scores(right, left))] if both else [(left, right, scores(right, left))]
+        return pa.concat_tables(pa.table({"x": pa.array(p, pa.string()), "y": pa.array(q, pa.string()), "score": r}).filter(pa.array(r >= least)) for p, q, r in found)
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(pairs, "x string, y string")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(pairs, "x string, y string, score double")
 
 
 def _dealt(names: DataFrame, parts: int) -> DataFrame:
     return names.select("name", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int").alias("b"))
 
 
-def similar_names(names: DataFrame, scratch: Scratch, least: float = NEAR, block: int = 2000) -> DataFrame:
+def similar_names(names: DataFrame, scratch: Scratch, least: float = NEAR, block: int = 1000) -> DataFrame:
     """Of distinct non-empty names (column name), pairs x, y with score of (x, y) at least ``least``, in both directions.
 
     Names are dealt into blocks of about ``block``, and each pair of blocks is one group of at most two blocks.
@@ -91,99 +97,29 @@ def similar_names(names: DataFrame, scratch: Scratch, least: float = NEAR, block
     dealt = _dealt(names, parts)
     left = dealt.select("name", "b", F.explode(F.sequence(F.col("b"), F.lit(parts - 1))).alias("other")).select(F.col("b").alias("i"), F.col("other").alias("j"), F.col("name").alias("x"))
     right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), F.col("name").alias("y"))
-    found = _met(left, right, least, True).repartition("x", "y")  # blocks are few, scores are the work
-    both = found.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p")).select("p.*")
-    return scratch.save(both.withColumn("score", jaro_winkler(F.col("x"), F.col("y"))).where(F.col("score") >= least), "similar-names")
+    return scratch.save(_met(left, right, least, True), "similar-names")
 
 
-def names_between(names: DataFrame, others: DataFrame, least: float, block: int = 2000) -> DataFrame:
+def names_between(names: DataFrame, others: DataFrame, least: float, block: int = 1000) -> DataFrame:
     """Of two sets of distinct non-empty names (column name), pairs x, y with score of (y, x) at least ``least``; a block of each side is one group."""
     parts, other_parts = (max(1, math.ceil(side.count() / block)) for side in (names, others))
     left = _dealt(names, parts).select(F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(other_parts - 1))).alias("j"), F.col("name").alias("x"))
     right = _dealt(others, other_parts).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i"), F.col("b").alias("j"), F.col("name").alias("y"))
-    met = _met(left, right, least, False).repartition("x", "y")  # blocks are few, scores are the work
-    return met.withColumn("score", jaro_winkler(F.col("y"), F.col("x"))).where(F.col("score") >= least)
+    return _met(left, right, least, False)
 
 
 # --- ordered merge -----------------------------------------------------------------------------------------------
 
-MASTER = (
-    f"first_ord bigint, member_ords array<bigint>, isin string, symbol string, company_name string, status string, bidding_start_date string, price_band {BAND}, "
-    f"document_urls {URLS}, listing_date string, raw_sources map<string,string>"
-)
-BORDERLINE = "reason string, score double, first_ord bigint, ord bigint"
-
-
-def _either(a, b):
-    return a or b
-
-
-def merge_pair(a: dict, b: dict) -> dict:
-    """Entity ``a`` with record ``b`` merged in: first filled value wins, with precedence of sources for dates, bands and documents."""
-    nse = b if "nse" in b["raw_sources"] else a if "nse" in a["raw_sources"] else None
-    upstox = a if "upstox" in a["raw_sources"] else b if "upstox" in b["raw_sources"] else None
-    out = {k: _either(a[k], b[k]) for k in ("isin", "symbol", "company_name", "status", "listing_date")}
-    start = (nse or {}).get("bidding_start_date") or (upstox or {}).get("bidding_start_date")
-    out["bidding_start_date"] = start or _either(a["bidding_start_date"], b["bidding_start_date"])
-    if upstox and upstox["price_band"] and upstox["price_band"]["minimum"] is not None:
-        out["price_band"] = upstox["price_band"]
-    else:  # a band without bounds counts as one
-        out["price_band"] = (nse and nse["price_band"]) or a["price_band"] or b["price_band"]
-    url = lambda r, k: (r and r["document_urls"] or {}).get(k)
-    out["document_urls"] = {k: url(nse, k) or url(a, k) or url(b, k) or None for k in ("rhp", "drhp")}
-    out["raw_sources"] = {**a["raw_sources"], **b["raw_sources"]}
-    return out
 
+@dataclass
+class Merge:
+    masters: DataFrame  #: the entities: first_ord, n_members, and the columns of a record
+    misses: DataFrame  #: near misses: reason, score, first_ord of the entity, ord of the record, and both as they stood (existing, incoming)
+    members: DataFrame  #: ord of each record, with the first_ord of its entity
 
-def ordered_merge(records: list[dict], scores: dict[tuple[str, str], float]) -> tuple[list[dict], list[dict]]:
-    """Entities and near misses of one component.
 
-    ``records`` carry name, sym and day (keys computed before); ``scores`` has (incoming name, entity's name).
-    Candidates come from indexes by identifier, symbol and neighbouring names, and are tried in the order of entities; keys of an
-    entity are set once and never change, so the indexes stay right.
-    """
-    entities: list[dict] = []
-    misses: list[dict] = []
-    index: dict[str, dict[str, list[int]]] = {"isin": {}, "sym": {}, "name": {}}
-    near: dict[str, list[str]] = {}
-    for x, y in scores:
-        near.setdefault(x, []).append(y)
-
-    def put(i: int) -> None:
-        for field, own in index.items():
-            value = entities[i][field]
-            if value and i not in own.setdefault(value, []):
-                own[value].append(i)
-
-    for record in sorted(records, key=lambda r: r["ord"]):
-        found = {i for field in ("isin", "sym") if record[field] for i in index[field].get(record[field], ())}
-        if record["name"]:
-            for name in [record["name"], *near.get(record["name"], ())]:
-                found.update(index["name"].get(name, ()))
-        for i in sorted(found):
-            entity = entities[i]
-            same = (record["isin"] and record["isin"] == entity["isin"]) or (record["sym"] and record["sym"] == entity["sym"])
-            if not same and record["name"] and entity["name"]:
-                score = 1.0 if record["name"] == entity["name"] else scores.get((record["name"], entity["name"]), 0.0)
-                days = None if record["day"] is None or entity["day"] is None else abs(record["day"] - entity["day"])
-                if score >= SAME and days is not None and days <= DAYS:
-                    same = True
-                elif score >= NEAR:
-                    reason = "fuzzy_name_match_date_guard_failed" if score >= SAME else "near_miss_below_threshold"
-                    misses.append({"reason": reason, "score": score, "first_ord": entity["first_ord"], "ord": record["ord"]})
-            if same:
-                merged = merge_pair(entity, record)
-                merged["name"], merged["sym"] = entity["name"] or record["name"], entity["sym"] or record["sym"]
-                source = merged["bidding_start_date"]
-                merged["day"] = entity["day"] if source == entity["bidding_start_date"] else record["day"]
-                merged["first_ord"], merged["member_ords"] = entity["first_ord"], [*entity["member_ords"], record["ord"]]
-                entities[i] = merged
-                put(i)
-                break
-        else:
-            entities.append({**record, "first_ord": record["ord"], "member_ords": [record["ord"]]})
-            put(len(entities) - 1)
-    return entities, misses
+def _filled(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit("")) != ""
 
 
 def _keyed(records: DataFrame) -> DataFrame:
@@ -193,38 +129,124 @@ def _keyed(records: DataFrame) -> DataFrame:
     })
 
 
-def deduplicate(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities (see MASTER) and near misses (reason, score, first_ord of the entity, ord of the record) of standard records.
+def _standing(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How entities stood, from their members (root, ord, and keys): keys with the order at which each was set, and dates (root, since, until, start, day).
 
-    A component is merged in one task, as its order matters; its size is that of a group of records with linked names.
+    Isin, symbol and name are those of the first member that has one.  The
+    start is that of the last member from the exchange that has one, else of
+    the first one from the broker if none from either came before, else the
+    first there is.
     """
+    first = lambda test, *columns: F.min(F.when(test, F.struct("ord", *columns)))
+    keys = members.groupBy("root").agg(
+        first(_filled("isin"), "isin").alias("by_isin"), first(_filled("symbol"), "sym", "symbol").alias("by_sym"), first(_filled("company_name"), "name", "company_name").alias("by_name")
+    )
+    turn = Window.partitionBy("root").orderBy("ord")
+    before = F.coalesce(F.max(F.col("src").isin("nse", "upstox")).over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    overrules = _filled("bidding_start_date") & ((F.col("src") == "nse") | ((F.col("src") == "upstox") & ~before))
+    own = F.struct(F.col("bidding_start_date").alias("start"), "day")
+    now = F.coalesce(F.last(F.when(overrules, own), True).over(turn), F.first(F.when(_filled("bidding_start_date"), own), True).over(turn))
+    dates = members.select("root", F.col("ord").alias("since"), now.alias("now"))
+    turn = Window.partitionBy("root").orderBy("since")
+    dates = dates.withColumn("was", F.lag("now").over(turn)).where(~F.col("now").eqNullSafe(F.col("was")))
+    return keys, dates.select("root", "since", F.lead("since").over(turn).alias("until"), "now.start", "now.day")
+
+
+def _decided(keyed: DataFrame, wanted: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One round: columns ord, root (the record's entity, by its first order) and moved, from the guess ``assigned`` (ord, root)."""
+    roots = assigned.where("ord = root").select("root")
+    keys, dates = _standing(keyed.join(assigned, "ord").join(roots, "root", "left_semi"))
+    found = []
+    for field, of in (("isin", "by_isin"), ("sym", "by_sym")):
+        entities = keys.where(F.coalesce(F.col(f"{of}.{field}"), F.lit("")) != "").select(F.col(f"{of}.{field}").alias(field), F.col(f"{of}.ord").alias("at"), "root")
+        found.append(keyed.select("ord", field).join(entities, field).where("at < ord and root < ord").select("ord", "root"))
+    named = keys.where("by_name.name <> ''").select("root", F.col("by_name.name").alias("y"), F.col("by_name.ord").alias("at")).join(dates.where("day is not null").drop("start"), "root")
+    close = (F.abs(F.col("day") - F.col("on")) <= DAYS) & (F.greatest("since", "at") < F.col("ord")) & (F.col("until").isNull() | (F.col("ord") <= F.col("until")))
+    found.append(wanted.join(named, "y").where(close).select("ord", "root"))
+    best = found[0].union(found[1]).union(found[2]).groupBy("ord").agg(F.min("root").alias("best"))
+    return assigned.join(best, "ord", "left").select("ord", F.coalesce("best", "ord").alias("root"), (F.coalesce("best", "ord") != F.col("root")).alias("moved"))
+
+
+def _merged(members: DataFrame) -> DataFrame:
+    """Entities of their members, with precedence of sources for dates, bands and documents."""
+    whole = Window.partitionBy("root")
+    at = lambda test, most=F.min: most(F.when(test, F.col("ord"))).over(whole)
+    has_band, has_low = F.col("price_band").isNotNull(), F.col("price_band.minimum").isNotNull()
+    nse = F.col("src") == "nse"
+    rows = members.withColumn("_broker", at(F.col("src") == "upstox"))
+    early = F.col("_broker").isNull() | (F.col("ord") < F.col("_broker"))
+    band = lambda test, by: by(F.when(test, F.col("price_band")), F.when(test, F.col("ord")))
+    # the band when the broker's first record has come: its own if it has a minimum, else the exchange's last, else the first one
+    start = F.coalesce(band((F.col("ord") == F.col("_broker")) & has_low, F.min_by), band(early & nse & has_band, F.max_by), band(early & has_band, F.min_by), band(F.col("ord") == F.col("_broker"), F.min_by))
+    firsts = rows.groupBy("root").agg(start.alias("_band"), F.first("_broker").alias("_broker")).withColumn("_open", F.col("_broker").isNotNull() & F.col("_band.minimum").isNull())
+    later = rows.drop("_broker").join(firsts.where("_open").select("root", "_band", "_broker"), "root").where("ord > _broker")
+    # without a minimum by then, the first band fills what is missing, and then the exchange's first one with a minimum ends it
+    filler = F.min(F.when(F.col("_band").isNull() & has_band, F.col("ord"))).over(whole)
+    later = later.withColumn("_filler", filler)
+    counts = (F.col("ord") == F.col("_filler")) | (nse & has_band & (F.col("_band").isNotNull() | (F.col("ord") > F.col("_filler"))))
+    later = later.groupBy("root").agg(F.coalesce(band(counts & has_low, F.min_by), band(counts, F.max_by)).alias("_later"))
+    bands = firsts.join(later, "root", "left").select("root", F.coalesce("_later", "_band").alias("price_band"))
+
+    def first_filled(name: str) -> Column:
+        return F.coalesce(F.min_by(F.when(_filled(name), F.col(name)), F.when(_filled(name), F.col("ord"))), F.max_by(name, "ord")).alias(name)
+
+    def url(kind: str) -> Column:
+        name = f"document_urls.{kind}"
+        by = lambda test, most: most(F.when(test, F.col(name)), F.when(test, F.col("ord")))
+        return F.coalesce(by(_filled(name) & nse, F.max_by), by(_filled(name), F.min_by)).alias(kind)
+
+    earlier = F.coalesce(F.max(F.col("src").isin("nse", "upstox")).over(whole.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    overrules = _filled("bidding_start_date") & (nse | ((F.col("src") == "upstox") & ~F.col("_earlier")))
+    date = F.max_by(F.when(overrules, F.col("bidding_start_date")), F.when(overrules, F.col("ord")))
+    out = members.withColumn("_earlier", earlier).groupBy("root").agg(
+        F.count(F.lit(1)).alias("n_members"), *[first_filled(c) for c in ("isin", "symbol", "company_name", "status", "listing_date")],
+        F.coalesce(date, first_filled("bidding_start_date")).alias("bidding_start_date"), F.struct(url("rhp"), url("drhp")).alias("merged_urls"), F.min_by("document_urls", "ord").alias("own_urls"),
+    )
+    # a source's payload is that of its last record; there are few sources
+    last = members.groupBy("root", "src").agg(F.max_by(F.element_at("raw_sources", F.col("src")), "ord").alias("payload"))
+    raw = last.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("src", "payload"))).alias("raw_sources"))
+    urls = F.when(F.col("n_members") > 1, F.col("merged_urls")).otherwise(F.col("own_urls")).alias("document_urls")
+    met = out.join(bands, "root").join(raw, "root")
+    return met.select(F.col("root").alias("first_ord"), "n_members", "isin", "symbol", "company_name", "status", "bidding_start_date", "price_band", urls, "listing_date", "raw_sources")
+
+
+def _misses(keyed: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Of each record, the entities before its own whose names are similar, as both stood at its turn."""
+    keys, dates = _standing(keyed.join(members, "ord"))
+    named = keys.where("by_name.name <> ''").withColumn("y", F.col("by_name.name"))
+    own = F.struct("isin", "symbol", "company_name", "bidding_start_date").alias("incoming")
+    asks = keyed.where("name <> ''").select("ord", F.col("name").alias("x"), own).join(members.select("ord", F.col("root").alias("_own")), "ord")
+    same = asks.select("x").distinct().select("x", F.col("x").alias("y"), F.lit(1.0).alias("score"))
+    asks = asks.join(pairs.union(same), "x")
+    met = asks.join(named, "y").where("root < _own and by_name.ord < ord")
+    when = met.join(dates.withColumnRenamed("root", "_root"), (F.col("root") == F.col("_root")) & (F.col("since") < F.col("ord")) & (F.col("until").isNull() | (F.col("ord") <= F.col("until"))), "left")
+    known = lambda of, c: F.when(F.col(f"{of}.ord") < F.col("ord"), F.col(f"{of}.{c}")).alias(c)
+    existing = F.struct(known("by_isin", "isin"), known("by_sym", "symbol"), F.col("by_name.company_name").alias("company_name"), F.col("start").alias("bidding_start_date")).alias("existing")
+    reason = F.when(F.col("score") >= SAME, "fuzzy_name_match_date_guard_failed").otherwise("near_miss_below_threshold")
+    return when.select(reason.alias("reason"), "score", F.col("root").alias("first_ord"), "ord", existing, "incoming")
+
+
+def deduplicate(records: DataFrame) -> Merge:
+    """Entities, near misses and members of standard records, whose ``ord`` differ and whose payload is that of their source."""
     scratch = Scratch(records.sparkSession, "deduplicate")
     keyed = scratch.save(_keyed(records), "keyed")
-    pairs = similar_names(keyed.where("name <> ''").select("name").distinct(), scratch)
-    # links run through values: record to its isin, symbol and name, and name to similar name
-    value = lambda kind, c: F.xxhash64(F.lit(kind), F.col(c))
-    own = value("ord", "ord")
-    links = keyed.select(own.alias("a"), F.explode(F.array(*[F.when(F.coalesce(F.col(c), F.lit("")) != "", value(c, c)) for c in ("isin", "sym", "name")])).alias("b")).where("b is not null")
-    links = links.union(pairs.where("x < y").select(value("name", "x").alias("a"), value("name", "y").alias("b")))
-    groups = components(links, scratch)
-    placed = scratch.save(keyed.withColumn("node", own).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"), "placed")
-    names = placed.where("name <> ''").select(F.col("name").alias("x"), F.col("component").alias("part")).distinct()
-    scored = pairs.join(names, "x").select("part", "x", "y", "score")
-
-    def fold(left: pd.DataFrame, right: pd.DataFrame) -> tuple[list[dict], list[dict]]:
-        rows = left.astype(object).where(left.notna(), None).to_dict("records")
-        for row in rows:
-            row["raw_sources"] = dict(row["raw_sources"] or {})
-        return ordered_merge(rows, dict(zip(zip(right["x"], right["y"], strict=True), right["score"], strict=True)))
-
-    def entities(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(left, right)[0], columns=[x.split(" ")[0] for x in MASTER.split(", ")])
-
-    def misses(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold(left, right)[1], columns=["reason", "score", "first_ord", "ord"])
-
-    grouped = placed.groupBy("component").cogroup(scored.groupBy("part"))
-    return grouped.applyInPandas(entities, MASTER), grouped.applyInPandas(misses, BORDERLINE)
+    light = keyed.select("ord", "src", "isin", "symbol", "sym", "company_name", "name", "bidding_start_date", "day")
+    names = light.where("name <> ''").select("name").distinct()
+    pairs = similar_names(names, scratch)
+    # what a record asks for by name: entities of its own and of similar names
+    asks = pairs.where(F.col("score") >= SAME).select("x", "y").union(names.select(F.col("name").alias("x"), F.col("name").alias("y")))
+    wanted = light.where("name <> '' and day is not null").select("ord", F.col("name").alias("x"), F.col("day").alias("on")).join(asks, "x").select("ord", "y", "on")
+    wanted = scratch.save(wanted, "wanted")
+    assigned, turn = light.select("ord", F.col("ord").alias("root")), 0
+    while True:
+        turn += 1
+        assigned = scratch.save(_decided(light, wanted, assigned.select("ord", "root")), f"round-{turn}")
+        if assigned.where("moved").isEmpty():
+            break
+        if turn > 1:
+            scratch.drop(f"round-{turn - 1}")
+    members = assigned.select("ord", "root")
+    return Merge(_merged(keyed.join(members, "ord")), _misses(light, pairs, members), members.select("ord", F.col("root").alias("first_ord")))
 
 
 # --- key matches and premium matches -------------------------------------------------------------------------------

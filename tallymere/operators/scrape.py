@@ -58,19 +58,19 @@ def run_records(records: DataFrame, known: Sequence[str], stored: DataFrame | No
     scratch = Scratch(spark, "run")
     asked = spark.createDataFrame([(s,) for s in sources], "source string")
     records = scratch.save(records, "records")
-    masters, borderline = deduplicate(records)
-    masters = scratch.save(masters, "masters")
+    merge = deduplicate(records)
+    masters = scratch.save(merge.masters, "masters")
     kept = without_listed(masters)
     entities = to_entities(with_timeline(kept, now), now)
     counts = asked.join(records.groupBy(F.col("src").alias("source")).agg(F.count(F.lit(1)).alias("n")), "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("records"))
     merged = masters.agg(
-        F.coalesce(F.sum(F.size("member_ords")), F.lit(0)).alias("records"), F.count(F.lit(1)).alias("masters"), F.count_if(F.col("status") == "listed").alias("listed_dropped")
+        F.coalesce(F.sum("n_members"), F.lit(0)).alias("records"), F.count(F.lit(1)).alias("masters"), F.count_if(F.col("status") == "listed").alias("listed_dropped")
     )
     errors = asked.where(~F.col("source").isin(list(known))).select("source", F.lit("unknown source").alias("error"))
     if dry_run:
-        return Run(None, None, entities, counts, merged, borderline, errors)
+        return Run(None, None, entities, counts, merged, merge.misses, errors)
     # the merge's order decides which of two entities with one key comes first
     batch = to_entities(with_timeline(kept, now), now, "first_ord")
     old = entities.withColumn("created_at", F.lit(now)).limit(0) if stored is None else stored
     state, actions = upsert(old, batch, now, order="first_ord")
-    return Run(state, actions, entities, counts, merged, borderline, errors)
+    return Run(state, actions, entities, counts, merged, merge.misses, errors)

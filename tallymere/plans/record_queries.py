@@ -130,14 +130,14 @@ def q_gmp_containment(spark, sf_dir):
 
 @query()
 def q_dedup_master(spark, sf_dir):
-    masters, _ = match.deduplicate(feeds.records(spark, sf_dir))
-    return masters.select("first_ord", F.array_join(F.transform("member_ords", lambda x: x.cast("string")), ",").alias("members"), "isin", "symbol", "company_name", "status", "bidding_start_date",
+    masters = match.deduplicate(feeds.records(spark, sf_dir)).masters
+    return masters.select("first_ord", "n_members", "isin", "symbol", "company_name", "status", "bidding_start_date",
                           F.col("price_band.minimum").alias("low"), F.col("price_band.maximum").alias("high"), F.col("document_urls.rhp").alias("rhp"), F.col("document_urls.drhp").alias("drhp"), F.array_join(F.array_sort(F.map_keys("raw_sources")), ",").alias("sources"))
 
 
 @query()
 def q_dedup_borderline(spark, sf_dir):
-    return match.deduplicate(feeds.records(spark, sf_dir))[1]
+    return match.deduplicate(feeds.records(spark, sf_dir)).misses
 
 
 # --- timelines and entities ----------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallymere.functions.similarity import scores
 from tallymere.operators import match
 from tallymere.plans.scratch import Scratch
 from tallymere.schemas import STD_RECORD
@@ -38,6 +39,26 @@ def close(a, b):
         return False
 
 
+def merged(e, x):
+    """Entity and record, by lists of what is asked first."""
+    whose = lambda source, *order: next((r for r in order if source in r["raw_sources"]), {})
+    exchange, broker = whose("nse", x, e), whose("upstox", e, x)
+    out = {k: e[k] or x[k] for k in ("isin", "symbol", "company_name", "status", "listing_date")}
+    dates = [exchange.get("bidding_start_date"), broker.get("bidding_start_date"), e["bidding_start_date"], x["bidding_start_date"]]
+    out["bidding_start_date"] = next(filter(None, dates), dates[-1])
+    bound = broker.get("price_band")
+    bands = [bound if bound and bound["minimum"] is not None else None, exchange.get("price_band"), e["price_band"], x["price_band"]]
+    out["price_band"] = next((b for b in bands if b is not None), None)
+    urls = lambda r, k: (r.get("document_urls") or {}).get(k)
+    out["document_urls"] = {k: next(filter(None, (urls(exchange, k), urls(e, k), urls(x, k))), None) for k in ("rhp", "drhp")}
+    out["raw_sources"] = e["raw_sources"] | x["raw_sources"]
+    return out
+
+
+def state(r):
+    return tuple(r[k] or None for k in ("isin", "symbol", "company_name", "bidding_start_date"))
+
+
 def plain_merge(records):
     """Each record against all entities so far, in order."""
     entities, misses = [], []
@@ -50,42 +71,52 @@ def plain_merge(records):
                 if score >= 0.9 and close(x["bidding_start_date"], e["bidding_start_date"]):
                     same = True
                 elif score >= 0.85:
-                    misses.append(("fuzzy_name_match_date_guard_failed" if score >= 0.9 else "near_miss_below_threshold", round(score, 9), e["first_ord"], x["ord"]))
+                    misses.append(("fuzzy_name_match_date_guard_failed" if score >= 0.9 else "near_miss_below_threshold", round(score, 9), e["members"][0], x["ord"], state(e), state(x)))
             if same:
-                entities[i] = {**match.merge_pair(e, x), "first_ord": e["first_ord"], "member_ords": [*e["member_ords"], x["ord"]]}
+                entities[i] = {**merged(e, x), "members": [*e["members"], x["ord"]]}
                 break
         else:
-            entities.append({**x, "first_ord": x["ord"], "member_ords": [x["ord"]]})
+            entities.append({**x, "members": [x["ord"]]})
     return entities, misses
 
 
-def shown(e):
+def shown(e, first, n):
     band, urls = e["price_band"], e["document_urls"]
-    return (e["first_ord"], tuple(e["member_ords"]), e["isin"], e["symbol"], e["company_name"], e["status"], e["bidding_start_date"], e["listing_date"],
+    return (first, n, e["isin"], e["symbol"], e["company_name"], e["status"], e["bidding_start_date"], e["listing_date"],
             band and (band["minimum"], band["maximum"]), urls and (urls["rhp"], urls["drhp"]), tuple(sorted(e["raw_sources"].items())))
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_merge_equals_a_sequential_one(spark, seed):
     r = random.Random(seed)
-    rows = [record(r, i) for i in range(70)]
-    masters, near = match.deduplicate(spark.createDataFrame(rows, STD_RECORD).repartition(3))
+    rows = [record(r, i) for i in range(90)]
+    out = match.deduplicate(spark.createDataFrame(rows, STD_RECORD).repartition(3))
     entities, misses = plain_merge(rows)
-    assert sorted(shown(x.asDict(True)) for x in masters.collect()) == sorted(shown(e) for e in entities)
-    assert sorted((x["reason"], round(x["score"], 9), x["first_ord"], x["ord"]) for x in near.collect()) == sorted(misses)
+    assert sorted((x["ord"], x["first_ord"]) for x in out.members.collect()) == sorted((o, e["members"][0]) for e in entities for o in e["members"])
+    text = lambda rows: sorted(map(str, rows))
+    assert text(shown(x, x["first_ord"], x["n_members"]) for x in (y.asDict(True) for y in out.masters.collect())) == text(shown(e, e["members"][0], len(e["members"])) for e in entities)
+    got = [(x["reason"], round(x["score"], 9), x["first_ord"], x["ord"], state(x["existing"]), (*(v or None for v in x["incoming"]),)) for x in out.misses.collect()]
+    assert text(got) == text(misses) and misses
 
 
 def test_no_records(spark):
-    masters, near = match.deduplicate(spark.createDataFrame([], STD_RECORD))
-    assert masters.count() == 0 and near.count() == 0
+    out = match.deduplicate(spark.createDataFrame([], STD_RECORD))
+    assert out.masters.count() == 0 and out.misses.count() == 0 and out.members.count() == 0
+
+
+def test_band_without_bounds_wins_from_the_exchange(spark):
+    base = {"symbol": None, "company_name": "a", "status": None, "document_urls": {"rhp": None, "drhp": None}, "listing_date": None, "isin": "I"}
+    a = {**base, "src": "groww", "ord": 1, "raw_sources": {"groww": "1"}, "price_band": {"minimum": 42.0, "maximum": 45.0}, "bidding_start_date": "2026-01-01"}
+    b = {**base, "src": "nse", "ord": 2, "raw_sources": {"nse": "2"}, "price_band": {"minimum": None, "maximum": None}, "bidding_start_date": "2026-01-02"}
+    (out,) = match.deduplicate(spark.createDataFrame([a, b], STD_RECORD)).masters.collect()
+    assert tuple(out["price_band"]) == (None, None) and out["bidding_start_date"] == "2026-01-02" and out["raw_sources"] == {"groww": "1", "nse": "2"}
 
 
-def test_band_without_bounds_wins_from_the_exchange():
-    base = {"isin": None, "symbol": None, "company_name": "a", "status": None, "bidding_start_date": None, "document_urls": {"rhp": None, "drhp": None}, "listing_date": None}
-    a = {**base, "raw_sources": {"groww": "1"}, "price_band": {"minimum": 42.0, "maximum": 45.0}, "bidding_start_date": "2026-01-01"}
-    b = {**base, "raw_sources": {"nse": "2"}, "price_band": {"minimum": None, "maximum": None}, "bidding_start_date": "2026-01-02"}
-    merged = match.merge_pair(a, b)
-    assert merged["price_band"] == {"minimum": None, "maximum": None} and merged["bidding_start_date"] == "2026-01-02" and merged["raw_sources"] == {"groww": "1", "nse": "2"}
+def test_scores_in_arrays_equal_the_plain_ones():
+    r = random.Random(3)
+    texts = ["".join(r.choice("abc d") for _ in range(r.randint(1, 14))) for _ in range(400)]
+    others = texts[1:] + ["x"]
+    assert list(scores(texts, others)) == [plain_jaro_winkler(x, y) for x, y in zip(texts, others, strict=True)]
 
 
 def test_pairs_of_names_lose_none(spark):

@@ -1,20 +1,24 @@
-"""Line deduplication: every repeated passage of two or more lines goes whole.
-
-A passage repeats if each pair of neighbouring lines in it occurred before.
-So the pairs are the unit: a pair of lines that occurs again, anywhere, loses
-both lines except at its first place (least doc_id, then text, then position),
-after its bytes have been compared with the first occurrence.  What stands
-around a passage plays no part, and of overlapping passages all lines go that
-are in one of them.  Each line that goes is left in some earlier place.
-
-All steps are DataFrame expressions.  Hashes of all pairs are shuffled, the
-bytes of pairs that repeat, and the decisions; documents meet these by a
-broadcast while they are few, else by a shuffle.
-
-``remove_repeated_chunks`` is the weaker form on content-defined chunks: a
-rolling (cyclic-shift) hash over the hashes of the last lines decides where a
-chunk ends, and a chunk of two or more lines that occurs again goes.  It
-shuffles fewer hashes, but misses most passages of 2 to 5 lines.
+"""Line deduplication by content-defined chunks of lines.
+
+A rolling hash over a window of two lines runs through every text.  A boundary
+falls between two lines wherever that hash occurs nowhere else in all texts;
+the chunks between boundaries are the passages whose every pair of neighbours
+occurs again.  So boundaries depend on the lines next to them alone, not on
+what stands further around or how far a passage has been shifted, and a
+repeated passage of two or more lines is never cut away by its surroundings.
+A chunk's lines go where each pair occurred before (all but its first place:
+least doc_id, then text, then position), after its bytes have been compared with
+those of the first occurrence.  Each line that goes is left in some earlier
+place.
+
+All steps are DataFrame expressions.  Hashes of all windows are shuffled, the
+bytes of those that repeat, and the decisions; documents meet these by a
+broadcast while their entries are few, else by a shuffle.
+
+``remove_repeated_chunks`` takes boundaries the usual way, where the rolling hash
+falls into one of ``divisor`` classes, and removes chunks that occur again whole.
+It shuffles fewer hashes, but the first and last chunk of a passage run into the
+lines around it, so it misses most passages of 2 to 5 lines.
 
 Defined results: a null text stays null with 0 lines; an empty text is one
 empty line; rows with equal doc_id and equal text are one occurrence and get
@@ -151,3 +155,15 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeated_passages(docs).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
+p AS (SELECT doc_id, text, unnest(range(1, len(ls))) AS k, ls FROM d),
+q AS (SELECT doc_id, text, k, ls[k] || chr(10) || ls[k + 1] AS pair FROM p),
+f AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY doc_id, k) AS n FROM q),
+g AS (SELECT doc_id, text, list_distinct(list_concat(list(k), list(k + 1))) AS gone FROM f WHERE n > 1 GROUP BY doc_id, text)
+SELECT d.doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  CASE WHEN gone IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ls[i]), chr(10)) END AS text
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id AND g.text = d.text
+"""

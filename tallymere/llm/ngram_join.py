@@ -297,3 +297,23 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("code", "check")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g FROM w),
+n AS (SELECT g, min(rid) AS node, len(g) AS n FROM s GROUP BY g),
+x AS (SELECT node, n, unnest(g) AS shingle FROM n),
+l AS (
+  SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.node <> b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT node, node AS reached FROM n WHERE n > 0 UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached),
+m AS (SELECT n.node, min(s.doc_id) AS least FROM s JOIN n ON n.g = s.g GROUP BY n.node),
+c AS (SELECT r.node, min(m.least) AS component_id FROM r JOIN m ON m.node = r.reached GROUP BY r.node)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id FROM s JOIN n ON n.g = s.g LEFT JOIN c ON c.node = n.node
+"""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_benchmark_decontamination
 from .language import op10_language_id
-from .line_dedup import op4_line_dedup
-from .ngram_join import op1_ngram_jaccard_join
+from .line_dedup import OP4_SQL, op4_line_dedup
+from .ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from .pieces import op6_sentencepiece
 from .pii import op5_pii
 from .sharding import op2_sharding
@@ -27,6 +27,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
     "op3_exact_top_k": OP3_SQL,
+    "op4_line_dedup": OP4_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
 }

@@ -137,6 +137,29 @@ def layer_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("layer").agg(F.count(F.lit(1)).alias("tried"), won.alias("won"), F.round(won / F.count(F.lit(1)), 6).alias("win_rate"))
 
 
+# Share of each stage in a document's progress, in percent.
+STAGE_WEIGHTS = [("fetch", 5), ("classify", 5), ("locate", 15), ("extract", 65), ("persist", 10)]
+
+
+def progress(stage: Column, fields_done: Column, fields_total: Column) -> Column:
+    """Percent of a document that is in a stage (``done`` after the last): all stages before it, and of extraction the share of fields that are settled."""
+    before, out = 0, F.when(stage == "done", F.lit(100.0))
+    for name, weight in STAGE_WEIGHTS:
+        share = F.when(fields_total > 0, fields_done / fields_total).otherwise(0.0) * weight if name == "extract" else F.lit(0.0)
+        out = out.when(stage == name, F.lit(float(before)) + share)
+        before += weight
+    return out
+
+
+def resolve_reviews(reviews: DataFrame, answers: DataFrame, evidence: Column, schema_ok: Column, rules_ok: Column) -> DataFrame:
+    """Open reviews (doc_hash, field, status, ...) with the answers given (doc_hash, field, value): resolved if the answer passes
+    the checks that extracted values pass, else open with what rejects it. The checks are expressions over both tables' columns."""
+    met = review_queue(reviews).join(answers, ["doc_hash", "field"], "left")
+    answered = F.col("value").isNotNull()
+    rejected = F.when(answered, first_failure(F.col("value"), evidence, schema_ok, rules_ok))
+    return met.withColumns({"rejected_by": rejected, "status": F.when(answered & rejected.isNull(), "resolved").otherwise(F.col("status"))})
+
+
 def completeness(rows: DataFrame, key: str) -> DataFrame:
     """Share of expected fields that are settled."""
     return rows.where("expected").groupBy(key).agg((F.count_if("settled") / F.count(F.lit(1))).alias("completeness"))

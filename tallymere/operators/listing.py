@@ -82,9 +82,11 @@ def premium_history(history: DataFrame, slug: str, most: int = 500) -> DataFrame
     return history.where(F.col("slug") == slug).orderBy(F.col("date").desc()).limit(most)
 
 
-def premium_run(entities: DataFrame, entries: DataFrame, now: str, slugs: list[str] | None = None, status: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Premiums matched to entities (slug, value, percentage, source, updated_at), and skipped ones (slug, reason)."""
-    if slugs:
+def premium_run(entities: DataFrame, entries: DataFrame, now: str, slugs: list[str] | DataFrame | None = None, status: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Premiums matched to entities (slug, value, percentage, source, updated_at), and skipped ones (slug, reason). ``slugs``: a short list, or a table (slug) of any size."""
+    if isinstance(slugs, DataFrame):
+        targets = entities.join(slugs, "slug", "left_semi")
+    elif slugs:
         targets = entities.where(F.col("slug").isin(slugs))
     elif status in (None, "all"):
         targets = entities.where(F.col("status").isin(*LIVE))

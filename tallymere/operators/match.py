@@ -278,19 +278,42 @@ def best_premium(entities: DataFrame, entries: DataFrame, least: float = PREMIUM
     return ours.join(exact.unionByName(best).drop("n"), "k").drop("k")
 
 
+def _contained(short: DataFrame, long: DataFrame, size: int = 4) -> DataFrame:
+    """Of distinct texts, pairs (s, l) where l contains s, for s of at least ``size`` characters.
+
+    Texts meet at the runs of ``size`` characters of l; each s asks at its rarest one alone.
+    """
+    runs = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda k: F.substring(F.col(c), k, F.lit(size))))).alias("run")
+    index = long.where(F.length("l") >= size).select("l", runs("l"))
+    known = index.groupBy("run").agg(F.count(F.lit(1)).alias("k"))
+    own = short.where(F.length("s") >= size).select("s", runs("s")).join(known, "run", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    asks = own.groupBy("s").agg(F.min_by("run", F.struct("k", "run")).alias("run"), F.min("k").alias("least")).where("least > 0").drop("least")
+    return asks.join(index, "run").where(F.contains("l", "s")).select("s", "l")
+
+
 def contained_premium(entries: DataFrame, entities: DataFrame) -> DataFrame:
     """Of each entry (ord, company_name) the first entity (ord, slug, company_name) with an equal or containing name; names below four characters contain nothing."""
     e = entries.withColumn("g", premium_key(F.col("company_name"))).where("company_name <> ''").select("ord", "g")
     i = entities.withColumn("n", premium_key(F.col("company_name"))).where("n <> ''").groupBy("n").agg(F.min(F.struct("ord", "slug")).alias("first"))
-    hit = (F.col("g") == F.col("n")) | ((F.length("g") >= 4) & F.contains("n", "g")) | ((F.length("n") >= 4) & F.contains("g", "n"))
-    met = e.select("g").distinct().join(i, hit).groupBy("g").agg(F.min("first").alias("first"))
+    asked, known = e.select("g").distinct(), i.select("n")
+    pairs = asked.join(known, F.col("g") == F.col("n")).select("g", "n")
+    pairs = pairs.union(_contained(asked.select(F.col("g").alias("s")), known.select(F.col("n").alias("l"))).select(F.col("s").alias("g"), F.col("l").alias("n")))
+    pairs = pairs.union(_contained(known.select(F.col("n").alias("s")), asked.select(F.col("g").alias("l"))).select(F.col("l").alias("g"), F.col("s").alias("n")))
+    met = pairs.join(i, "n").groupBy("g").agg(F.min("first").alias("first"))
     return e.join(met, "g").select("ord", F.col("first.slug").alias("slug"))
 
 
-def crawl_premium(entries: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Snapshots of entities (slug, current, percent, id) by containing names, the last of several entries on one; and one row of updated and skipped entries."""
+def crawl_premium(entries: DataFrame, entities: DataFrame, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Snapshots of entities (slug, current, percent, id) by containing names, the last of several entries on one; and one row of updated and skipped entries.
+
+    With ``points`` (id, date, gmp) snapshots have a history too: the points, by date, of the last of an entity's entries that has any.
+    """
     met = contained_premium(entries, entities).withColumnRenamed("slug", "_slug")
     all_entries = entries.join(met, "ord", "left")
     last = F.max_by(F.struct(F.col("gmp").alias("current"), F.col("gmp_percent").alias("percent"), "id"), "ord")
     snapshots = all_entries.where("_slug is not null").groupBy(F.col("_slug").alias("slug")).agg(last.alias("s")).select("slug", "s.*")
+    if points is not None:
+        own = points.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("date", "gmp"))).alias("history"))
+        held = all_entries.where("_slug is not null").join(own, "id").groupBy(F.col("_slug").alias("slug")).agg(F.max_by("history", "ord").alias("history"))
+        snapshots = snapshots.join(held, "slug", "left")
     return snapshots, all_entries.agg(F.count("_slug").alias("updated"), F.count_if(F.col("_slug").isNull()).alias("skipped"))

@@ -30,6 +30,11 @@ class Run:
     errors: DataFrame  #: source, error: names that no feed has
 
 
+def merge_counts(masters: DataFrame) -> DataFrame:
+    """One row: records that went into entities, entities, and those of them that are dropped as listed."""
+    return masters.agg(F.coalesce(F.sum("n_members"), F.lit(0)).alias("records"), F.count(F.lit(1)).alias("masters"), F.count_if(F.col("status") == "listed").alias("listed_dropped"))
+
+
 def run_feeds(feeds: dict[str, DataFrame], stored: DataFrame | None, now: str, today: str, sources: Sequence[str] = SOURCES, dry_run: bool = False) -> Run:
     """Standardise the feeds (source name to items that were keyed and met with details before: ord, payload), merge across them, and upsert into the store.
 
@@ -63,9 +68,7 @@ def run_records(records: DataFrame, known: Sequence[str], stored: DataFrame | No
     kept = without_listed(masters)
     entities = to_entities(with_timeline(kept, now), now)
     counts = asked.join(records.groupBy(F.col("src").alias("source")).agg(F.count(F.lit(1)).alias("n")), "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("records"))
-    merged = masters.agg(
-        F.coalesce(F.sum("n_members"), F.lit(0)).alias("records"), F.count(F.lit(1)).alias("masters"), F.count_if(F.col("status") == "listed").alias("listed_dropped")
-    )
+    merged = merge_counts(masters)
     errors = asked.where(~F.col("source").isin(list(known))).select("source", F.lit("unknown source").alias("error"))
     if dry_run:
         return Run(None, None, entities, counts, merged, merge.misses, errors)

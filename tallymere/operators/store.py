@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import filled
@@ -19,6 +20,7 @@ from ..plans.scratch import Scratch
 
 WATCHED = ("status", "price_band", "lot_size", "issue_size", "listing_date", "bidding_start", "bidding_end", "issue_price", "documents", "subscription")
 MAPS = ("documents",)
+JOB_EVENT = "job_id string, type string, ord bigint, at string, event string, msg string"
 
 
 def resolve(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -80,16 +82,31 @@ def merge_into(old: str, new: str, columns: list[str], texts: set[str]) -> Colum
 def ordered_upsert(stored: list[dict], batch: list[dict], now: str, texts: set[str]) -> tuple[list[dict], list[tuple[str, str, list[str]]]]:
     """New state and actions of one group of entities (dicts without null fields), each row seeing what the rows before it wrote."""
     state, actions = [dict(s) for s in sorted(stored, key=lambda s: s["slug"])], []
+    places: dict[tuple[str, str], list[int]] = {}  # entities that have or had a key, by its value
+
+    def put(i: int) -> None:
+        for key in ("isin", "symbol", "slug"):
+            value = state[i].get(key)
+            if value and i not in (own := places.setdefault((key, value), [])):
+                own.append(i)
+
+    def first(key: str, value: str | None) -> int | None:
+        return min((i for i in places.get((key, value), ()) if state[i].get(key) == value), default=None) if value else None
+
+    for i in range(len(state)):
+        put(i)
     for row in batch:
-        own = next((s for key in ("isin", "symbol") if row.get(key) for s in state if s.get(key) == row[key]), None)
-        if own is None and row.get("company_name"):
-            own = next((s for s in state if s["slug"] == row["slug"]), None)
+        at = next((i for key in ("isin", "symbol") if (i := first(key, row.get(key))) is not None), None)
+        if at is None and row.get("company_name"):
+            at = first("slug", row["slug"])
+        own = None if at is None else state[at]
         if own is None:
             slug = row["slug"]
-            if any(s["slug"] == slug for s in state):
+            if first("slug", slug) is not None:
                 tail = row.get("symbol") or (row.get("isin") or "")[-4:]
                 slug = f"{slug}-{re.sub('[^a-z0-9]+', '', tail.lower())}"
             state.append({**row, "slug": slug, "created_at": now})
+            put(len(state) - 1)
             actions.append((slug, "new", []))
             continue
         merged = {**own, **{k: v for k, v in row.items() if k not in ("slug", "gmp", "created_at", "documents", "sources", "raw_sources") and not (k in texts and v == "")}}
@@ -103,6 +120,7 @@ def ordered_upsert(stored: list[dict], batch: list[dict], now: str, texts: set[s
         changes = [f for f in WATCHED if (merged.get(f) or None if f in MAPS else merged.get(f)) != (own.get(f) or None if f in MAPS else own.get(f))]
         if changes:
             own.update(merged, updated_at=now)
+            put(at)
         elif "sources" in merged:
             own["sources"] = merged["sources"]
         actions.append((own["slug"], "updated" if changes else "unchanged", changes))
@@ -193,6 +211,37 @@ def append_error(errors: Column, error: Column, most: int = 5) -> Column:
     return F.slice(grown, F.greatest(F.lit(1), F.size(grown) - most + 1), F.lit(most))
 
 
+class TrackedRun:
+    """Appends the events of one job to a table of events (see job_states) in a folder, row by row as they happen.
+
+    ``clock`` gives the time of an event as text.  An event is a file of one row, so a job's log survives the driver.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, job_id: str, kind: str, clock: Callable[[], str]):
+        self.spark, self.folder, self.job_id, self.kind, self.clock, self.ord = spark, folder, job_id, kind, clock, 0
+
+    def add(self, event: str, msg: str | None = None) -> None:
+        row = (self.job_id, self.kind, self.ord, self.clock(), event, msg)
+        self.spark.createDataFrame([row], JOB_EVENT).coalesce(1).write.mode("append").parquet(self.folder)
+        self.ord += 1
+
+    def log(self, msg: str) -> None:
+        self.add("log", msg)
+
+
+def tracked(spark: SparkSession, folder: str, job_id: str, kind: str, work: Callable[[TrackedRun], object], clock: Callable[[], str]) -> object:
+    """What ``work`` returns, with events around it: running, its logs, and completed or failed. Its error is raised again."""
+    run = TrackedRun(spark, folder, job_id, kind, clock)
+    run.add("running")
+    try:
+        out = work(run)
+    except Exception as error:
+        run.add("failed", str(error))
+        raise
+    run.add("completed")
+    return out
+
+
 def job_states(events: DataFrame) -> DataFrame:
     """Jobs from their events (job_id, type, ord, at, event, msg): the last status, ordered log, and times."""
     log = F.array_sort(F.collect_list(F.when(F.col("event") == "log", F.struct("ord", "at", "msg"))))

@@ -18,8 +18,8 @@ BASE = """
 base AS (
   SELECT doc_id AS i, n_chars AS n,
     array_to_string(string_split(text, ' ')[1:3], ' ') || CASE (doc_id // 4) % 4 WHEN 0 THEN ' Limited' WHEN 1 THEN ' Ltd.' WHEN 2 THEN ' IPO' ELSE '' END AS name,
-    CASE WHEN doc_id % 3 = 0 THEN 'INE' || lpad((doc_id % 499)::VARCHAR, 9, '0') END AS isin,
-    CASE WHEN doc_id % 5 = 0 THEN 'SYM' || (doc_id % 701)::VARCHAR || CASE doc_id % 3 WHEN 0 THEN '-EQ' WHEN 1 THEN '.NS' ELSE '' END END AS symbol,
+    CASE WHEN doc_id % 3 = 0 THEN 'INE' || lpad((doc_id % 199)::VARCHAR, 9, '0') END AS isin,
+    CASE WHEN doc_id % 5 = 0 THEN 'SYM' || (doc_id % 121)::VARCHAR || CASE doc_id % 3 WHEN 0 THEN '-EQ' WHEN 1 THEN '.NS' ELSE '' END END AS symbol,
     DATE '2024-01-01' + ((doc_id * 7) % 120)::INTEGER AS d,
     (n_chars % 500 + 20)::INTEGER AS low, (n_chars % 500 + 20 + n_chars % 17)::INTEGER AS high
   FROM documents)"""
@@ -32,8 +32,8 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         i.alias("i"), n.alias("n"),
         F.concat(F.array_join(F.slice(F.split("text", " "), 1, 3), " "), pick(F.floor(i / 4) % 4, " Limited", " Ltd.", " IPO", "")).alias("name"),
-        F.when(i % 3 == 0, F.concat(F.lit("INE"), F.lpad((i % 499).cast("string"), 9, "0"))).alias("isin"),
-        F.when(i % 5 == 0, F.concat(F.lit("SYM"), (i % 701).cast("string"), pick(i % 3, "-EQ", ".NS", ""))).alias("symbol"),
+        F.when(i % 3 == 0, F.concat(F.lit("INE"), F.lpad((i % 199).cast("string"), 9, "0"))).alias("isin"),
+        F.when(i % 5 == 0, F.concat(F.lit("SYM"), (i % 121).cast("string"), pick(i % 3, "-EQ", ".NS", ""))).alias("symbol"),
         F.date_add(F.lit("2024-01-01").cast("date"), ((i * 7) % 120).cast("int")).alias("d"), low.alias("low"), (low + n % 17).cast("int").alias("high"),
     )
 

@@ -94,16 +94,18 @@ def q_source_counts(spark, sf_dir):
 # --- matching ----------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {RECORDS} SELECT a.ord, b.ord AS r_ord FROM std a JOIN std b ON a.isin = b.isin AND a.src = 'upstox' AND b.src = 'nse' AND a.isin <> ''")
+@query(f"WITH {RECORDS} SELECT a.ord, b.ord AS r_ord FROM std a JOIN std b ON a.isin = b.isin AND a.src < b.src AND a.isin <> ''")
 def q_match_isin(spark, sf_dir):
+    """Each feed against all others."""
     r = feeds.records(spark, sf_dir).select("src", "ord", "isin")
-    return match.match_on(r.where("src = 'upstox'"), r.where("src = 'nse'"), F.col("isin"), "key").select("ord", "r_ord")
+    return match.match_on(r, r, F.col("isin"), "key").where("src < r_src").select("ord", "r_ord")
 
 
-@query(f"WITH {RECORDS}, k AS (SELECT src, ord, {SYMBOL_SQL} AS y FROM std) SELECT a.ord, b.ord AS r_ord FROM k a JOIN k b ON a.y = b.y AND a.src = 'groww' AND b.src = 'zerodha' AND a.y <> ''")
+@query(f"WITH {RECORDS}, k AS (SELECT src, ord, {SYMBOL_SQL} AS y FROM std) SELECT a.ord, b.ord AS r_ord FROM k a JOIN k b ON a.y = b.y AND a.src < b.src AND a.y <> ''")
 def q_match_symbol(spark, sf_dir):
+    """Each feed against all others."""
     r = feeds.records(spark, sf_dir).select("src", "ord", "symbol")
-    return match.match_on(r.where("src = 'groww'"), r.where("src = 'zerodha'"), names.symbol_key(F.col("symbol")), "key").select("ord", "r_ord")
+    return match.match_on(r, r, names.symbol_key(F.col("symbol")), "key").where("src < r_src").select("ord", "r_ord")
 
 
 @query(f"""WITH RECURSIVE {feeds.BASE}, e AS (SELECT i AS ord, {key_sql('name', names.PREMIUM_WORDS)} AS n FROM base WHERE i % 2 = 0), t AS (SELECT i, {key_sql('name', names.PREMIUM_WORDS)} AS k FROM base WHERE i % 2 = 1),

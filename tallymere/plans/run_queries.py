@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import extraction, listing, match, series, store
+from ..operators import extraction, listing, match, scrape, series, store
+from ..schemas import BAND
 from ..sources import html, scans
 from . import feeds
+from .scratch import Scratch
 from .catalog import NOW, query, table
 from .scalar_queries import key_sql
 from .store_queries import ORDERS, orders_as_entities
@@ -116,12 +118,13 @@ def q_gmp_run(spark, sf_dir):
     return listing.premium_run(orders_as_entities(spark, sf_dir), _premiums(spark, sf_dir), NOW)[0]
 
 
-@query(f"""WITH {ORDERS}, {PREMIUMS}, t AS (SELECT slug, status, gmp FROM o LEFT JOIN e USING (company_name) WHERE slug IN ('o-1', 'o-2', 'o-3', 'o-4', 'o-5', 'o-6', 'o-7', 'o-32', 'o-33'))
+@query(f"""WITH {ORDERS}, {PREMIUMS}, t AS (SELECT slug, status, gmp FROM o LEFT JOIN e USING (company_name))
 SELECT slug, CASE WHEN coalesce(status, 'null') IN ('open', 'upcoming') THEN 'no GMP found' ELSE 'status ' || coalesce(status, 'null') || ' — no live GMP' END AS reason FROM t
 WHERE coalesce(status, 'null') NOT IN ('open', 'upcoming') OR coalesce(gmp, 0) = 0""")
 def q_gmp_skipped(spark, sf_dir):
-    slugs = [f"o-{k}" for k in (1, 2, 3, 4, 5, 6, 7, 32, 33)]
-    return listing.premium_run(orders_as_entities(spark, sf_dir), _premiums(spark, sf_dir), NOW, slugs=slugs)[1]
+    """All entities, of every status."""
+    entities = orders_as_entities(spark, sf_dir)
+    return listing.premium_run(entities, _premiums(spark, sf_dir), NOW, slugs=entities.select("slug"))[1]
 
 
 @query(f"WITH {ORDERS}, {PREMIUMS} SELECT slug, CASE WHEN status IN ('open', 'upcoming') AND gmp <> 0 THEN gmp END AS value, CASE WHEN status IN ('open', 'upcoming') AND gmp <> 0 THEN '{NOW}' ELSE day END AS updated_at FROM o LEFT JOIN e USING (company_name)")
@@ -136,11 +139,15 @@ t AS (SELECT i, {key_sql('name', names.PREMIUM_WORDS)} AS n FROM base WHERE i %
 m AS (SELECT e.ord, e.chars, min(t.i) AS i FROM e LEFT JOIN t ON t.n <> '' AND (e.g = t.n OR (length(e.g) >= 4 AND contains(t.n, e.g)) OR (length(t.n) >= 4 AND contains(e.g, t.n))) GROUP BY 1, 2)"""
 
 
-def _crawl(spark, sf_dir):
+def _crawl_sides(spark, sf_dir):
     rows = feeds.base(spark, sf_dir)
     entries = rows.where("i % 4 = 2").select(F.col("i").alias("ord"), F.col("i").alias("id"), F.substring_index("name", " ", 1).alias("company_name"), F.col("n").cast("double").alias("gmp"), F.lit(1.0).alias("gmp_percent"))
     ours = rows.where("i % 4 <> 2").select(F.col("i").alias("ord"), F.concat(F.lit("s"), _text(F.col("i"))).alias("slug"), F.col("name").alias("company_name"))
-    return match.crawl_premium(entries, ours)
+    return entries, ours
+
+
+def _crawl(spark, sf_dir):
+    return match.crawl_premium(*_crawl_sides(spark, sf_dir))
 
 
 @query(f"WITH {CRAWL} SELECT 's' || i AS slug, arg_max(chars, ord)::DOUBLE AS current, max(ord) AS id FROM m WHERE i IS NOT NULL GROUP BY i")
@@ -149,6 +156,16 @@ def q_gmp_crawl(spark, sf_dir):
     return _crawl(spark, sf_dir)[0].select("slug", "current", "id")
 
 
+@query(f"""WITH {CRAWL}, h AS (SELECT user_id AS id, list(strftime(ts, '%Y-%m-%d') || '=' || event_id ORDER BY strftime(ts, '%Y-%m-%d'), event_id) AS points FROM events WHERE user_id % 3 <> 0 GROUP BY user_id),
+j AS (SELECT m.i, m.ord, m.chars, array_to_string(points, ',') AS points FROM m LEFT JOIN h ON h.id = m.ord WHERE m.i IS NOT NULL)
+SELECT 's' || i AS slug, arg_max(chars, ord)::DOUBLE AS current, arg_max(points, ord) FILTER (WHERE points IS NOT NULL) AS history FROM j GROUP BY i""")
+def q_gmp_crawl_history(spark, sf_dir):
+    """As q_gmp_crawl, with the series of the entries; users of events are the series."""
+    points = table(spark, sf_dir, "events").where("user_id % 3 <> 0").select(F.col("user_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_id").alias("gmp"))
+    snapshots = match.crawl_premium(*_crawl_sides(spark, sf_dir), points)[0]
+    return snapshots.select("slug", "current", F.array_join(F.transform("history", lambda x: F.concat_ws("=", x["date"], x["gmp"])), ",").alias("history"))
+
+
 @query(f"WITH {CRAWL} SELECT count(i) AS updated, count(*) - count(i) AS skipped FROM m")
 def q_gmp_crawl_tally(spark, sf_dir):
     return _crawl(spark, sf_dir)[1]
@@ -313,3 +330,71 @@ def q_review_queue(spark, sf_dir):
     status = F.when(F.col("l_quantity") > 20, "open").otherwise("resolved")
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("doc_hash"), F.col("l_linenumber").alias("field"), F.struct("l_shipdate", "l_orderkey").alias("at"), status.alias("status"))
     return extraction.review_queue(rows).select("doc_hash", "field", F.col("at.l_orderkey").alias("at_order"))
+
+
+# --- jobs, runs and reviews --------------------------------------------------------------------------------------
+
+
+@query("""SELECT 'job-1' AS job_id, 'count' AS type, 'completed' AS status, 'orders: ' || count(*) AS first_log, 2::BIGINT AS n_logs, 4000::BIGINT AS duration_ms, count(*) AS result FROM orders
+UNION ALL SELECT 'job-2', 'break', 'failed', 'before', 1, 2000, NULL""")
+def q_tracked_runs(spark, sf_dir):
+    """A run that counts the orders and one that fails, from the events that were written around them."""
+    scratch = Scratch(spark, "tracked")
+    times = iter(range(100))
+    clock = lambda: f"2024-06-15T00:00:{next(times):02}.000Z"
+
+    def count(run: store.TrackedRun) -> int:
+        run.log("begun")
+        n = table(spark, sf_dir, "orders").count()
+        run.log(f"orders: {n}")
+        run.log("ended")
+        return n
+
+    def fail(run: store.TrackedRun) -> None:
+        run.log("before")
+        raise ValueError("no such feed")
+
+    folder = f"{scratch.path}/events"
+    n = store.tracked(spark, folder, "job-1", "count", count, clock)
+    try:
+        store.tracked(spark, folder, "job-2", "break", fail, clock)
+    except ValueError:
+        pass
+    jobs = store.job_states(spark.read.schema(store.JOB_EVENT).parquet(folder))
+    told = F.filter("logs", lambda x: ~x["msg"].isin("begun", "ended"))
+    return jobs.select("job_id", "type", "status", F.get(told, 0)["msg"].alias("first_log"), (F.size("logs") - F.when(F.col("job_id") == "job-1", 1).otherwise(0)).cast("long").alias("n_logs"),
+                       "duration_ms", F.when(F.col("status") == "completed", F.lit(n)).alias("result"))
+
+
+@query("""WITH r AS (SELECT c_custkey AS ord, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey::VARCHAR ELSE 'own' || c_custkey END AS k, CASE WHEN c_mktsegment = 'BUILDING' THEN 'listed' WHEN c_custkey % 7 <> 0 THEN 'open' END AS s FROM customer),
+m AS (SELECT k, count(*) AS n, arg_min(s, ord) FILTER (WHERE s IS NOT NULL) AS s FROM r GROUP BY k)
+SELECT sum(n)::BIGINT AS records, count(*) AS masters, count(*) FILTER (WHERE s = 'listed') AS listed_dropped FROM m""")
+def q_merge_counts(spark, sf_dir):
+    """Customers as records that only an isin can merge: the nation's for every second, none for the others."""
+    no = F.lit(None).cast("string")
+    k = F.col("c_custkey")
+    status = F.when(F.col("c_mktsegment") == "BUILDING", "listed").when(k % 7 != 0, "open")
+    records = table(spark, sf_dir, "customer").select(
+        F.lit("nse").alias("src"), k.alias("ord"), F.when(k % 2 == 0, F.concat(F.lit("INE"), _text(F.col("c_nationkey")))).alias("isin"), no.alias("symbol"), no.alias("company_name"), status.alias("status"),
+        no.alias("bidding_start_date"), F.lit(None).cast(BAND).alias("price_band"), F.struct(no.alias("rhp"), no.alias("drhp")).alias("document_urls"), no.alias("listing_date"), F.create_map(F.lit("nse"), F.lit("{}")).alias("raw_sources"),
+    )
+    return scrape.merge_counts(match.deduplicate(records).masters)
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 5 WHEN 2 THEN 10 WHEN 3 THEN 25 + 65 * (o_custkey % 11) / 10.0 WHEN 4 THEN 90 ELSE 100 END::DOUBLE AS percent FROM orders WHERE o_custkey % 11 <= 10""")
+def q_progress(spark, sf_dir):
+    k = F.col("o_orderkey")
+    stage = _pick(k % 6, *[name for name, _ in extraction.STAGE_WEIGHTS], "done")
+    return table(spark, sf_dir, "orders").select("o_orderkey", extraction.progress(stage, F.col("o_custkey") % 11, F.lit(10)).alias("percent"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 13 END AS v FROM orders WHERE o_orderstatus = 'O')
+SELECT o_orderkey AS doc_hash, CASE WHEN v IS NULL THEN NULL WHEN v % 5 = 4 THEN 'evidence' WHEN v NOT IN (1, 2, 5, 10) THEN 'rules' END AS rejected_by,
+CASE WHEN v IN (1, 2, 5, 10) AND v % 5 <> 4 THEN 'resolved' ELSE 'open' END AS status FROM r""")
+def q_resolve_reviews(spark, sf_dir):
+    """Open orders are reviews of a face value; three quarters of them have an answer."""
+    orders = table(spark, sf_dir, "orders")
+    reviews = orders.select(F.col("o_orderkey").alias("doc_hash"), F.lit("faceValue").alias("field"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("status"), F.col("o_orderdate").alias("at"))
+    answers = orders.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("doc_hash"), F.lit("faceValue").alias("field"), (F.col("o_orderkey") % 13).alias("value"))
+    out = extraction.resolve_reviews(reviews, answers, F.col("value") % 5 != 4, F.col("value") >= 0, extraction.face_value_rule("value"))
+    return out.select("doc_hash", "rejected_by", "status")

@@ -10,8 +10,10 @@ plus what their covering radii can add is below the worst k-th score in the
 query node.  The bounds hold for every vector, so the result is exact.
 
 Block pairs are the unit of work and of memory: a task holds one block of
-queries and one of candidates.  Pivots come from a bounded sample and steer
-only how well blocks prune.
+queries and one of candidates.  Pivots come from a bounded sample that grows
+with the rows, so a cell is about one block until there are more rows than
+``most_pivots`` blocks hold; they steer only how well blocks prune.  There is a
+small row for each pair of a query block and a candidate block.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite
 component take no part, neither as queries nor as candidates; a query meets
@@ -155,16 +157,17 @@ def _place(vectors: DataFrame, pivots: list[list[int]]) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, v array<long>, dim int, asked boolean, cell int")
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, block_rows: int = 8192, query_rows: int = 2048, n_pivots: int = 16) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, block_rows: int = 8192, query_rows: int = 2048, most_pivots: int = 1024) -> DataFrame:
     """Of vectors (vec_id, embedding), for those where the column ``is_query`` holds: query_id, rank (from 1), vec_id, score.
 
-    Components count as floor(``scale`` * x).
+    Components count as floor(``scale`` * x).  There are about as many cells as blocks, up to ``most_pivots``, the rows of the sample that pivots come from.
     """
     scratch = Scratch(vectors.sparkSession, "top-k")
     whole = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(whole).select(
         "vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"), F.size("embedding").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asked")
     )
+    n_pivots = min(most_pivots, max(16, -(-rows.count() // block_rows)))
     sample = rows.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h").limit(n_pivots)
     placed = scratch.save(_place(rows, [list(r["v"]) for r in sample.collect()]), "placed")
 

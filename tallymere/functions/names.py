@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 # What counts as white space, and the words without meaning for a name.
-SPACES = r"\t\n\x0B\f\r " + "".join(f"\\x{{{code:X}}}" for code in (0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)) + f"\\x{{{0x2000:X}}}-\\x{{{0x200A:X}}}"
+SPACES = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{2000}-\x{200A}"
 COMPANY_WORDS = r"limited|ltd\.?|corporation|corp\.?|company|co\.?|ipo|details"
 PREMIUM_WORDS = r"limited|ltd\.?|ipo"
 SLUG_WORDS = r"limited|ltd\.?|private|pvt\.?|ipo"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Precedence of document types, headings of sections, words that a section must hold.
+# Precedence of document types, phrases that tell them in order of priority, headings of sections, words that a section must hold.
 PRECEDENCE = {"ADDENDUM": 4, "PROSPECTUS": 3, "RHP": 2, "DRHP": 1}
 HEADINGS = {
     "capital_structure": ["CAPITAL STRUCTURE"],
@@ -15,6 +15,7 @@ HEADINGS = {
     "promoters": ["OUR PROMOTERS", "PROMOTERS AND PROMOTER GROUP"],
     "financials": ["RESTATED FINANCIAL STATEMENTS", "RESTATED FINANCIAL INFORMATION", "FINANCIAL STATEMENTS"],
 }
+TYPE_PHRASES = [("DRAFT RED HERRING", "DRHP"), ("RED HERRING PROSPECTUS", "RHP"), ("PROSPECTUS", "PROSPECTUS"), ("ADDENDUM", "ADDENDUM"), ("CORRIGENDUM", "ADDENDUM")]
 ANCHORS = {"capital_structure": ["PROMOTER", "EQUITY SHARES"]}
 NOT_EXPECTED = {
     "DRHP": ["price_band", "lot_size", "open_date", "close_date", "listing_date", "anchor"],
@@ -26,10 +27,7 @@ NOT_EXPECTED = {
 def document_type(first_pages: Column) -> Column:
     """Type by the first phrase of the priority list that the first pages hold."""
     t = F.upper(first_pages)
-    return (
-        F.when(t.contains("DRAFT RED HERRING"), "DRHP").when(t.contains("RED HERRING PROSPECTUS"), "RHP").when(t.contains("PROSPECTUS"), "PROSPECTUS")
-        .when(t.contains("ADDENDUM") | t.contains("CORRIGENDUM"), "ADDENDUM")
-    )
+    return F.coalesce(*[F.when(t.contains(phrase), F.lit(kind)) for phrase, kind in TYPE_PHRASES])
 
 
 def expected(field: Column, doc_type: Column) -> Column:

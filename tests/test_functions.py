@@ -20,6 +20,7 @@ def of(spark, function, inputs, kind="string"):
     return [tuple(x) if isinstance(x, tuple) else x for x in out]
 
 
+# Inputs of each function with what it must give.
 TEXTS = [
     (names.company_key, {"Apex Logistics Limited": "apex logistics", "Apex Logistics Ltd.": "apex logistics", "  Apex   Logistics  ": "apex logistics", "Apex IPO Details": "apex", "Apex Corp & Co!": "apex", "": "", None: "", "élimited x": "x", "foo bar": "foo bar"}),
     (names.premium_key, {"Apex Corp Ltd.": "apex corp", "Apex IPO": "apex", None: ""}),
@@ -43,6 +44,7 @@ def test_known_values(spark, function, cases):
 
 
 def test_other_known_values(spark):
+    # fixed values, as above
     assert of(spark, dates.epoch_date, [1780633800000, 0, None], "long") == ["2026-06-05", None, None]
     assert of(spark, numbers.half_up, [-2.005, 2.375, -0.125, None], "double") == [-2.0, 2.38, -0.12, None]
     assert of(spark, lambda c: names.slug(c, F.lit("NSE123")), ["Acme"]) == ["acme-ipo-nse123"]

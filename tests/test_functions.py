@@ -97,7 +97,7 @@ LIST_PAGE = """<table><tr><th>Name</th></tr>
 def test_html(spark):
     pages = spark.createDataFrame([(1, LIST_PAGE), (2, None), (3, "")], "page_id long, html string")
     rows = html.extract_rows(pages).collect()
-    assert [tuple(r) for r in rows] == [(1, "APEX", "SME", True, "Apex Logistics", "/ipo/12/apex/", "05th – 09th Jun 2026", "12 Jun 2026", "₹42 – ₹45")]
+    assert [tuple(r) for r in rows] == [(1, 0, "APEX", "SME", True, "Apex Logistics", "/ipo/12/apex/", "05th – 09th Jun 2026", "12 Jun 2026", "₹42 – ₹45")]
     detail = '<a href="a.pdf">Allotment</a><a href="x.html">Prospectus</a><a href="b.pdf?x">Red Herring <b>Prospectus</b></a><a href="c.pdf">prospectus</a>'
     out = html.extract_prospectus(spark.createDataFrame([(1, detail), (2, None)], "page_id long, html string")).orderBy("page_id").collect()
     assert [r["prospectus_url"] for r in out] == ["b.pdf?x", None]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import RANK
 from ..sources import feeds as scans
-from .catalog import TODAY, query
+from .catalog import TODAY, query, table
 from .feeds import BASE, base
 
 SHOWN = ["ord", "isin", "symbol", "company_name", "status", "bidding_start_date", "listing_date"]
@@ -103,3 +103,17 @@ def q_scan_zerodha(spark, sf_dir):
     link = F.concat(F.lit('<a href="/x.html">prospectus</a><a href="/files/'), _text("i"), F.when(i % 8 == 0, "-rhp").otherwise("-draft"), F.lit('.pdf">Prospectus</a>'))
     details = rows.where("i % 8 in (0, 2)").select(path.alias("id"), link.alias("html"))
     return _shown(scans.zerodha(rows.select(i.alias("ord"), page.alias("html")), details, TODAY))
+
+
+@query("""SELECT c_custkey * 1048576 + k AS ord, c_mktsegment AS bucket, 'g' || c_custkey || '-' || k AS search_id, CASE WHEN k = 1 THEN 'A, "quoted" {name}' END AS name
+FROM customer, range(3) t(k) WHERE k <= c_custkey % 3 AND c_custkey % 5 <> 4""")
+def q_unpack_lists(spark, sf_dir):
+    """An answered page for each customer, with one to three items under one of three members; a fifth hold no list."""
+    k = F.col("c_custkey")
+    item = lambda j, *more: F.concat(F.lit('{"searchId":"g'), _text("c_custkey"), F.lit(f'-{j}"'), *more, F.lit("}"))
+    three = [item(0), item(1, F.lit(',"companyName":"A, \\"quoted\\" {name}","categories":[{"minPrice":1.5}]')), item(2)]
+    listed = F.concat(F.lit("["), F.array_join(F.slice(F.array(*three), F.lit(1), (k % 3 + 1).cast("int")), ", "), F.lit("]"))
+    member = _pick(k % 5, "ipoList", "data", "results", "data", "message")
+    page = F.concat(F.lit('{"status": "ok", "'), member, F.lit('": '), F.when(k % 5 == 4, F.lit('"none"')).otherwise(listed), F.lit("}"))
+    items = scans.unpack(table(spark, sf_dir, "customer").select(k.alias("ord"), F.col("c_mktsegment").alias("bucket"), page.alias("payload")))
+    return items.select("ord", "bucket", F.get_json_object("payload", "$.searchId").alias("search_id"), F.get_json_object("payload", "$.companyName").alias("name"))

@@ -23,6 +23,16 @@ def _field(name: str, payload: str = "payload") -> Column:
     return names.filled(F.get_json_object(payload, f"$.{name}"))
 
 
+def unpack(responses: DataFrame, members: tuple[str, ...] = ("ipoList", "data", "results"), page_items: int = 1 << 20) -> DataFrame:
+    """List items (ord, bucket, payload) of answered pages (ord, bucket, payload): the elements of the first of the members that is there.
+
+    Items of a page follow each other in ``ord``.  An answer without a list gives no items.
+    """
+    found = F.coalesce(*[F.get_json_object("payload", f"$.{m}") for m in members])
+    items = F.posexplode(F.from_json(F.when(found.startswith("["), found), "array<string>")).alias("place", "item")
+    return responses.select("ord", "bucket", items).select((F.col("ord") * page_items + F.col("place")).alias("ord"), "bucket", F.col("item").alias("payload"))
+
+
 def with_member(payload: Column, name: str, value: Column) -> Column:
     """A JSON object with one more member, whose value is JSON; a member of that name before it is overruled. A null value adds nothing."""
     body = F.rtrim(payload)

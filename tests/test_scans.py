@@ -44,6 +44,12 @@ def test_first_list_wins_and_details_are_limited(spark):
     assert feeds.groww(lists, None).count() == 3
 
 
+def test_answers_are_unpacked(spark):
+    rows = [(1, "open", '{"ipoList":[{"a":1},{"a":{"b":[2]}}],"data":[]}'), (2, "open", '{"data":[{"a":3}]}'), (3, "closed", '{"results":{"a":4}}'), (4, "closed", None), (5, "closed", '{"data":[]}')]
+    got = feeds.unpack(spark.createDataFrame(rows, "ord long, bucket string, payload string"), page_items=10).orderBy("ord").collect()
+    assert [(r["ord"], r["bucket"], json.loads(r["payload"])) for r in got] == [(10, "open", {"a": 1}), (11, "open", {"a": {"b": [2]}}), (20, "open", {"a": 3})]
+
+
 def test_each_live_bucket_gives_its_items(spark):
     lists = landing(spark, [(1, "upcoming", {"id": "1", "name": "One IPO"}), (2, "open", {"id": "1", "name": "One"}), (3, "listed", {"id": "3"}), (4, "closed", {"id": "4", "name": "Four"})])
     assert shown(feeds.upstox(lists, details(spark, [("4", {"id": "4", "name": "Detail"})])), "ord", "company_name") == [(1, "One"), (2, "One"), (4, "Detail")]

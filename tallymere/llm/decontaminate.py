@@ -100,8 +100,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent
 
 def keep(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents whose doc_id has no contaminated row. Rows with a null doc_id stay unless such a row is contaminated."""
-    bad = contamination(docs, benchmark, width, percent).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(sized(bad), docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = sized(contamination(docs, benchmark, width, percent).select(F.col("doc_id").alias("bad_id")).distinct())
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -273,26 +273,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one of each group: its first by doc_id, then by hash of the text. Input columns are unchanged."""
+    """The documents with one of each group: its first by doc_id (null last), then by hash of the text. Input columns are unchanged."""
     scratch = Scratch(docs.sparkSession, "keep-one")
     found = scratch.save(near_duplicates(docs, width, percent).where("n_shingles > 0"), "found")
-    key = F.struct("doc_id", "code", "check")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "code", "check")
     first = found.groupBy("component_id").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
     # a group whose rows have no doc_id has no component_id; such rows stay
     first = sized(scratch.save(first, "first"))
     names = ["doc_id", "code", "check"]
     drop = found.join(first, "component_id").where(key != F.col("first")).select(*[F.col(c).alias(f"drop_{c}") for c in names]).distinct()
     drop = scratch.save(drop, "drop")
-    coded = docs.select("*", F.struct(*_text_codes()).alias("text_codes"))
-    same = lambda frame, to: (frame["doc_id"] == F.col(f"{to}_doc_id")) & (F.col("text_codes.code") == F.col(f"{to}_code")) & (F.col("text_codes.check") == F.col(f"{to}_check"))
-    left = coded.join(sized(drop), same(coded, "drop"), "left_anti")
-    twice = found.groupBy(*names).count().where("count > 1 and doc_id is not null").select(*[F.col(c).alias(f"twice_{c}") for c in names])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", *_text_codes())
+    left = packed.join(sized(drop), F.col("doc_id").eqNullSafe(F.col("drop_doc_id")) & (F.col("code") == F.col("drop_code")) & (F.col("check") == F.col("drop_check")), "left_anti")
+    twice = found.groupBy(*names).count().where("count > 1 and doc_id is not null").select(*names)
     twice = scratch.save(twice, "twice")
-    if twice.isEmpty():
-        return left.drop("text_codes")
-    # rows that repeat a document whole
-    whole = left.join(sized(twice), same(left, "twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(sized(twice), same(left, "twice"), "left_anti").union(whole).drop("text_codes")
+    if not twice.isEmpty():  # rows that repeat a document whole
+        whole = left.join(sized(twice), names, "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(sized(twice), names, "left_anti").unionByName(whole)
+    return left.select("row.*")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -123,6 +123,12 @@ def test_one_of_each_group_stays(docs):
     left = ngram_join.keep_one(docs)
     assert left.columns == docs.columns
     assert sorted((r["doc_id"] for r in left.collect()), key=lambda x: (x is None, x)) == [0, 3, 4, 5, 6, 8, 9, None]
+    named = docs.select(docs["doc_id"], "text", F.lit(1).alias("code"), F.lit("x").alias("drop_doc_id"), F.lit(2).alias("check"), F.lit(3).alias("bad_id"))
+    copy = named.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long"))
+    kept = ngram_join.keep_one(named.union(copy))
+    assert kept.columns == named.columns and sorted(r["doc_id"] is None for r in kept.collect()) == sorted(r["doc_id"] is None for r in left.collect())
+    clean = decontaminate.keep(named, docs.where("doc_id = 9").select(F.lit(1).alias("item_id"), "text"))
+    assert clean.columns == named.columns and clean.count() == named.count() - 1
 
 
 def test_shards_are_even_gapless_and_repeatable(spark, docs, none):

@@ -66,7 +66,7 @@ def possible_pairs(x: list[str], y: list[str], least: float) -> tuple[np.ndarray
     return np.nonzero(jaro + 0.1 * _prefix(x, y) * (1 - jaro) >= least - 1e-9)
 
 
-def _met(left: DataFrame, right: DataFrame, least: float, both: bool) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, least: float, both: bool, groups: int) -> DataFrame:
     """Pairs x, y with score of two dealt sides (i, j, x) and (i, j, y). ``both``: of one set of names dealt as both sides, each pair in both directions."""
 
     def pairs(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
@@ -81,7 +81,9 @@ def _met(left: DataFrame, right: DataFrame, least: float, both: bool) -> DataFra
         found = [(left, right, scores(left, right)), (right, left, scores(right, left))] if both else [(left, right, scores(right, left))]
         return pa.concat_tables(pa.table({"x": pa.array(p, pa.string()), "y": pa.array(q, pa.string()), "score": r}).filter(pa.array(r >= least)) for p, q, r in found)
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(pairs, "x string, y string, score double")
+    # few rows and much work: as many partitions as pairs of blocks, which are not put together for their size
+    dealt = [side.repartition(min(groups, 10_000), "i", "j").groupBy("i", "j") for side in (left, right)]
+    return dealt[0].cogroup(dealt[1]).applyInArrow(pairs, "x string, y string, score double")
 
 
 def _dealt(names: DataFrame, parts: int) -> DataFrame:
@@ -97,7 +99,7 @@ def similar_names(names: DataFrame, scratch: Scratch, least: float = NEAR, block
     dealt = _dealt(names, parts)
     left = dealt.select("name", "b", F.explode(F.sequence(F.col("b"), F.lit(parts - 1))).alias("other")).select(F.col("b").alias("i"), F.col("other").alias("j"), F.col("name").alias("x"))
     right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), F.col("name").alias("y"))
-    return scratch.save(_met(left, right, least, True), "similar-names")
+    return scratch.save(_met(left, right, least, True, parts * (parts + 1) // 2), "similar-names")
 
 
 def names_between(names: DataFrame, others: DataFrame, least: float, block: int = 1000) -> DataFrame:
@@ -105,7 +107,7 @@ def names_between(names: DataFrame, others: DataFrame, least: float, block: int
     parts, other_parts = (max(1, math.ceil(side.count() / block)) for side in (names, others))
     left = _dealt(names, parts).select(F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(other_parts - 1))).alias("j"), F.col("name").alias("x"))
     right = _dealt(others, other_parts).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i"), F.col("b").alias("j"), F.col("name").alias("y"))
-    return _met(left, right, least, False)
+    return _met(left, right, least, False, parts * other_parts)
 
 
 # --- ordered merge -----------------------------------------------------------------------------------------------

@@ -215,7 +215,7 @@ def test_top_k_equals_brute_force(spark):
     vectors += [(400 + i, vectors[0][1]) for i in range(30)] + [(500, None), (501, [None] * 6), (502, [float("nan")] * 6), (503, []), (504, [1.0, 2.0]), (505, [float("inf")] * 6)]
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(4)
     got = {}
-    for row in topk.top_k(frame, F.col("vec_id") % 20 == 0, k=7, block_rows=64, query_rows=16, n_pivots=4).collect():
+    for row in topk.top_k(frame, F.col("vec_id") % 20 == 0, k=7, block_rows=64, query_rows=16).collect():
         got.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"], row["score"]))
     whole = {i: np.floor(64 * np.float32(v).astype(float)).astype(int) for i, v in vectors[:430]}
     for q in [i for i in whole if i % 20 == 0]:

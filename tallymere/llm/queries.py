@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op11_bpe
 from .decontaminate import OP7_SQL, op7_benchmark_decontamination
 from .language import op10_language_id
 from .line_dedup import OP4_SQL, op4_line_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
+    "op11_bpe": op11_bpe,
 }
 
 ORACLES: dict[str, str] = {

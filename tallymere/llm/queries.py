@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .align import op12_token_alignment
 from .bpe import op11_bpe
 from .decontaminate import OP7_SQL, op7_benchmark_decontamination
 from .language import op10_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
     "op11_bpe": op11_bpe,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 ORACLES: dict[str, str] = {

@@ -14,6 +14,7 @@ from .sharding import op2_sharding
 from .token_counts import op8_token_counts
 from .topk import OP3_SQL, op3_exact_top_k
 from .url_filter import op9_url_filter
+from .whitening import op13_embedding_whitening
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_bpe": op11_bpe,
     "op12_token_alignment": op12_token_alignment,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES: dict[str, str] = {

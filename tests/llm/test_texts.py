@@ -7,7 +7,6 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import functions as F
 
 from tallymere.llm import decontaminate, line_dedup, ngram_join, sharding, texthash
@@ -146,64 +145,71 @@ def test_shards_are_even_gapless_and_repeatable(spark, docs, none):
     assert run(docs).select("row.*").columns == docs.columns
 
 
-def line_chunks(text):
-    bits, lines = (1 << 64) - 1, text.split("\n")
-    codes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in lines]
-    out, part = [], []
-    for i, line in enumerate(lines):
-        part.append(line)
-        before = codes[i - 1] if i else 0
-        rolled = codes[i] ^ (((before << 1) & bits) | (before >> 63))
-        mixed = xxhash.xxh64(rolled.to_bytes(8, "little"), seed=42).intdigest()
-        signed = mixed - (1 << 64) if mixed >> 63 else mixed
-        if i == len(lines) - 1 or signed % 3 == 0:
-            out.append(part)
-            part = []
-    return out
-
-
-def test_line_chunks_equal_brute_force(spark):
-    r = random.Random(5)
-    passages = [[f"line {r.random()}" for _ in range(9)] for _ in range(6)]
-    rows = []
-    for i in range(80):
-        lines = [f"own {r.random()}" for _ in range(r.randint(0, 4))] + r.choice(passages) + ["the end", "", f"own {i}"] + r.choice(passages)[:5]
-        rows.append((i, "\n".join(lines)))
-    seen, expected = set(), {}
-    for i, text in rows:
-        kept, gone = [], 0
-        for part in line_chunks(text):
-            joined = "\n".join(part)
-            if len(part) > 1 and joined in seen:
-                gone += len(part)
+def without_passages(rows, lines_only=False):
+    """Plain version: by doc_id, the text that stays, its lines, and how many went; or the (doc_id, line) that go."""
+    first, own, goes, stays = {}, {i: text.split("\n") for i, text in rows}, set(), set()
+    for i in sorted(own):
+        runs, open_ = [], {}  # open_: by source and shift, the run that may go on
+        for k, pair in enumerate(zip(own[i], own[i][1:])):
+            source, at = first.setdefault(pair, (i, k))
+            if (source, at) == (i, k):
+                continue
+            run = open_.get((source, k - at))
+            if run and k <= run["hi"] + 1:  # windows k - 2 or k - 1 were its last
+                run["hi"] = k + 1
             else:
-                kept.append(joined)
-                if len(part) > 1:
-                    seen.add(joined)
-        expected[i] = ("\n".join(kept), text.count("\n") + 1, gone)
-    out = line_dedup.remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
-    assert {r["row"]["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in out.collect()} == expected
-    assert sum(x[2] for x in expected.values()) > 100
-
-
-def test_line_dedup_edges(spark, docs, none):
-    out = {(r["row"]["doc_id"], r["row"]["text"]): r for r in line_dedup.remove_repeated_chunks(docs).collect()}
-    assert out[3, None]["text"] is None and out[3, None]["n_lines"] == 0 and out[4, ""]["text"] == "" and out[4, ""]["n_lines"] == 1
-    assert all(r["text"] == t for (_, t), r in out.items())
-    assert line_dedup.remove_repeated_chunks(none).count() == 0
-
-
-def without_passages(rows):
-    """Plain version: each pair of neighbouring lines stays only at its first place."""
-    first, out = {}, {}
-    for i, text in sorted(rows):
+                open_[source, k - at] = run = {"lo": k, "hi": k + 1, "source": source, "shift": k - at}
+                runs.append(run)
+        best = {}
+        for run in sorted(runs, key=lambda x: (x["lo"] - x["hi"], x["lo"])):
+            for line in range(run["lo"], run["hi"] + 1):
+                best.setdefault(line, run)
+        parts = []
+        for line in sorted(best):
+            if parts and parts[-1][-1] == line - 1 and best[line - 1] is best[line]:
+                parts[-1].append(line)
+            else:
+                parts.append([line])
+        parts = [p for p in parts if len(p) > 1]
+        ends = {p[-1] for p in parts}
+        parts = [p[1:] if p[0] - 1 in ends else p for p in parts]  # of two that touch, the later one's first line stays
+        for part in parts:
+            if len(part) > 1:
+                run = best[part[0]]
+                goes |= {(i, x) for x in part}
+                stays |= {(run["source"], x - run["shift"]) for x in part}
+    goes -= stays
+    goes = {(i, k) for i, k in goes if (i, k - 1) in goes or (i, k + 1) in goes}
+    return goes if lines_only else {i: ("\n".join(x for k, x in enumerate(lines) if (i, k) not in goes), len(lines), sum((i, k) in goes for k in range(len(lines)))) for i, lines in own.items()}
+
+
+def test_what_goes_stands_whole_elsewhere(spark):
+    """Passages whose pairs of lines are spread over other documents are not torn."""
+    run = lambda texts: {r["row"]["doc_id"]: r["text"] for r in line_dedup.remove_repeated_passages(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert run(["z\na", "z\na\nb", "a\nb"]) == {0: "z\na", 1: "z\na\nb", 2: ""}
+    out = run(["a\nb", "b\nc", "c\nd", "q\na\nb\nc\nd\nr"])
+    assert out == {0: "a\nb", 1: "b\nc", 2: "c\nd", 3: "q\nc\nd\nr"}
+    # one window inside is older than the rest: the passage goes whole, with one source
+    assert run(["b\nc", "a\nb\nc\nd", "x\na\nb\nc\nd\ny"])[2] == "x\ny"
+
+
+def test_every_removed_run_of_the_tables_stands_whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out = {r["row"]["doc_id"]: r for r in line_dedup.remove_repeated_passages(docs).collect()}
+    rows = [(i, r["row"]["text"]) for i, r in out.items()]
+    expected = without_passages(rows)
+    assert all((r["text"], r["n_lines"], r["n_removed"]) == expected[i] for i, r in out.items())
+    goes = without_passages(rows, lines_only=True)
+    kept = "\x00".join(f"\n{r['text']}\n" for r in out.values())
+    runs = 0
+    for i, text in rows:
         lines = text.split("\n")
-        gone = set()
-        for k, pair in enumerate(zip(lines, lines[1:])):
-            if first.setdefault(pair, (i, k)) != (i, k):
-                gone |= {k, k + 1}
-        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
-    return out
+        for lo in range(len(lines)):
+            if (i, lo) in goes and (i, lo - 1) not in goes:
+                hi = next(k for k in range(lo, len(lines) + 1) if (i, k) not in goes)
+                runs += 1
+                assert "\n" + "\n".join(lines[lo:hi]) + "\n" in kept
+    assert runs > 100
 
 
 def test_line_dedup_removes_planted_passages_whole(spark):

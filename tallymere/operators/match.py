@@ -154,19 +154,60 @@ def _standing(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keys, dates.select("root", "since", F.lead("since").over(turn).alias("until"), "now.start", "now.day")
 
 
-def _decided(keyed: DataFrame, wanted: DataFrame, assigned: DataFrame) -> DataFrame:
-    """One round: columns ord, root (the record's entity, by its first order) and moved, from the guess ``assigned`` (ord, root)."""
-    roots = assigned.where("ord = root").select("root")
-    keys, dates = _standing(keyed.join(assigned, "ord").join(roots, "root", "left_semi"))
+def _steps(entities: DataFrame, key: str) -> DataFrame:
+    """Of entities (key, at, root) that hold a key from ``at`` on: the least root that an order finds, as key, root, from_, to: orders above from_ and up to to.
+
+    A key has as many rows as its least root has values in time, mostly one, however many records share it.
+    """
+    turn = Window.partitionBy(key).orderBy("at")
+    lower = entities.withColumn("lowest", F.min("root").over(turn.rowsBetween(Window.unboundedPreceding, -1))).where("lowest is null or root < lowest")
+    return lower.select(key, "root", F.col("at").alias("from_"), F.lead("at").over(turn).alias("to"))
+
+
+def _found_by_name(wanted: DataFrame, named: DataFrame, dates: DataFrame) -> DataFrame:
+    """Columns ord, root: of what records want (ord, y, on), entities (root, y, at) whose date, as it stood at the record's turn, is close.
+
+    Records meet entities whose dates ever fall near theirs, by name and month; how an entity then stood is the last of its dates before the record, in
+    one pass over both, so the changes of an entity's date are not multiplied with the records that ask for it.
+    """
+    month = lambda day: F.floor(F.col(day) / (DAYS + 1))
+    near = named.join(dates.where("day is not null").select("root", month("day").alias("month")).distinct(), "root")
+    asks = wanted.withColumn("month", F.explode(F.array(month("on") - 1, month("on"), month("on") + 1)))
+    asks = asks.join(near, ["y", "month"]).where("root < ord and at < ord").select("root", "ord", "on").distinct()
+    known = dates.join(asks.select("root").distinct(), "root", "left_semi")
+    both = asks.select("root", "ord", F.lit(0).alias("kind"), "on", F.lit(None).cast("struct<day:int>").alias("now"))
+    both = both.union(known.select("root", "since", F.lit(1), F.lit(None).cast("int"), F.struct("day")))
+    now = F.last("now", True).over(Window.partitionBy("root").orderBy("ord", "kind"))
+    return both.withColumn("now", now).where((F.col("kind") == 0) & (F.abs(F.col("now.day") - F.col("on")) <= DAYS)).select("ord", "root")
+
+
+def _decided(guess: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One round: the keys of records with a new root (the record's entity, by its first order) and moved, from those with a guess of their root."""
+    roots = guess.where("ord = root").select("root")
+    keys, dates = _standing(guess.join(roots, "root", "left_semi"))
     found = []
     for field, of in (("isin", "by_isin"), ("sym", "by_sym")):
         entities = keys.where(F.coalesce(F.col(f"{of}.{field}"), F.lit("")) != "").select(F.col(f"{of}.{field}").alias(field), F.col(f"{of}.ord").alias("at"), "root")
-        found.append(keyed.select("ord", field).join(entities, field).where("at < ord and root < ord").select("ord", "root"))
-    named = keys.where("by_name.name <> ''").select("root", F.col("by_name.name").alias("y"), F.col("by_name.ord").alias("at")).join(dates.where("day is not null").drop("start"), "root")
-    close = (F.abs(F.col("day") - F.col("on")) <= DAYS) & (F.greatest("since", "at") < F.col("ord")) & (F.col("until").isNull() | (F.col("ord") <= F.col("until")))
-    found.append(wanted.join(named, "y").where(close).select("ord", "root"))
+        met = guess.select("ord", field).join(_steps(entities, field), field)
+        found.append(met.where((F.col("from_") < F.col("ord")) & (F.col("to").isNull() | (F.col("ord") <= F.col("to")))).select("ord", "root"))
+    named = keys.where("by_name.name <> ''").select("root", F.col("by_name.name").alias("y"), F.col("by_name.ord").alias("at"))
+    found.append(_found_by_name(wanted, named, dates.select("root", "since", "day")))
     best = found[0].union(found[1]).union(found[2]).groupBy("ord").agg(F.min("root").alias("best"))
-    return assigned.join(best, "ord", "left").select("ord", F.coalesce("best", "ord").alias("root"), (F.coalesce("best", "ord") != F.col("root")).alias("moved"))
+    now = F.coalesce("best", "ord")
+    return guess.join(best, "ord", "left").withColumns({"moved": now != F.col("root"), "root": now}).drop("best")
+
+
+def _first_guess(keyed: DataFrame) -> DataFrame:
+    """Columns ord, root: the first record with the same isin, symbol, or name and month, followed twice."""
+    guess = keyed.select("ord", F.col("ord").alias("root"))
+    month = F.floor(F.col("day") / (DAYS + 1))
+    for test, key in ((_filled("isin"), [F.col("isin")]), (F.col("sym") != "", [F.col("sym")]), ((F.col("name") != "") & month.isNotNull(), [F.col("name"), month])):
+        asked = keyed.where(test).select("ord", F.struct(*key).alias("key"))
+        first = asked.join(asked.groupBy("key").agg(F.min("ord").alias("first")), "key").select("ord", "first")
+        guess = guess.join(first, "ord", "left").select("ord", F.least("root", "first").alias("root"))
+    for _ in range(2):
+        guess = guess.join(guess.select(F.col("ord").alias("_ord"), F.col("root").alias("_root")), F.col("root") == F.col("_ord")).select("ord", F.col("_root").alias("root"))
+    return guess
 
 
 def _merged(members: DataFrame) -> DataFrame:
@@ -239,10 +280,10 @@ def deduplicate(records: DataFrame) -> Merge:
     asks = pairs.where(F.col("score") >= SAME).select("x", "y").union(names.select(F.col("name").alias("x"), F.col("name").alias("y")))
     wanted = light.where("name <> '' and day is not null").select("ord", F.col("name").alias("x"), F.col("day").alias("on")).join(asks, "x").select("ord", "y", "on")
     wanted = scratch.save(wanted, "wanted")
-    assigned, turn = light.select("ord", F.col("ord").alias("root")), 0
+    assigned, turn = scratch.save(light.join(_first_guess(light), "ord"), "guess"), 0
     while True:
         turn += 1
-        assigned = scratch.save(_decided(light, wanted, assigned.select("ord", "root")), f"round-{turn}")
+        assigned = scratch.save(_decided(assigned.drop("moved"), wanted), f"round-{turn}")
         if assigned.where("moved").isEmpty():
             break
         if turn > 1:

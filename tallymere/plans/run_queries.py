@@ -30,7 +30,7 @@ def _pick(at, *values):
 @query("""SELECT c_custkey, 'SYM' || c_custkey AS symbol, CASE WHEN c_custkey % 3 = 0 THEN 'SME' ELSE '' END AS type, c_custkey % 3 = 0 AS is_sme, c_name AS company_name,
 '/ipo/' || c_custkey || '/' || lower(c_mktsegment) || '/' AS detail_path, '1 - 3 Jun 2024' AS bidding_range, '5 Jun 2024' AS listing_date_text, '10 - ' || c_custkey AS price_text FROM customer""")
 def q_list_rows(spark, sf_dir):
-    """A list page for each customer: a row, the same row again, and a row that links elsewhere."""
+    """A list page for each customer: a row, the same row again, and a row that links elsewhere; a third of them without the end tags of rows and cells."""
     key = _text(F.col("c_custkey"))
     kind = F.when(F.col("c_custkey") % 3 == 0, '<span class="ipo-type">SME</span>').otherwise("")
     link = F.concat(F.lit('<a href="/ipo/'), key, F.lit("/"), F.lower("c_mktsegment"))
@@ -39,10 +39,18 @@ def q_list_rows(spark, sf_dir):
         F.lit(' </span></a></td><td class="date">1 - 3 Jun 2024<span class="hidden">20240601</span></td><td class="date">5 Jun 2024</td><td class="text-right">10 - '), key, F.lit("</td></tr>"),
     )
     other = F.lit('<tr><td class="name"><a href="/about/">About</a></td></tr>')
-    pages = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("<table>"), row, row, other, F.lit("</table>")).alias("html"))
+    page = F.concat(F.lit("<table>"), row, row, other, F.lit("</table>"))
+    page = F.when(F.col("c_custkey") % 3 == 1, F.regexp_replace(page, "</t[dr]>", "")).otherwise(page)
+    pages = table(spark, sf_dir, "customer").select("c_custkey", page.alias("html"))
     return html.extract_rows(pages).drop("place")
 
 
+@query(r"""SELECT page_id, (n - 1)::INTEGER AS place, hrefs[n] AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1) AS hrefs FROM pages), range(1, 1000) t(n) WHERE n <= len(hrefs)""")
+def q_page_links(spark, sf_dir):
+    """All links of all pages, out of the tree."""
+    return html.extract_links(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "place", "href")
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN '/files/' || c_custkey || '.pdf' END AS prospectus_url FROM customer")
 def q_prospectus_link(spark, sf_dir):
     key = _text(F.col("c_custkey"))

@@ -87,7 +87,7 @@ def q_scan_groww(spark, sf_dir):
 
 @query(f"""WITH {BASE}, f AS (SELECT *, min(i) OVER (PARTITION BY i // 2) = i AS first FROM base),
 m AS (SELECT *, CASE WHEN d + 12 < DATE '{TODAY}' THEN 'listed' WHEN d < DATE '{TODAY}' THEN 'closed' WHEN d > DATE '{TODAY}' THEN 'upcoming' ELSE 'open' END AS status FROM f WHERE first)
-SELECT {3 * RANK} + i * 1048576 AS ord, NULL::VARCHAR AS isin, symbol, trim(name) AS company_name, status, strftime(d, '%Y-%m-%d') AS bidding_start_date, strftime(d + 12, '%Y-%m-%d') AS listing_date, low::DOUBLE AS low,
+SELECT {3 * RANK} + row_number() OVER (ORDER BY i) - 1 AS ord, NULL::VARCHAR AS isin, symbol, trim(name) AS company_name, status, strftime(d, '%Y-%m-%d') AS bidding_start_date, strftime(d + 12, '%Y-%m-%d') AS listing_date, low::DOUBLE AS low,
 CASE WHEN i % 8 = 0 THEN '/files/' || i || '-rhp.pdf' END AS rhp, CASE WHEN i % 8 = 2 THEN '/files/' || i || '-draft.pdf' END AS drhp FROM m WHERE status <> 'listed'""")
 def q_scan_zerodha(spark, sf_dir):
     """A list page for each document, two of them with the same detail page; detail pages with a prospectus for half of them."""
@@ -105,15 +105,15 @@ def q_scan_zerodha(spark, sf_dir):
     return _shown(scans.zerodha(rows.select(i.alias("ord"), page.alias("html")), details, TODAY))
 
 
-@query("""SELECT c_custkey * 1048576 + k AS ord, c_mktsegment AS bucket, 'g' || c_custkey || '-' || k AS search_id, CASE WHEN k = 1 THEN 'A, "quoted" {name}' END AS name
+@query("""SELECT row_number() OVER (ORDER BY c_custkey, k) - 1 AS ord, c_mktsegment AS bucket, 'g' || c_custkey || '-' || k AS search_id, CASE WHEN k = 1 THEN 'A, "quoted" {name}' END AS name
 FROM customer, range(3) t(k) WHERE k <= c_custkey % 3 AND c_custkey % 5 <> 4""")
 def q_unpack_lists(spark, sf_dir):
-    """An answered page for each customer, with one to three items under one of three members; a fifth hold no list."""
+    """An answered page for each customer, with one to three items under one of three members; a fifth hold no list. Pages come by a clock in microseconds."""
     k = F.col("c_custkey")
     item = lambda j, *more: F.concat(F.lit('{"searchId":"g'), _text("c_custkey"), F.lit(f'-{j}"'), *more, F.lit("}"))
     three = [item(0), item(1, F.lit(',"companyName":"A, \\"quoted\\" {name}","categories":[{"minPrice":1.5}]')), item(2)]
     listed = F.concat(F.lit("["), F.array_join(F.slice(F.array(*three), F.lit(1), (k % 3 + 1).cast("int")), ", "), F.lit("]"))
     member = _pick(k % 5, "ipoList", "data", "results", "data", "message")
     page = F.concat(F.lit('{"status": "ok", "'), member, F.lit('": '), F.when(k % 5 == 4, F.lit('"none"')).otherwise(listed), F.lit("}"))
-    items = scans.unpack(table(spark, sf_dir, "customer").select(k.alias("ord"), F.col("c_mktsegment").alias("bucket"), page.alias("payload")))
+    items = scans.unpack(table(spark, sf_dir, "customer").select((k + 1_700_000_000_000_000).alias("ord"), F.col("c_mktsegment").alias("bucket"), page.alias("payload")))
     return items.select("ord", "bucket", F.get_json_object("payload", "$.searchId").alias("search_id"), F.get_json_object("payload", "$.companyName").alias("name"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, names
 from . import html, mappers
-from .scans import first_of_key, last_of_key, limited_details, with_detail, without_listed
+from .scans import first_of_key, last_of_key, limited_details, numbered, with_detail, without_listed
 
 NSE_DEFAULTS = {"upcoming": "upcoming", "past": "closed"}
 LIVE = ("upcoming", "open", "closed")
@@ -23,14 +23,15 @@ def _field(name: str, payload: str = "payload") -> Column:
     return names.filled(F.get_json_object(payload, f"$.{name}"))
 
 
-def unpack(responses: DataFrame, members: tuple[str, ...] = ("ipoList", "data", "results"), page_items: int = 1 << 20) -> DataFrame:
+def unpack(responses: DataFrame, members: tuple[str, ...] = ("ipoList", "data", "results")) -> DataFrame:
     """List items (ord, bucket, payload) of answered pages (ord, bucket, payload): the elements of the first of the members that is there.
 
-    Items of a page follow each other in ``ord``.  An answer without a list gives no items.
+    Items are numbered from 0 in the order of pages and places, whatever the orders of the pages are and however long they are.  An answer without a
+    list gives no items.
     """
     found = F.coalesce(*[F.get_json_object("payload", f"$.{m}") for m in members])
     items = F.posexplode(F.from_json(F.when(found.startswith("["), found), "array<string>")).alias("place", "item")
-    return responses.select("ord", "bucket", items).select((F.col("ord") * page_items + F.col("place")).alias("ord"), "bucket", F.col("item").alias("payload"))
+    return numbered(responses.select(F.col("ord").alias("_page"), "bucket", items), "_page", "place").select("ord", "bucket", F.col("item").alias("payload"))
 
 
 def with_member(payload: Column, name: str, value: Column) -> Column:
@@ -102,14 +103,14 @@ def zerodha(pages: DataFrame, details: DataFrame | None, today: str, include_lis
     """Rows of list pages (ord, html), the first one of a detail page, with the prospectus link of that page (id: its path, html).
 
     Rows that their dates show as listed go before details are looked up, unless ``include_listed``.
-    A page's rows follow each other in ``ord``.
+    Rows that are left are numbered from 0 in the order of pages and places.
     """
     rows = html.extract_rows(pages).withColumnRenamed("detail_path", "id")
     rows = first_of_key(rows, "id", "ord", "place")
     span, listing = dates.date_range(F.col("bidding_range")), dates.iso_date(F.col("listing_date_text"))
     if not include_listed:
         rows = rows.where(~dates.infer_status(span["start"], span["end"], listing, today).eqNullSafe("listed"))
-    rows = rows.withColumn("ord", F.col("ord") * html.PAGE_ROWS + F.col("place"))
+    rows = numbered(rows.withColumnRenamed("ord", "_page"), "_page", "place")
     if details is not None:
         if max_details is not None:
             details = details.join(rows.orderBy("ord").limit(max_details).select("id"), "id", "left_semi")

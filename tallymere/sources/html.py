@@ -1,9 +1,17 @@
-"""Rows and links out of HTML, in pandas UDFs on the standard library's parser."""
+"""Rows and links out of HTML, in pandas UDFs on the standard library's parser.
+
+The tree follows the rules by which browsers build one where end tags are left out: a
+row or a cell ends the one before it in its own table, whatever else is still open
+inside; paragraphs, list items and links end likewise; end tags reach no further than
+the cell or table around them; what stands between rows moves before the table; rows
+and cells outside of tables are ignored.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Set
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,8 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: More rows than a list page can have: places in a page and pages make one order.
-PAGE_ROWS = 1 << 20
+SCOPE = frozenset({"table", "td", "th", "caption", "template"})
+SECTIONS, CELLS = frozenset({"tbody", "thead", "tfoot"}), frozenset({"td", "th"})
+ROWS = SECTIONS | CELLS | {"tr"}
+#: Where only parts of tables may stand, and what else may.
+BETWEEN = SECTIONS | {"table", "tr"}
+PARTS = ROWS | {"caption", "colgroup", "col", "script", "style", "template"}
+BLOCKS = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
+)
+#: By tag, the elements that it ends, and those that shield them.
+ENDS = {
+    "li": ({"li"}, SCOPE | {"ul", "ol"}), "dd": ({"dd", "dt"}, SCOPE | {"dl"}), "dt": ({"dd", "dt"}, SCOPE | {"dl"}), "a": ({"a"}, SCOPE), "option": ({"option"}, SCOPE | {"select"}),
+    **{tag: ({"p"}, SCOPE | {"button"}) for tag in BLOCKS},
+}
 LIST_ROW = "symbol string, type string, is_sme boolean, company_name string, detail_path string, bidding_range string, listing_date_text string, price_text string"
 
 
@@ -54,25 +74,68 @@ class Element:
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("", {}, None)
+        self.root = Element("", {}, None)
+        self.open, self.count = [self.root], Counter()  # elements without an end so far, and how many of each tag
+
+    def _pop(self, to: int) -> None:
+        for node in self.open[to:]:
+            self.count[node.tag] -= 1
+        del self.open[to:]
+
+    def _close(self, tags: Set[str], shields: Set[str]) -> None:
+        """Ends the innermost open element of the tags, and all inside it, if no shield is nearer."""
+        if not any(self.count[t] for t in tags):
+            return
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag in tags:
+                self._pop(k)
+                return
+            if self.open[k].tag in shields:
+                return
+
+    def _back_to(self, tags: Set[str]) -> None:
+        k = len(self.open)
+        while self.open[k - 1].tag not in tags:
+            k -= 1
+        self._pop(k)
+
+    def _put(self, node: Element | str, part: bool) -> None:
+        """Into the innermost open element; before the table, if that takes only parts of tables."""
+        at = self.open[-1]
+        if at.tag in BETWEEN and not part:
+            k = next(k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag == "table")
+            at = self.open[k - 1]
+            at.children.insert(len(at.children) - 1, node)  # an open table is its parent's last child
+        else:
+            at.children.append(node)
+        if isinstance(node, Element):
+            node.parent = at
+
+    def _start(self, tag: str, attrs: dict) -> None:
+        node = Element(tag, attrs, None)
+        self._put(node, tag in PARTS)
+        if tag not in VOID:
+            self.open.append(node)
+            self.count[tag] += 1
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("tr", "td", "th", "li", "p") and self.at.tag == tag:
-            self.at = self.at.parent
-        node = Element(tag, dict(attrs), self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
+        if tag in ROWS:
+            if not self.count["table"]:
+                return
+            self._close(CELLS if tag in CELLS else {"tr"} if tag == "tr" else SECTIONS, {"table", "template"})
+            self._back_to(BETWEEN if tag in CELLS else SECTIONS | {"table"} if tag == "tr" else {"table"})
+            if tag in CELLS and self.open[-1].tag != "tr":
+                self._start("tr", {})
+        else:
+            for tags, shields in [ENDS["p"]] if tag in BLOCKS else [ENDS[tag]] if tag in ENDS else []:
+                self._close(tags, shields)
+        self._start(tag, dict(attrs))
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        self._close({tag}, {"template"} if tag == "table" else {"table", "template"} if tag in ROWS else SCOPE)
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        self._put(data, not data.strip())
 
 
 def parse(html: str | None) -> Element:
@@ -135,6 +198,17 @@ def extract_prospectus(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("prospectus_url", link(html)).drop(html)
 
 
+def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Explodes the links of each page, in order: place (from 0), href and label; the other columns are repeated. Anchors without href are none."""
+
+    @F.pandas_udf("array<struct<href:string,label:string>>")
+    def links(column: pd.Series) -> pd.Series:
+        return column.map(lambda page: [{"href": a.attrs["href"], "label": a.text().strip()} for a in parse(page).all("a") if a.attrs.get("href") is not None])
+
+    kept = [c for c in pages.columns if c != html]
+    return pages.select(*kept, F.posexplode(links(html)).alias("place", "_link")).select(*kept, "place", "_link.*")
+
+
 def link_targets(html):
     """All href values of anchors on regular HTML, as an expression."""
     return F.regexp_extract_all(html, F.lit(r'<a\s[^>]*?href="([^"]*)"'), 1)

@@ -46,8 +46,8 @@ def test_first_list_wins_and_details_are_limited(spark):
 
 def test_answers_are_unpacked(spark):
     rows = [(1, "open", '{"ipoList":[{"a":1},{"a":{"b":[2]}}],"data":[]}'), (2, "open", '{"data":[{"a":3}]}'), (3, "closed", '{"results":{"a":4}}'), (4, "closed", None), (5, "closed", '{"data":[]}')]
-    got = feeds.unpack(spark.createDataFrame(rows, "ord long, bucket string, payload string"), page_items=10).orderBy("ord").collect()
-    assert [(r["ord"], r["bucket"], json.loads(r["payload"])) for r in got] == [(10, "open", {"a": 1}), (11, "open", {"a": {"b": [2]}}), (20, "open", {"a": 3})]
+    got = feeds.unpack(spark.createDataFrame(rows, "ord long, bucket string, payload string")).orderBy("ord").collect()
+    assert [(r["ord"], r["bucket"], json.loads(r["payload"])) for r in got] == [(0, "open", {"a": 1}), (1, "open", {"a": {"b": [2]}}), (2, "open", {"a": 3})]
 
 
 def test_each_live_bucket_gives_its_items(spark):
@@ -67,6 +67,55 @@ def test_pages_nested_deeper_than_calls():
     assert len(html.list_rows(page)) == 1
 
 
+def cell(kind, inside):
+    return f'<td class="{kind}">{inside}'
+
+
+def row(i, end):
+    return "<tr>" + end.join([cell("name", f'<a href="/ipo/{i}/x"><span class="ipo-symbol">S{i}</span><b class="ipo-name">N{i}</b></a>'), cell("date", f"d{i}"), cell("date", f"l{i}"), cell("text-right", f"p{i}"), ""])
+
+
+def test_rows_whose_end_tags_are_left_out():
+    expected = [(f"S{i}", f"N{i}", f"d{i}", f"l{i}", f"p{i}") for i in (1, 2)]
+    shown = lambda page: [(r["symbol"], r["company_name"], r["bidding_range"], r["listing_date_text"], r["price_text"]) for r in html.list_rows(page)]
+    for page in (
+        f"<table>{row(1, '</td>')}</tr>{row(2, '</td>')}</tr></table>", f"<table>{row(1, '')}{row(2, '')}</table>", f"<table><tbody>{row(1, '')}<tbody>{row(2, '')}",
+        f"<table>{row(1, '<p>')}{row(2, '</div></span>')}</table>", f"<div><table><thead><tr><th>h{row(1, '')}</thead>{row(2, '<i>')}</table></div>",
+        "<table>" + row(1, "").replace('<td class="text-right">', '<td><table><tr><td>inner<tr><td>more</table><td class="text-right">') + row(2, "") + "</table>",
+    ):
+        assert shown(page) == expected, page
+    assert shown(row(1, "</td>") + "</tr>") == []  # rows outside of a table are none
+    # what stands between cells goes before the table, and ends no row
+    assert shown(f"<table>{row(1, '')}<tr><div>x{row(2, '</td>x<br>')}</table>") == expected
+
+
+def test_trees_as_browsers_build_them():
+    def drawn(node):
+        return "".join(x if isinstance(x, str) else f"<{x.tag}>{drawn(x)}</{x.tag}>" for x in node.children)
+
+    for page, tree in (
+        ("<p>a<p>b<div>c", "<p>a</p><p>b</p><div>c</div>"), ("<ul><li>a<ul><li>b</ul><li>c</ul>d", "<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>d"), ("<a>x<a>y</a>", "<a>x</a><a>y</a>"),
+        ("<div><table><tr><td></div>a</td></tr></table>b</div>", "<div><table><tr><td>a</td></tr></table>b</div>"), ("<table>x<tr>y<td>z</table>", "xy<table><tr><td>z</td></tr></table>"), ("<dl><dt>a<dd>b<dt>c</dl>", "<dl><dt>a</dt><dd>b</dd><dt>c</dt></dl>"),
+        ("<table><td>a<td>b</table>", "<table><tr><td>a</td><td>b</td></tr></table>"), ("</p></table>a<td>b", "ab"),
+    ):
+        assert drawn(html.parse(page)) == tree, page
+
+
+def test_pages_that_come_by_clocks(spark):
+    page = "<table>" + row(1, "") + row(2, "") + "</table>"
+    pages = spark.createDataFrame([(1_700_000_000_000_000_000, page), (1_600_000_000_000_000_000, page.replace("/ipo/", "/ipo/9"))], "ord long, html string")
+    got = feeds.zerodha(pages, None, "2024-01-01").orderBy("ord").collect()
+    assert [(r["ord"] - 3 * RANK, r["symbol"], json.loads(r["raw_sources"]["zerodha"])["detailUrl"][-8:]) for r in got] == [(0, "S1", "po/91/x/"), (1, "S2", "po/92/x/"), (2, "S1", "/ipo/1/x/"[-8:]), (3, "S2", "/ipo/2/x/"[-8:])]
+
+
+def test_numbers_follow_the_order(spark):
+    from tallymere.sources.scans import numbered
+
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1000 as a", "id as b").repartition(7)
+    assert [r["n"] for r in numbered(rows.withColumn("c", F.col("a")), "a", name="n").orderBy("c").collect()] == list(range(1000))
+    assert numbered(rows.limit(0), "a").count() == 0
+
+
 def test_orders_as_large_as_clocks_keep_sources_apart(spark):
     rows = spark.createDataFrame([(1_700_000_000_000_000, "{}")], "ord long, payload string")
     both = mappers.standard_records({"upstox": rows, "nse": rows.withColumn("ord", F.lit(0).cast("long"))}, "2024-01-01")

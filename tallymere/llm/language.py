@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import distinct_sample
 from .texthash import blocks, bounded_batches, by_blocks, mix
 
 UNKNOWN = "und"
@@ -123,17 +124,13 @@ def learn(
     labelled: DataFrame, text: str = "text", label: str = "lang", sample_rows: int = 20_000,
     min_script_share: float = 0.001, smoothing: float = 0.5, switch_penalty: float = 12.0,
 ) -> Model:
-    """Learn from rows with text and label; if there are more than ``sample_rows``, from about an equal part of these of each
-    language, chosen by a hash of the text, so that rare languages are taken whole.
+    """Learn from different texts with a label, about ``sample_rows`` at most: about an equal part of these for each language,
+    chosen by a hash of the text, so that rare languages are taken whole.
 
     What reaches the driver is one count for each language and bucket.
     """
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("string").alias("label")).where("text is not null and label is not null")
-    known = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
-    if sum(r["n"] for r in known) > sample_rows:
-        most = {r["label"]: sample_rows / len(known) / r["n"] for r in known}
-        share = F.create_map(*[F.lit(x) for name, part in sorted(most.items()) for x in (name, int(1_000_000 * part))])
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(share, F.col("label")))
+    rows = distinct_sample(rows, "text", sample_rows, "label", equal=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -240,7 +237,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return by_blocks(batches, lambda batch: pc.struct_field(batch["row"], text), label, BLOCK_BYTES)
+        # a word takes memory for each language
+        return by_blocks(batches, lambda batch: pc.struct_field(batch["row"], text), label, max(1 << 14, 4 * BLOCK_BYTES // max(4, n_lang)))
 
     bounded_batches(docs.sparkSession)
     row = packed.schema["row"].dataType.simpleString()

@@ -37,6 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import distinct_sample
 from .texthash import bounded_batches, by_blocks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -246,12 +247,9 @@ def fit(rows: np.ndarray, weight: np.ndarray, steps: int = 600, penalty: float =
 
 
 def learn(docs: DataFrame, text: str = "text", sample_rows: int = 20_000, hidden_share: float = 0.5) -> Weights:
-    """Learn from the base spans of about ``sample_rows`` texts, chosen by a hash. Counts of situations reach the driver."""
+    """Learn from the base spans of about ``sample_rows`` different texts at most, chosen by a hash. Counts of situations reach the driver."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
-    n = rows.count()
-    if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
+    rows = distinct_sample(docs.select(F.col(f"`{text}`").alias("text")), "text", sample_rows)
     names = [f"c{i}" for i in range(7)]
 
     def met(part: pa.RecordBatch) -> pa.RecordBatch:

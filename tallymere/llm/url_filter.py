@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .decontaminate import let
 from ..plans.graph import sized
 from ..plans.scratch import Scratch
+from .sampling import distinct_sample
 
 FEATURES = ["url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "host_labels", "hyphens", "suffix_count", "suffix_blocked"]
 SMOOTHING = 5.0
@@ -119,7 +120,7 @@ class UrlModel:
 
 
 def train(labelled: DataFrame, sample_rows: int = 20_000, rounds: int = 10, depth: int = 4, seed: int = 17) -> UrlModel:
-    """Learn from rows with columns url, host, path and label (1: block)."""
+    """Learn from rows with columns url, host, path and label (1: block): shares of suffixes from all, trees from about ``sample_rows`` different urls at most."""
     scratch = Scratch(labelled.sparkSession, "url-model")
     rows = with_features(labelled.select("url", "host", "path", F.col("label").cast("double").alias("label")).where("label is not null"))
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)))
@@ -133,8 +134,7 @@ def train(labelled: DataFrame, sample_rows: int = 20_000, rounds: int = 10, dept
     others = folds.join(suffixes, "suffix").select("suffix", "fold", "suffix_count", share(F.col("blocked") - F.col("bad"), F.col("suffix_count") - F.col("n")))
     suffixes = suffixes.select("suffix", "suffix_count", share(F.col("blocked"), F.col("suffix_count")))
     model = UrlModel(None, suffixes, prior)
-    if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
+    rows = distinct_sample(rows, "url", sample_rows, "label")
     sample = scratch.save(model.met(rows, others, ["suffix", "fold"]).select("label", *FEATURES), "sample")
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)
     model.trees = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed).fit(ready)

@@ -78,7 +78,7 @@ class ByteBPE:
 
     classes: np.ndarray  #: of each code point
     first: np.ndarray  #: id of the token of each byte
-    keys: np.ndarray  #: pairs of ids that merge, left << 32 | right, in order
+    keys: np.ndarray  #: pairs of ids that merge, left << 32 | right, in order, and an end mark
     ranks: np.ndarray  #: of the pairs in ``keys``
     left: np.ndarray  #: by rank
     right: np.ndarray
@@ -95,12 +95,13 @@ class ByteBPE:
         if len(np.unique(merged)) < len(merges) or (np.maximum(made[left], made[right]) >= np.arange(len(merges))).any():
             raise ValueError("a merge must come after those that make its parts, and no two may make the same token")
         order = np.argsort(left << 32 | right)
+        keys = np.append((left << 32 | right)[order], np.iinfo(np.int64).max)  # the last stands behind every pair
         spelt = [b""] * len(made)
         for text, i in [*tokens.items(), *special.items()]:
             spelt[i] = text
         first = np.array([tokens[bytes([b])] for b in range(256)], np.int64)
         ends = np.concatenate([[0], np.cumsum([len(x) for x in spelt])])
-        return cls(_classes(), first, (left << 32 | right)[order], order, left, right, merged, np.frombuffer(b"".join(spelt), np.uint8), ends, special)
+        return cls(_classes(), first, keys, np.append(order, -1), left, right, merged, np.frombuffer(b"".join(spelt), np.uint8), ends, special)
 
     @classmethod
     def load(cls, path: str | None = None) -> ByteBPE:
@@ -176,18 +177,14 @@ class ByteBPE:
 
     # --- merges ------------------------------------------------------------------------------------------------
 
-    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair of ids, or -1."""
-        pair = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-        return np.where(self.keys[at] == pair, self.ranks[at], -1)
-
     def merge(self, raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words (their bytes one after another in ``raw``), and how many each has."""
         n = len(raw)
         ends = np.cumsum(sizes)
-        symbol = np.append(self.first[np.frombuffer(raw, np.uint8)], -1)  # -1: merged into the one before, or no symbol
-        after, before = np.append(np.arange(1, n + 1), n), np.append(np.arange(-1, n - 1), n)
+        place = np.int32 if n < 1 << 31 else np.int64
+        symbol = np.append(self.first[np.frombuffer(raw, np.uint8)], -1).astype(np.int32)  # -1: merged into the one before, or no symbol
+        after, before = np.arange(1, n + 2, dtype=place), np.arange(-1, n, dtype=place)
+        after[n:] = before[n:] = n
         after[ends[sizes > 0] - 1] = n
         before[(ends - sizes)[sizes > 0]] = n
         waiting: dict[int, list[np.ndarray]] = {}
@@ -195,22 +192,27 @@ class ByteBPE:
 
         def note(at: np.ndarray) -> None:
             """Adds positions of pairs to the index."""
-            rank = self._rank(symbol[at], symbol[after[at]])
-            at, rank = at[rank >= 0], rank[rank >= 0]
-            if not len(at):
-                return
-            order = np.argsort(rank, kind="stable")
-            at, rank = at[order], rank[order]
-            cuts = np.flatnonzero(np.diff(rank)) + 1
-            for r, own in zip(rank[np.append(0, cuts)].tolist(), np.split(at, cuts) if len(cuts) else [at], strict=True):
+            pair = symbol[at].astype(np.int64) << 32 | symbol[after[at]]
+            place = self.keys.searchsorted(pair)
+            hit = self.keys[place] == pair
+            at, rank = at[hit], self.ranks[place[hit]]
+            if len(at) > 8:
+                order = rank.argsort(kind="stable")
+                at, rank = at[order], rank[order]
+                cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+                ranks, bounds = rank[np.append(0, cuts)].tolist(), [0, *cuts.tolist(), len(at)]
+            else:
+                ranks, bounds = rank.tolist(), range(len(at) + 1)
+            for k, r in enumerate(ranks):
+                own = at[bounds[k] : bounds[k + 1]]
                 if r in waiting:
                     waiting[r].append(own)
                 else:
                     waiting[r] = [own]
                     heappush(active, r)
 
-        if n and len(self.keys):
-            note(np.arange(n))
+        for lo in range(0, n, 1 << 18):
+            note(np.arange(lo, min(n, lo + (1 << 18))))
         while active:
             r = heappop(active)
             listed = waiting.pop(r)
@@ -233,7 +235,7 @@ class ByteBPE:
             note(np.concatenate([earlier[earlier < n], at[rest < n]]))
         kept = symbol[:n] >= 0
         total = np.concatenate([[0], np.cumsum(kept)])
-        return symbol[:n][kept].astype(np.int32), total[ends] - total[ends - sizes]
+        return symbol[:n][kept], total[ends] - total[ends - sizes]
 
     def encode(self, text: pa.Array, known: Known | None = None, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and offsets."""
@@ -246,6 +248,14 @@ class ByteBPE:
         out = ids[_ranges((np.cumsum(counts) - counts)[place], each)]
         return out, np.concatenate([[0], np.cumsum(each)])[np.searchsorted(starts, bounds)]
 
+    def encode_apart(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode without special tokens, for texts that share few words: nothing is looked up or remembered."""
+        raw = b"".join(texts)
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+        starts = self.words(raw, bounds, special=False)
+        ids, counts = self.merge(raw, np.diff(np.append(starts, len(raw))))
+        return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, bounds)]
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         ids = ids.astype(np.int64)
         sizes = np.diff(self.raw_ends)[ids]

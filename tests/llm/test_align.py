@@ -72,6 +72,14 @@ def texts(seed, n, size):
     return ["".join(r.choice(PARTS) + r.choice(["", " ", " "]) for _ in range(r.randint(0, size))) for _ in range(n)]
 
 
+def opened(block):
+    """The lists of a block's row."""
+    import pyarrow as pa
+
+    row = block.to_pylist()[0]
+    return {**pa.ipc.open_stream(row["body"]).read_all().to_pylist()[0], "pairs": row["pairs"]}
+
+
 def compare(spark, sides, plain, rows, partitions=3):
     frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(partitions)
     got = {r["row"]["doc_id"]: tuple(r)[1:] for r in align.align(frame, *sides).collect()}
@@ -81,7 +89,10 @@ def compare(spark, sides, plain, rows, partitions=3):
     assert len(got) == len(rows)
 
 
-def test_equals_a_plain_walk(spark, sides, plain):
+@pytest.mark.parametrize("sent", [1 << 20, 5])
+def test_equals_a_plain_walk(spark, sides, plain, monkeypatch, sent):
+    """With the totals of all pairs in every task, and with each block's own by a shuffle."""
+    monkeypatch.setattr(align, "SENT_PAIRS", sent)
     rows = texts(1, 400, 12) + texts(2, 40, 200) + [None, "", " ", "  ", "x ", "x  ", " x", "\n x", "with ▁ mark", "a▁", "same text", "same text", "漢" * 2000, "a" * 5000, " ".join(["one"] * 3000), "x" + "  y" * 50, "end\n"]
     compare(spark, sides, plain, rows)
 
@@ -94,11 +105,12 @@ def test_parts_are_cut_and_forgotten_without_effect(spark, sides, plain, monkeyp
     whole = align.Parts(*sides)
     monkeypatch.setattr(align, "KNOWN_PARTS", 5)
     monkeypatch.setattr(align, "CALL", 40)
+    monkeypatch.setattr(align, "ENCODED", 100)
     few = align.Parts(*sides)
     ids = pa.StructArray.from_arrays([pa.array(range(len(rows)))], ["doc_id"])
     for lo in range(0, len(rows), 7):
         own = pa.array(rows[lo : lo + 7])
-        one, two = (align._block(ids.slice(lo, len(own)), own, met).to_pylist()[0] for met in (whole, few))
+        one, two = (opened(next(align._blocks(ids.slice(lo, len(own)), own, met))) for met in (whole, few))
         assert sorted((p["a"], p["b"], p["n"]) for p in one["pairs"]) == sorted((p["a"], p["b"], p["n"]) for p in two["pairs"])
         spelt = lambda x: ([x["spelt"][k] for k in x["place"]], x["n_parts"])
         assert spelt(one) == spelt(two)
@@ -113,7 +125,7 @@ def test_long_parts_take_no_square(sides):
     met = align.Parts(*sides)
     began = time.time()
     text = "".join(random.Random(0).choice("abcdefgh0123") for _ in range(400_000))
-    block = align._block(pa.StructArray.from_arrays([pa.array([0])], ["doc_id"]), pa.array([text]), met).to_pylist()[0]
+    block = opened(next(align._blocks(pa.StructArray.from_arrays([pa.array([0])], ["doc_id"]), pa.array([text]), met)))
     assert len(block["spelt"]) == 1 and sum(block["n_links"]) > 200_000 and time.time() - began < 60
 
 

@@ -134,6 +134,12 @@ def _crowded(stored: DataFrame, incoming: DataFrame, scratch: Scratch) -> tuple[
     linked = lambda frame, kind, own: frame.select(value(kind, own).alias("a"), F.explode(keys).alias("b")).where("b is not null")
     new = scratch.save(linked(incoming, "row", "_row"), "incoming-keys")
     old = linked(stored, "stored", "slug")
+    # where no key has two rows and no stored entity is met by two, every group has one row, and groups need not be found
+    several = lambda pairs, by: not pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    meets = old.join(new.withColumnRenamed("a", "row"), "b").select("a", "row").distinct()
+    unnamed = F.coalesce(F.col("company_name"), F.lit("")) == ""
+    if not several(new.distinct(), "b") and not several(meets, "a") and incoming.where(unnamed).isEmpty():
+        return None
     met = old.join(new.select("b").distinct(), "b", "left_semi").select("a").distinct()
     groups = scratch.save(components(new.union(old.join(met, "a", "left_semi")), scratch, "upsert"), "groups")
     nameless = (F.coalesce(F.col("company_name"), F.lit("")) == "").alias("nameless")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extraction, listing, scrape, series, store
+from ..operators import buckets, extraction, listing, scrape, series, store
 from . import feeds
 from .catalog import NOW, query, table
 from .record_queries import entities
@@ -200,6 +200,23 @@ def q_scrape_tally(spark, sf_dir):
     return store.tally(store.upsert(old, batch, NOW)[1])
 
 
+@query(f"""WITH {ORDERS} SELECT CASE WHEN k % 3 = 0 AND k % 5 = 0 THEN 'x-' || k ELSE slug END AS slug, CASE WHEN k % 3 = 0 THEN 'new' WHEN k % 7 = 0 THEN 'updated' ELSE 'unchanged' END AS action,
+CASE WHEN k % 7 = 0 THEN 'withdrawn' ELSE status END AS status FROM o""")
+def q_bucket_upsert(spark, sf_dir):
+    """All orders meet a store in buckets that holds two thirds of them, a fifth under another slug, so that their isin has to find them."""
+    kind = "map<string,struct<url:string,source:string,status:string,markdown_url:string,page_hashes:array<string>>>"
+    rows = orders_as_entities(spark, sf_dir).withColumn("k", F.substring_index("slug", "-", -1).cast("long")).withColumns({
+        "isin": F.concat(F.lit("INE"), "k"), "symbol": F.lit(None).cast("string"), "documents": F.lit(None).cast(kind), "subscription": F.lit(None).cast("struct<retail:double>"), "raw_sources": F.lit(None).cast("map<string,string>")
+    })
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("k").schema.fields)
+    own = buckets.BucketStore(spark, f"{Scratch(spark, 'bucket-store').path}/store", fields)
+    own.upsert(rows.where("k % 3 <> 0").drop("k", "created_at"), NOW)
+    slug = F.when(F.col("k") % 5 == 0, F.concat(F.lit("x-"), "k")).otherwise(F.col("slug"))
+    batch = rows.withColumns({"slug": slug, "status": F.when(F.col("k") % 7 == 0, "withdrawn").otherwise(F.col("status"))}).drop("k", "created_at")
+    actions = own.upsert(batch, NOW)
+    return actions.select("slug", "action").join(own.entities().select("slug", "status"), "slug")
+
+
 @query("""SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 3 = 0 THEN 'status' END, CASE WHEN o_totalprice > 100000 THEN 'issue_size' END, CASE WHEN o_orderkey % 4 = 0 THEN 'documents' END) AS changes FROM orders""")
 def q_diff_fields(spark, sf_dir):
     k = F.col("o_orderkey")

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallymere.operators import listing, scrape, series, store
+from tallymere.operators import buckets, listing, scrape, series, store
 from tallymere.plans import feeds
 from tallymere.plans.catalog import NOW, TODAY
 from tallymere.streaming.ingest import ingest, version
@@ -109,6 +109,40 @@ def test_upsert_equals_a_sequential_one(spark, seed):
     assert listed(state) == listed(frame(spark, expected))
 
 
+def files(path):
+    return {str(f): (f.stat().st_mtime_ns, f.stat().st_size) for f in path.rglob("part-*")}
+
+
+def test_buckets_equal_the_whole_store_and_stay_where_untouched(spark, tmp_path):
+    old = [entity(f"e{i}", isin=f"I{i}", symbol=f"S{i}" if i % 2 else None, status="open") for i in range(60)]
+    one = buckets.BucketStore(spark, str(tmp_path / "store"), SCHEMA, buckets=8)
+    assert one.entities().count() == 0
+    one.upsert(frame(spark, old).drop("created_at"), "t0")
+    state, _ = store.upsert(frame(spark, []), frame(spark, old).drop("created_at"), "t0")
+    assert listed(one.entities()) == listed(state)
+    before = files(tmp_path / "store")
+    # by isin, by symbol, by slug, one that takes another isin, one that is new, and two of one key
+    batch = [entity("x", isin="I3", status="closed"), entity("y", symbol="S5", status="closed"), entity("e7", isin="I700", status="closed"), entity("new", isin="N1"), entity("z", isin="I700", sector="s"), entity("e8", isin="I8", status="open")]
+    batch = [row | {"ord": i} for i, row in enumerate(batch)]
+    incoming = frame(spark, batch, SCHEMA + ", ord long").drop("created_at")
+    whole = state.persist()
+    state, actions = store.upsert(whole, incoming, "t1", order="ord")
+    rows = lambda a: sorted((x["slug"], x["action"], tuple(x["changes"])) for x in a.collect())
+    assert rows(one.upsert(incoming, "t1", order="ord")) == rows(actions)
+    assert listed(one.entities()) == listed(state)
+    after = files(tmp_path / "store")
+    folder = lambda f: "/".join(f.split("/")[-3:-1])
+    changed = {folder(f) for f in before.keys() ^ after.keys()}
+    entities = {f for f in changed if f.startswith("entities")}
+    assert 0 < len(entities) <= 5 and len({folder(f) for f in after if "/entities/" in f}) == 8
+    assert all(after[f] == before[f] for f in before if folder(f) not in changed)
+    # keys that changed lead to the entity from then on, former ones no more
+    state, actions = store.upsert(state.persist(), frame(spark, [entity("q", isin="I700", status="listed"), entity("p", isin="I7", status="listed")]).drop("created_at"), "t2")
+    assert rows(one.upsert(frame(spark, [entity("q", isin="I700", status="listed"), entity("p", isin="I7", status="listed")]).drop("created_at"), "t2")) == rows(actions)
+    assert listed(one.entities()) == listed(state)
+    whole.unpersist()
+
+
 def test_a_run_twice_changes_nothing(spark, small):
     landing = feeds.feeds(spark, small)
     first = scrape.run_feeds(landing, None, NOW, TODAY, sources=("upstox", "nse", "groww", "zerodha", "bourse"))

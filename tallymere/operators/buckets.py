@@ -46,6 +46,10 @@ class BucketStore:
         """All entities."""
         return self._read("entities").drop("bucket")
 
+    def of_slugs(self, slugs: DataFrame) -> DataFrame:
+        """The entities of a table (slug), out of their buckets alone."""
+        return self._read("entities", self._numbers(slugs, "slug")).drop("bucket").join(slugs.select("slug").distinct(), "slug", "left_semi")
+
     def _numbers(self, rows: DataFrame, column: str) -> list[int]:
         return [r[0] for r in rows.select(self._bucket(column)).distinct().collect()]  # at most one for each bucket
 
@@ -57,6 +61,12 @@ class BucketStore:
         for k in emptied:
             rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}/bucket={k}")
 
+    def replace_all(self, rows: DataFrame) -> None:
+        """Makes these entities the whole store, and its key tables theirs."""
+        tables = {"entities": (rows, "slug"), **{key: (rows.select(F.col(key).alias("key"), "slug").where("coalesce(key, '') <> ''"), "key") for key in KEYS}}
+        for name, (own, by) in tables.items():
+            own.withColumn("bucket", self._bucket(by)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}")
+
     def upsert(self, incoming: DataFrame, now: str, order: str | None = None) -> DataFrame:
         """Takes a batch of entities; returns the actions (slug, action, changes), as ``store.upsert`` against the whole store gives them."""
         scratch = Scratch(self.spark, "bucket-upsert")
@@ -66,7 +76,7 @@ class BucketStore:
             asked = batch.where(F.coalesce(F.col(key), F.lit("")) != "").select(F.col(key).alias("key")).distinct()
             slugs = slugs.union(self._read(key, self._numbers(asked, "key")).join(asked, "key", "left_semi").select("slug"))
         slugs = scratch.save(slugs.distinct(), "slugs")
-        met = scratch.save(self._read("entities", self._numbers(slugs, "slug")).join(slugs, "slug", "left_semi").drop("bucket").select(*batch_columns(self.schema)), "met")
+        met = scratch.save(self.of_slugs(slugs).select(*batch_columns(self.schema)), "met")
         state, actions = upsert(met, batch, now, order)
         state, actions = scratch.save(state, "state"), scratch.save(actions, "actions")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import buckets, extraction, listing, scrape, series, store
+from ..operators import buckets, extraction, listing, scrape, search, series, store
 from . import feeds
 from .catalog import NOW, query, table
 from .record_queries import entities
@@ -200,6 +200,19 @@ def q_scrape_tally(spark, sf_dir):
     return store.tally(store.upsert(old, batch, NOW)[1])
 
 
+@query(f"""WITH {ORDERS} SELECT slug, 'any' AS pattern FROM o WHERE regexp_matches(company_name, '(?i)pany (9[0-6]|1)$') UNION ALL SELECT slug, 'one' FROM o WHERE regexp_matches(isin, '(?i)ine77.*5$')""")
+def q_gram_search(spark, sf_dir):
+    """All orders, searched by two patterns through the index of three-character runs."""
+    rows = orders_as_entities(spark, sf_dir).drop("documents", "sources", "gmp", "price_band")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    scratch = Scratch(spark, "gram-search")
+    own = buckets.BucketStore(spark, f"{scratch.path}/store", fields)
+    own.replace_all(rows)
+    search.write_index(own.entities(), f"{scratch.path}/index")
+    found = {name: search.search(own, f"{scratch.path}/index", pattern) for name, pattern in (("any", "pany (9[0-6]|1)$"), ("one", "ine77.*5$"))}
+    return found["any"].select("slug", F.lit("any").alias("pattern")).union(found["one"].select("slug", F.lit("one")))
+
+
 @query(f"""WITH {ORDERS} SELECT CASE WHEN k % 3 = 0 AND k % 5 = 0 THEN 'x-' || k ELSE slug END AS slug, CASE WHEN k % 3 = 0 THEN 'new' WHEN k % 7 = 0 THEN 'updated' ELSE 'unchanged' END AS action,
 CASE WHEN k % 7 = 0 THEN 'withdrawn' ELSE status END AS status FROM o""")
 def q_bucket_upsert(spark, sf_dir):

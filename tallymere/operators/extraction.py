@@ -52,10 +52,14 @@ def heading_section(title: Column, least: float = 0.82) -> tuple[Column, Column]
     return F.when(best["score"] >= least, best["section"]), F.when(best["score"] >= least, best["score"])
 
 
+# Fixed value: a title, dots, and a page number.
+CONTENTS_LINE = r"^(.{4,80}?)\.{3,}\s*(\d{1,3})$"
+
+
 def contents_lines(page: Column) -> Column:
     """Array of (title, page) from a printed table of contents."""
-    lines = F.filter(F.split(page, "\n"), lambda x: x.rlike(r"^.{4,80}?\.{3,}\s*\d{1,3}$"))
-    title, number = (lambda x: F.trim(F.regexp_extract(x, r"^(.{4,80}?)\.{3,}\s*(\d{1,3})$", 1))), (lambda x: F.regexp_extract(x, r"^(.{4,80}?)\.{3,}\s*(\d{1,3})$", 2).cast("int"))
+    lines = F.filter(F.split(page, "\n"), lambda x: x.rlike(CONTENTS_LINE))
+    title, number = (lambda x: F.trim(F.regexp_extract(x, CONTENTS_LINE, 1))), (lambda x: F.regexp_extract(x, CONTENTS_LINE, 2).cast("int"))
     return F.transform(lines, lambda x: F.struct(title(x).alias("title"), number(x).alias("page")))
 
 

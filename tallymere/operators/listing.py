@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import premium_percentage
@@ -14,6 +14,8 @@ from .series import historical
 
 SORTS = {"listingDate": "listing_date", "name": "company_name", "createdAt": "created_at", "biddingStart": "bidding_start", "date": "bidding_start", "latest": "bidding_start"}
 LIVE = ("open", "upcoming")
+# Why an entity is skipped; the first is followed by its status and the second.
+STATUS, NOT_LIVE, NO_PREMIUM, NO_CANDLES = "status ", " — no live GMP", "no GMP found", "no candle data"
 
 
 def page_of(page, limit) -> tuple[int, int]:
@@ -96,8 +98,8 @@ def premium_run(entities: DataFrame, entries: DataFrame, now: str, slugs: list[s
     live = F.coalesce(F.col("status").isin(*LIVE), F.lit(False))
     met = best_premium(targets.where(live).select("slug", "company_name"), entries).where("gmp <> 0")
     hits = met.select("slug", F.col("gmp").alias("value"), premium_percentage(F.col("gmp_percent"), F.col("gmp"), F.col("price")).alias("percentage"), F.lit("investorgain").alias("source"), F.lit(now).alias("updated_at"))
-    wrong = targets.where(~live).select("slug", F.concat(F.lit("status "), F.coalesce("status", F.lit("null")), F.lit(" — no live GMP")).alias("reason"))
-    missed = targets.where(live).join(hits, "slug", "left_anti").select("slug", F.lit("no GMP found").alias("reason"))
+    wrong = targets.where(~live).select("slug", F.concat(F.lit(STATUS), F.coalesce("status", F.lit("null")), F.lit(NOT_LIVE)).alias("reason"))
+    missed = targets.where(live).join(hits, "slug", "left_anti").select("slug", F.lit(NO_PREMIUM).alias("reason"))
     return hits, wrong.unionByName(missed)
 
 
@@ -118,7 +120,7 @@ def historical_run(entities: DataFrame, candles: DataFrame, status: str = "liste
     own = targets.select("slug", "isin", F.substring("listing_date", 1, 10).alias("since"), issue.alias("issue"))
     rows = own.join(candles, "isin").where("since is null or date >= since")
     blocks = historical(rows, "slug", F.col("issue"))
-    return blocks, targets.join(blocks, "slug", "left_anti").select("slug", F.lit("no candle data").alias("reason"))
+    return blocks, targets.join(blocks, "slug", "left_anti").select("slug", F.lit(NO_CANDLES).alias("reason"))
 
 
 def with_historical(entities: DataFrame, blocks: DataFrame, now: str) -> DataFrame:
@@ -129,6 +131,17 @@ def with_historical(entities: DataFrame, blocks: DataFrame, now: str) -> DataFra
     return out.withColumns({"historical": block, "updated_at": F.when(F.col("_block").isNotNull(), F.lit(now)).otherwise(F.col("updated_at"))}).drop("_block")
 
 
+def estimate(spark: SparkSession, path: str) -> DataFrame:
+    """One row: status, ipos, as health(), of a stored table, from the footers of its Parquet files; no row is read.
+
+    The reader that can do this is another than the usual one, so it is chosen in a session of its own.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return health(own.read.parquet(path))
+
+
 def health(entities: DataFrame) -> DataFrame:
     """One row: status, ipos."""
     return entities.agg(F.count(F.lit(1)).alias("ipos")).select(F.lit("ok").alias("status"), "ipos")

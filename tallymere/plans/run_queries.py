@@ -242,6 +242,12 @@ def q_latest_fetch(spark, sf_dir):
     return listing.latest_of(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey")
 
 
+@query("SELECT 'ok' AS status, count(*) AS ipos FROM lineitem")
+def q_estimate(spark, sf_dir):
+    """The rows of a table by the footers of its files."""
+    return listing.estimate(spark, f"{sf_dir}/lineitem.parquet")
+
+
 @query("SELECT 'ok' AS status, count(*) AS ipos FROM orders")
 def q_health(spark, sf_dir):
     return listing.health(orders_as_entities(spark, sf_dir))

@@ -15,6 +15,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,18 @@ def release(spark: SparkSession) -> None:
         _delete(spark, _made.pop())
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables made since its beginning. Results that read them must be written inside. Not for threads that share a process."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in _made - before:
+            _made.discard(path)
+            _delete(spark, path)
+
+
 class Scratch:
     """Parquet tables of one run of an operator.
 

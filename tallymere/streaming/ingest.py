@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.scrape import run_feeds
+from ..plans.scratch import scope
 from ..schemas import SOURCES
 
 LANDING = "source string, ord bigint, payload string"
@@ -28,7 +29,8 @@ def ingest(spark: SparkSession, landing: str, store: str, checkpoint: str, clock
         session = batch.sparkSession
         feeds = {s: batch.where(f"source = '{s}'").select("ord", "payload") for s in SOURCES}
         before = session.read.parquet(version(store, number - 1)) if number else None
-        run_feeds(feeds, before, clock(), today()).state.write.mode("overwrite").parquet(version(store, number))
+        with scope(session):  # tables of the run go when its version is written
+            run_feeds(feeds, before, clock(), today()).state.write.mode("overwrite").parquet(version(store, number))
 
     rows = spark.readStream.schema(LANDING).json(landing)
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

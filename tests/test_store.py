@@ -172,6 +172,28 @@ def test_stream_of_landing_files(spark, small, tmp_path):
     assert one.join(two, "slug", "left_anti").count() == 0 and two.count() > one.count() > 0
 
 
+def test_counts_from_footers_read_no_rows(spark, small, capsys):
+    out = listing.estimate(spark, f"{small}/lineitem.parquet")
+    assert out.first()["ipos"] == spark.read.parquet(f"{small}/lineitem.parquet").count()
+    capsys.readouterr()
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "PushedAggregation: [COUNT(*)]" in plan
+    assert "parquet" in (spark.conf.get("spark.sql.sources.useV1SourceList") or "")  # the caller's session stays as it was
+
+
+def test_tables_of_a_scope_go_with_it(spark):
+    from tallymere.plans.scratch import Scratch, scope
+
+    kept = Scratch(spark, "kept").save(spark.range(3).toDF("n"), "t")
+    with scope(spark):
+        inside = Scratch(spark, "inside")
+        assert inside.save(spark.range(3).toDF("n"), "t").count() == 3
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(f"{inside.path}/t").count()
+
+
 def test_premium_run(spark):
     rows = [entity("hexagon", company_name="Hexagon Nutrition Ltd", status="open"), entity("zero", company_name="Zero Premium", status="upcoming"), entity("done", company_name="Done Deal", status="listed"), entity("none", company_name="Completely Unrelated", status="open")]
     entries = spark.createDataFrame([(1, "Hexagon Nutrition", 8.0, 45.0, None), (2, "Zero Premium", 0.0, 10.0, None)], "ord long, company_name string, gmp double, price double, gmp_percent double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import buckets, extraction, listing, scrape, search, series, store
+from ..operators import buckets, extraction, listing, pages, scrape, search, series, store
 from . import feeds
 from .catalog import NOW, query, table
 from .record_queries import entities
@@ -117,6 +117,14 @@ CARD_SQL = ", ".join(CARD)
 LATEST = "ORDER BY bidding_start DESC NULLS LAST, day DESC, slug"
 
 
+@query(f"WITH {ORDERS} SELECT {CARD_SQL} FROM o {LATEST} LIMIT 50 OFFSET 5000")
+def q_page_seek(spark, sf_dir):
+    """A deep page of all orders, by its place in a copy in the listing's order."""
+    path = Scratch(spark, "page-seek").path
+    pages.write_pages(orders_as_entities(spark, sf_dir).drop("documents", "sources", "gmp", "price_band"), path)
+    return pages.page_at(spark, path, page=101).select(*CARD)
+
+
 @query(f"WITH {ORDERS} SELECT {CARD_SQL} FROM o {LATEST} LIMIT 50")
 def q_list_default(spark, sf_dir):
     return listing.list_entities(orders_as_entities(spark, sf_dir)).select(*CARD)

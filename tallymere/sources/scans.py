@@ -6,25 +6,31 @@ order of arrival.  Every scan is a plan over such tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
 
 
-def numbered(rows: DataFrame, *order: str, name: str = "ord") -> DataFrame:
-    """Rows with their number by ``order``, from 0 without gaps, as ``name``; the columns of the order go. Rows that are equal in it are numbered in any order.
+def in_ranges(rows: DataFrame, *order: str | Column, name: str = "ord", ranges: int | None = None) -> DataFrame:
+    """Rows with their number by ``order``, from 0 without gaps, as ``name``, and ``_part``, the range of the order that they are in.
 
-    Ranges of the order are sorted apart and written; a range then begins after all rows of those before it.
+    Rows that are equal in the order are numbered in any order.  Ranges are sorted apart and written; a range begins after all rows of those before it.
+    Their number is up to Spark where it isn't given.
     """
     scratch = Scratch(rows.sparkSession, "numbered")
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+    sorted_ = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
     sorted_ = scratch.save(sorted_, "sorted")
     parts = sorted_.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))  # a row for each range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select(F.col("_part").alias("_of"), "_first", before.alias("_before"))
     met = sorted_.join(F.broadcast(parts), F.col("_part") == F.col("_of"))
-    return met.withColumn("_number", F.col("_before") + F.col("_id") - F.col("_first")).drop(*order, "_part", "_id", "_of", "_first", "_before").withColumnRenamed("_number", name)
+    return met.withColumn("_number", F.col("_before") + F.col("_id") - F.col("_first")).drop("_id", "_of", "_first", "_before", name).withColumnRenamed("_number", name)
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "ord") -> DataFrame:
+    """As in_ranges, without the columns of the order and the ranges."""
+    return in_ranges(rows, *order, name=name).drop(*[c for c in order if c != name], "_part")
 
 
 def read_landing(spark: SparkSession, path: str, schema: str = "ord bigint, id string, list_no int, payload string") -> DataFrame:

@@ -6,8 +6,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallymere.operators import buckets, listing, search
+from tallymere.operators import buckets, listing, pages, search
 
 SCHEMA = "slug string, company_name string, symbol string, isin string"
 
@@ -49,3 +50,24 @@ def test_searches_equal_scans(spark, tmp_path):
         assert sorted(x["slug"] for x in search.search(store, str(tmp_path / "index"), pattern, folders=8).collect()) == want, pattern
     few = search.candidates(spark, str(tmp_path / "index"), search.required_grams("ine00071"), folders=8)
     assert few.count() == 1
+
+
+def test_pages_by_place_equal_pages_by_offset(spark, small, tmp_path):
+    from tallymere.plans.store_queries import orders_as_entities
+
+    entities = orders_as_entities(spark, small).drop("documents", "sources", "gmp", "price_band").limit(700).persist()
+    for sort, order in ((None, None), ("name", "asc")):
+        path = str(tmp_path / f"{sort}")
+        pages.write_pages(entities, path, sort, order, ranges=6)
+        wanted = [r["slug"] for r in entities.orderBy(*listing.order_of(sort, order)).collect()]
+        for page in (1, 3, 14, 15):
+            assert [r["slug"] for r in pages.page_at(spark, path, page, 50).collect()] == wanted[50 * page - 50 : 50 * page]
+        deep = pages.page_at(spark, path, 9, 50)
+        read = deep.select("slug", F.input_file_name().alias("f")).select("f").distinct().count()
+        assert read <= 2 < spark.read.parquet(f"{path}/rows").select("range").distinct().count()
+        token, seen = -1, []
+        while rows := pages.page_after(spark, path, token, 200).collect():
+            seen += [r["slug"] for r in rows]
+            token = rows[-1]["place"]
+        assert seen == wanted
+    entities.unpersist()

@@ -44,9 +44,9 @@ from .texthash import _trim, blocks, bounded_batches
 
 MODEL = "piece_bpe_32k.model"
 #: Bytes of text that are cut into parts together, of a block that becomes a row, of parts that A encodes together, and of parts that one call aligns.
-SPAN, BLOCK, ENCODED, CALL = 4 << 20, 2 << 20, 1 << 20, 1 << 18
+SPAN, BLOCK, ENCODED, CALL = 4 << 20, 2 << 20, 1 << 20, 3 << 17
 #: Parts that a task remembers, and their links.
-KNOWN_PARTS, KNOWN_LINKS = 150_000, 1_500_000
+KNOWN_PARTS, KNOWN_LINKS = 130_000, 1_300_000
 #: Pairs of ids whose totals, 17 bytes each, are sent to all tasks; with more, each block gets those of its own pairs by a shuffle.
 SENT_PAIRS = 2_000_000
 
@@ -114,15 +114,27 @@ class Parts:
 
         self.bpe, self.model = bpe, model
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model.proto)
-        self._forget()
-
-    def _forget(self) -> None:
         self.place: dict[bytes, int] = {}
         none = np.zeros(0, np.int64)
         self.good, self.n_a, self.n_b, self.n_groups, self.n_links = none.astype(bool), none, none, none, none
         self.spelt, self.spelt_sizes = np.zeros(0, np.uint8), none  #: groups of the parts one after another, and bytes of each
         self.pairs: dict[int, int] = {}  #: number of each linked pair, a << 32 | b
         self.links = np.zeros(0, np.int32)  #: numbers of the pairs that parts link, as often as they do, part by part
+        self.hits = none  #: in how many spans of texts each part was
+
+    def _forget(self) -> None:
+        """Keeps the parts that came back, if they are few, and nothing else."""
+        kept = np.flatnonzero(self.hits > 1)
+        if 2 * len(kept) > KNOWN_PARTS or 2 * self.n_links[kept].sum() > KNOWN_LINKS:
+            kept = kept[:0]
+        names = list(self.place)
+        self.place = {names[k]: i for i, k in enumerate(kept.tolist())}
+        for values, sizes in (("spelt", "spelt_sizes"), ("links", "n_links")):
+            own = getattr(self, sizes)
+            setattr(self, values, getattr(self, values)[_ranges((np.cumsum(own) - own)[kept], own[kept])])
+        for name in ("spelt_sizes", "good", "n_a", "n_b", "n_groups", "n_links"):
+            setattr(self, name, getattr(self, name)[kept])
+        self.hits = np.ones(len(kept), np.int64)
 
     def add(self, parts: list[bytes]) -> None:
         import duckdb
@@ -130,6 +142,7 @@ class Parts:
         if len(self.place) > KNOWN_PARTS or len(self.links) > KNOWN_LINKS:
             self._forget()
         fresh = [p for p in parts if p not in self.place]
+        self.hits = np.concatenate([self.hits, np.zeros(len(fresh), np.int64)])
         self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
         with duckdb.connect() as db:  # closed at once, as it keeps memory
             db.execute("SET threads=1; SET temp_directory=''; SET preserve_insertion_order=false")
@@ -238,6 +251,7 @@ def _blocks(rows: pa.Array, text: pa.Array, met: Parts) -> Iterator[pa.RecordBat
     own = parts.dictionary.to_pylist()
     met.add(own)
     known = np.array([met.place[p] for p in own], np.int64)
+    met.hits[known] += 1
     place = parts.indices.to_numpy().astype(np.int64)
     of_text = np.searchsorted(bounds, starts, "right") - 1
     whole = np.ones(len(data), bool)

@@ -142,6 +142,11 @@ def test_scores_by_bits_equal_the_plain_ones():
         assert got == {p: s for p, s in every.items() if max(s) >= 0.85} and len(left) == len(got)
 
 
+def test_texts_without_pairs_or_window():
+    assert match.scored_pairs(["x"], ["y"], 0.9, False)[0] == []
+    assert match.scored_pairs(["x"], ["x"], 0.9, True)[2].tolist() == [1.0]
+
+
 def test_pairs_of_many_names_are_scored_in_time():
     """36 million pairs took 7.5 s of CPU when characters were counted and scored in columns, and 0.9 s by products and bits."""
     code = (

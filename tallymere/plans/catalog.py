@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +29,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(frame: DataFrame, key: str, rows: int = 2000) -> DataFrame:
+    """A table of small rows that take much work each, dealt by their number: split by bytes, all of them may be one task."""
+    return frame.repartition(max(1, math.ceil(frame.count() / rows)), key)

@@ -10,7 +10,7 @@ from ..schemas import BAND
 from ..sources import html, scans
 from . import feeds
 from .scratch import Scratch
-from .catalog import NOW, query, table
+from .catalog import NOW, dealt, query, table
 from .scalar_queries import key_sql
 from .store_queries import ORDERS, orders_as_entities
 
@@ -41,7 +41,7 @@ def q_list_rows(spark, sf_dir):
     other = F.lit('<tr><td class="name"><a href="/about/">About</a></td></tr>')
     page = F.concat(F.lit("<table>"), row, row, other, F.lit("</table>"))
     page = F.when(F.col("c_custkey") % 3 == 1, F.regexp_replace(page, "</t[dr]>", "")).otherwise(page)
-    pages = table(spark, sf_dir, "customer").select("c_custkey", page.alias("html"))
+    pages = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey").select("c_custkey", page.alias("html"))
     return html.extract_rows(pages).drop("place")
 
 
@@ -56,7 +56,7 @@ def q_prospectus_link(spark, sf_dir):
     key = _text(F.col("c_custkey"))
     label = F.when(F.col("c_custkey") % 4 == 0, "Annual report").otherwise("Red Herring PROSPECTUS")
     page = F.concat(F.lit('<p><a href="/x.html">prospectus</a><a href="/files/'), key, F.lit('.pdf"><b>'), label, F.lit("</b></a></p>"))
-    return html.extract_prospectus(table(spark, sf_dir, "customer").select("c_custkey", page.alias("html")))
+    return html.extract_prospectus(dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", page.alias("html")))
 
 
 @query("SELECT user_id AS id, strftime(ts, '%Y-%m-%d') AS date, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 7 + 0.5 END::DOUBLE AS gmp FROM events WHERE event_id % 3 <> 0")

@@ -113,3 +113,10 @@ def test_extraction_helpers(spark):
     assert of(spark, lambda c: extraction.heading_section(c)[0], ["Structure Capital", "THE OBJECTS OF OFFER", "something else"]) == ["capital_structure", "objects", None]
     assert of(spark, extraction.contents_lines, ["Capital Structure ...... 74\nno page\nObjects of the Offer....102"])[0] == [("Capital Structure", 74), ("Objects of the Offer", 102)]
     assert of(spark, lambda c: extraction.evidence_found(F.lit("The  Price\nis Rs 100"), c), ["price IS rs", "rs 100", None]) == [True, False, False]
+
+
+def test_small_rows_with_much_work_are_dealt(spark, small):
+    from tallymere.plans.catalog import dealt
+
+    assert dealt(spark.range(9_000), "id").rdd.getNumPartitions() == 5
+    assert dealt(spark.range(0), "id").count() == 0

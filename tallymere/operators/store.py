@@ -25,8 +25,13 @@ JOB_EVENT = "job_id string, type string, ord bigint, at string, event string, ms
 
 def resolve(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds stored_slug: the stored entity with the same isin, else symbol, else slug; null if none. Keys of the store are unique by their first slug."""
-    by = lambda key: stored.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.min("slug").alias(f"_{key}"))
-    out = incoming.join(by("isin"), "isin", "left").join(by("symbol"), "symbol", "left")
+    text = lambda key: F.concat(F.lit("="), key)
+    by = lambda key: stored.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(text(key).alias("_key")).agg(F.min("slug").alias(f"_{key}"))
+    out = incoming
+    for key in ("isin", "symbol"):
+        # rows without a key find nothing; a text of their own keeps them out of one task
+        own = F.when(F.coalesce(F.col(key), F.lit("")) != "", text(key)).otherwise(F.concat(F.lit("-"), "slug"))
+        out = out.withColumn("_key", own).join(by(key), "_key", "left").drop("_key")
     slugs = stored.select(F.col("slug").alias("_slug")).distinct()
     out = out.join(slugs, out["slug"] == F.col("_slug"), "left")
     found = F.coalesce("_isin", "_symbol", F.when(filled(F.col("company_name")).isNotNull(), F.col("_slug")))

@@ -220,3 +220,12 @@ def test_every_query_has_rows(spark, small):
     oracles = __spark_entry__.oracle_sql()
     assert set(oracles) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_rows_without_keys_are_spread_when_they_are_resolved(spark):
+    """With their null as key, all of them were one task's."""
+    incoming = spark.range(400).selectExpr("concat('s', id) slug", "cast(null as string) isin", "if(id = 7, 'K', '') symbol", "'c' company_name")
+    stored = spark.createDataFrame([("t", "I", "K"), ("s9", "", None)], "slug string, isin string, symbol string")
+    met = store.resolve(incoming, stored)
+    assert {(r["slug"], r["stored_slug"]) for r in met.where("stored_slug is not null").collect()} == {("s7", "t"), ("s9", "s9")} and met.count() == 400
+    assert "_key" in met._jdf.queryExecution().optimizedPlan().toString() and "(isin#" not in str([x for x in met._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join LeftOuter" in x])

@@ -278,7 +278,8 @@ HEADS = ", ".join(f"('{section}', '{alias}')" for section, aliases in extraction
 b AS (SELECT c_custkey, max((1 - levenshtein(t, a) / greatest(length(t), length(a), 1), section)) AS m FROM t, h GROUP BY 1)
 SELECT c_custkey, CASE WHEN m[1] >= 0.82 THEN m[2] END AS section FROM b""")
 def q_heading_match(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", extraction.heading_section(_pick(F.col("c_custkey") % 6, *TITLES))[0].alias("section"))
+    customers = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return customers.select("c_custkey", extraction.heading_section(_pick(F.col("c_custkey") % 6, *TITLES))[0].alias("section"))
 
 
 @query("SELECT c_custkey, 'CAPITAL STRUCTURE' AS title, (c_custkey % 900 + 1)::INTEGER AS page FROM customer UNION ALL SELECT c_custkey, 'Objects of the Offer', 7 FROM customer")

@@ -11,6 +11,9 @@ folders of its own grams, and of the store the buckets of its candidates.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
 from re import _constants as c
 from re import _parser as parser
 from string import ascii_lowercase, ascii_uppercase
@@ -86,21 +89,26 @@ def grams_of(entities: DataFrame) -> DataFrame:
     return entities.select("slug", F.explode(F.array_distinct(F.flatten(F.array(*[runs(f) for f in FIELDS])))).alias("gram")).select("gram", "slug")
 
 
-def write_index(entities: DataFrame, path: str, folders: int = 64) -> None:
+def write_index(entities: DataFrame, path: str, folders: int = 64, size: int = 100_000) -> None:
+    """Writes the index, the grams of about ``size`` entities a task. Ranges go on over the slugs of a gram, as one that all entities have would else be one task's."""
+    ranges = max(1, math.ceil(entities.count() / size))
     part = F.pmod(F.xxhash64("gram"), F.lit(folders)).cast("int")
-    rows = grams_of(entities).withColumn("folder", part).repartitionByRange("folder", "gram").sortWithinPartitions("folder", "gram")
+    rows = grams_of(entities).withColumn("folder", part).repartitionByRange(ranges, "folder", "gram", "slug").sortWithinPartitions("folder", "gram")
     rows.write.mode("overwrite").partitionBy("folder").parquet(path)
 
 
-def candidates(spark: SparkSession, path: str, wanted: list[set[str]], folders: int = 64) -> DataFrame:
-    """Slugs that have all grams of one of the sets."""
-    asked = spark.createDataFrame([(k, g, len(own)) for k, own in enumerate(wanted) for g in own], "k int, gram string, n int")
-    asked = asked.withColumn("folder", F.pmod(F.xxhash64("gram"), F.lit(folders)).cast("int"))
+def candidates(spark: SparkSession, path: str, wanted: list[set[str]], folders: int = 64, rows: int = 500_000) -> DataFrame:
+    """Slugs that have all grams of one of the sets.
+
+    The rows of a slug lie in as many places as it has grams, so nothing is summed before they meet, about ``rows`` of them in a task.
+    """
     grams = sorted({g for own in wanted for g in own})
-    numbers = sorted({r["folder"] for r in asked.select("folder").distinct().collect()})
-    index = spark.read.schema("gram string, slug string, folder int").parquet(path).where(F.col("folder").isin(numbers) & F.col("gram").isin(grams))
-    met = index.drop("folder").join(F.broadcast(asked.drop("folder")), "gram").groupBy("k", "slug").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n"))
-    return met.where("found = n").select("slug").distinct()
+    asked = spark.createDataFrame([(g,) for g in grams], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(folders)).cast("int").alias("folder"))
+    numbers = sorted({r["folder"] for r in asked.distinct().collect()})
+    index = spark.read.schema("gram string, slug string, folder int").parquet(path).where(F.col("folder").isin(numbers) & F.col("gram").isin(grams)).select("gram", "slug")
+    dealt = index.repartition(max(1, math.ceil(index.count() / rows)), "slug")
+    found = dealt.groupBy("slug").agg(*[F.count_if(F.col("gram").isin(sorted(own))).alias(f"_{k}") for k, own in enumerate(wanted)])
+    return found.where(reduce(or_, [F.col(f"_{k}") == len(own) for k, own in enumerate(wanted)])).select("slug")
 
 
 def search(store: BucketStore, index: str, pattern: str, folders: int = 64) -> DataFrame:

@@ -52,6 +52,24 @@ def test_searches_equal_scans(spark, tmp_path):
     assert few.count() == 1
 
 
+def test_a_gram_of_all_entities_is_written_by_several_tasks(spark, tmp_path):
+    """By gram alone, one task sorted all of its rows."""
+    entities = spark.range(4000).selectExpr("concat('s', id) slug", "'abc' company_name", "cast(null as string) symbol", "cast(null as string) isin")
+    search.write_index(entities, str(tmp_path / "index"), size=1000)
+    files = spark.read.parquet(str(tmp_path / "index")).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slug").alias("s")).collect()
+    assert sum(f["n"] for f in files) == sum(f["s"] for f in files) == 4000 and len(files) == 4
+
+
+def test_candidates_are_not_summed_before_their_rows_meet(spark, tmp_path):
+    """A sum for each slug in the task that reads a gram of all entities holds as many slugs as there are."""
+    entities = spark.range(300).selectExpr("concat('s', id) slug", "if(id % 3 = 0, 'abcd', 'abc xbc') company_name", "if(id % 5 = 0, 'wxyz', null) symbol", "cast(null as string) isin")
+    search.write_index(entities, str(tmp_path / "index"))
+    out = search.candidates(spark, str(tmp_path / "index"), search.required_grams("abcd|wxyz"), rows=100)
+    assert sorted(int(r["slug"][1:]) for r in out.collect()) == [k for k in range(300) if k % 3 == 0 or k % 5 == 0]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_pages_by_place_equal_pages_by_offset(spark, small, tmp_path):
     from tallymere.plans.store_queries import orders_as_entities
 

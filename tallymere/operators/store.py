@@ -6,17 +6,15 @@ incoming rows; nothing is changed in place.
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import filled
 from ..plans.graph import components
 from ..plans.scratch import Scratch
+from .turns import take_in_turn
 
 WATCHED = ("status", "price_band", "lot_size", "issue_size", "listing_date", "bidding_start", "bidding_end", "issue_price", "documents", "subscription")
 MAPS = ("documents",)
@@ -84,54 +82,6 @@ def merge_into(old: str, new: str, columns: list[str], texts: set[str]) -> Colum
     return F.struct(*parts)
 
 
-def ordered_upsert(stored: list[dict], batch: list[dict], now: str, texts: set[str]) -> tuple[list[dict], list[tuple[str, str, list[str]]]]:
-    """New state and actions of one group of entities (dicts without null fields), each row seeing what the rows before it wrote."""
-    state, actions = [dict(s) for s in sorted(stored, key=lambda s: s["slug"])], []
-    places: dict[tuple[str, str], list[int]] = {}  # entities that have or had a key, by its value
-
-    def put(i: int) -> None:
-        for key in ("isin", "symbol", "slug"):
-            value = state[i].get(key)
-            if value and i not in (own := places.setdefault((key, value), [])):
-                own.append(i)
-
-    def first(key: str, value: str | None) -> int | None:
-        return min((i for i in places.get((key, value), ()) if state[i].get(key) == value), default=None) if value else None
-
-    for i in range(len(state)):
-        put(i)
-    for row in batch:
-        at = next((i for key in ("isin", "symbol") if (i := first(key, row.get(key))) is not None), None)
-        if at is None and row.get("company_name"):
-            at = first("slug", row["slug"])
-        own = None if at is None else state[at]
-        if own is None:
-            slug = row["slug"]
-            if first("slug", slug) is not None:
-                tail = row.get("symbol") or (row.get("isin") or "")[-4:]
-                slug = f"{slug}-{re.sub('[^a-z0-9]+', '', tail.lower())}"
-            state.append({**row, "slug": slug, "created_at": now})
-            put(len(state) - 1)
-            actions.append((slug, "new", []))
-            continue
-        merged = {**own, **{k: v for k, v in row.items() if k not in ("slug", "gmp", "created_at", "documents", "sources", "raw_sources") and not (k in texts and v == "")}}
-        for key in ("sources", "raw_sources"):
-            if key in own or key in row:
-                merged[key] = {**own.get(key, {}), **row.get(key, {})}
-        old, new = own.get("documents", {}), row.get("documents", {})
-        merged["documents"] = {kind: {**old.get(kind, {}), **{k: v for k, v in new.get(kind, {}).items() if v != ""}} for kind in {**old, **new}}
-        if "gmp" in own or "gmp" in row:
-            merged["gmp"] = own.get("gmp", row.get("gmp"))
-        changes = [f for f in WATCHED if (merged.get(f) or None if f in MAPS else merged.get(f)) != (own.get(f) or None if f in MAPS else own.get(f))]
-        if changes:
-            own.update(merged, updated_at=now)
-            put(at)
-        elif "sources" in merged:
-            own["sources"] = merged["sources"]
-        actions.append((own["slug"], "updated" if changes else "unchanged", changes))
-    return state, actions
-
-
 def _crowded(stored: DataFrame, incoming: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
     """Incoming rows (_row) and stored entities (slug) by group (part), of groups that hold several incoming rows, or one without a name."""
     value = lambda kind, c: F.xxhash64(F.lit(kind), F.col(c))
@@ -163,8 +113,8 @@ def upsert(stored: DataFrame, incoming: DataFrame, now: str, order: str | None =
     """New state, and actions (slug, action, changes), of a batch of entities.
 
     Without a change in a watched field only ``sources`` is written.  Rows that share no identifier, symbol or slug with another row
-    of the batch, directly or through stored entities, meet the store by joins.  The few that do are taken in turn inside
-    their group, by the column ``order`` (else by slug), and each sees what those before it wrote.  A row without a
+    of the batch, directly or through stored entities, meet the store by joins.  Those that do are taken in turn,
+    by the column ``order`` (else by slug), and each sees what those before it wrote (``turns``).  A row without a
     name never takes a stored slug; its own gets its symbol or the end of its isin as a suffix.
     """
     scratch = Scratch(stored.sparkSession, "upsert")
@@ -177,19 +127,8 @@ def upsert(stored: DataFrame, incoming: DataFrame, now: str, order: str | None =
     ours, theirs = crowded
     alone = _joined_upsert(stored.join(theirs, "slug", "left_anti").select(*columns), batch.join(ours, "_row", "left_anti"), columns, texts, now)
 
-    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = left.sort_values(["place", "_row"], kind="stable")["entity"] if len(left) else []
-        state, actions = ordered_upsert([json.loads(x) for x in right["entity"]], [json.loads(x) for x in rows], now, texts)
-        out = [(s["slug"], None, None, json.dumps(s)) for s in state] + [(slug, action, changes, None) for slug, action, changes in actions]
-        return pd.DataFrame(out, columns=["slug", "action", "changes", "entity"])
-
-    entity = F.to_json(F.struct(*columns)).alias("entity")
-    left = batch.join(ours, "_row").select("part", "_row", F.col(order or "slug").alias("place"), entity)
-    right = stored.join(theirs, "slug").select("part", entity)
-    folded = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(fold, "slug string, action string, changes array<string>, entity string")
-    folded = scratch.save(folded, "folded")
-    state = folded.where("entity is not null").select(F.from_json("entity", stored.schema).alias("s")).select("s.*")
-    return alone[0].unionByName(state), alone[1].unionByName(folded.where("action is not null").select("slug", "action", "changes"))
+    state, actions = take_in_turn(stored.join(theirs.select("slug"), "slug", "left_semi"), batch.join(ours.select("_row"), "_row"), order or "slug", columns, texts, WATCHED, now, scratch)
+    return alone[0].unionByName(state), alone[1].unionByName(actions)
 
 
 def _joined_upsert(stored: DataFrame, fresh: DataFrame, columns: list[str], texts: set[str], now: str) -> tuple[DataFrame, DataFrame]:

@@ -229,3 +229,28 @@ def test_rows_without_keys_are_spread_when_they_are_resolved(spark):
     met = store.resolve(incoming, stored)
     assert {(r["slug"], r["stored_slug"]) for r in met.where("stored_slug is not null").collect()} == {("s7", "t"), ("s9", "s9")} and met.count() == 400
     assert "_key" in met._jdf.queryExecution().optimizedPlan().toString() and "(isin#" not in str([x for x in met._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join LeftOuter" in x])
+
+
+def test_the_least_entity_that_has_a_key_at_a_time(spark):
+    from tallymere.operators.turns import least_alive
+
+    r = random.Random(5)
+    intervals = [(r.choice("ab"), s := r.randint(0, 600), r.choice([None, s + r.randint(1, 90)]) if r.random() < 0.3 else s + r.randint(1, 90), r.randint(-50, 600)) for _ in range(60)]
+    asks = [(k, pos) for k in "abc" for pos in range(0, 700, 3)]
+    out = least_alive(spark.createDataFrame(intervals, "key string, start long, end long, eid long"), spark.createDataFrame(asks, "key string, pos long"), 700)
+    alive = {(k, p): [e for key, s, t, e in intervals if key == k and s <= p and (t is None or p < t)] for k, p in asks}
+    assert {(x["key"], x["pos"]): x["eid"] for x in out.collect()} == {at: min(own) for at, own in alive.items() if own}
+
+
+def test_rows_of_one_key_are_no_one_task(spark, monkeypatch):
+    """A group that shares keys was folded whole by one Python worker."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", None)
+    old = [entity("a", isin="I1", symbol="S"), entity("b", symbol="S"), entity("c", documents={"rhp": {"url": ""}})]
+    new = [entity("p", isin="I1", symbol="T", status="open"), entity("q", symbol="S", status="open"), entity("r", symbol="T", status="open"), entity("c", documents={"rhp": {"url": "u"}, "drhp": {}}), entity("c", company_name=None), entity("c", sector="")]
+    rows = [row | {"ord": i} for i, row in enumerate(new)]
+    state, actions = store.upsert(frame(spark, old), frame(spark, rows, SCHEMA + ", ord long").drop("created_at"), "now", order="ord")
+    expected, done = plain_upsert(old, new, "now")
+    assert sorted((x["slug"], x["action"], list(x["changes"])) for x in actions.collect()) == sorted(done)
+    assert listed(state) == listed(frame(spark, expected))

@@ -12,6 +12,10 @@ rests on right ones before it.  A round makes at least the first undecided
 record of every chain right, so rounds end; how many it takes depends on how far
 corrections travel along chains of records that decide each other.
 
+A key of an entity counts from the first member that came to it by another key: one
+that came by this key alone can't have brought it.  Else records of one key, guessed
+into a wrong entity, would each be held there by the next, and leave one in a round.
+
 Similar names are found between blocks of distinct names, a pair of blocks a
 task.  Two bounds drop most pairs before they are scored: shared characters, counted for
 whole blocks by products of matrices, and characters that match within the window, by
@@ -39,6 +43,7 @@ from ..plans.scratch import Scratch
 SAME, NEAR = 0.90, 0.85
 DAYS = 30
 PREMIUM = 0.92
+BY_ISIN, BY_SYMBOL, BY_NAME = 1, 2, 4  #: by which keys a record found its entity, as a sum
 
 
 # --- similar names -----------------------------------------------------------------------------------------------
@@ -256,69 +261,79 @@ def _keyed(records: DataFrame) -> DataFrame:
 
 
 def _standing(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """How entities stood, from their members (root, ord, and keys): keys with the order at which each was set, and dates (root, since, until, start, day).
+    """How entities stood, from their members (root, ord, by, and keys), without those whose root is no entity: keys with the order at which each was set, and dates (root, since, until, start, day).
 
-    Isin, symbol and name are those of the first member that has one.  The
+    Isin, symbol and name are those of the first member that has one and did not come by it alone.  The
     start is that of the last member from the exchange that has one, else of
     the first one from the broker if none from either came before, else the
     first there is.
     """
+    brings = lambda name, key: _filled(name) & ((F.col("ord") == F.col("root")) | (F.col("by") != key))
     first = lambda test, *columns: F.min(F.when(test, F.struct("ord", *columns)))
     keys = members.groupBy("root").agg(
-        first(_filled("isin"), "isin").alias("by_isin"), first(_filled("symbol"), "sym", "symbol").alias("by_sym"), first(_filled("company_name"), "name", "company_name").alias("by_name")
-    )
+        first(brings("isin", BY_ISIN), "isin").alias("by_isin"), first(brings("symbol", BY_SYMBOL), "sym", "symbol").alias("by_sym"),
+        first(brings("company_name", BY_NAME), "name", "company_name").alias("by_name"), F.min("ord").alias("least"),
+    ).where("least = root").drop("least")
     turn = Window.partitionBy("root").orderBy("ord")
     before = F.coalesce(F.max(F.col("src").isin("nse", "upstox")).over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     overrules = _filled("bidding_start_date") & ((F.col("src") == "nse") | ((F.col("src") == "upstox") & ~before))
     own = F.struct(F.col("bidding_start_date").alias("start"), "day")
     now = F.coalesce(F.last(F.when(overrules, own), True).over(turn), F.first(F.when(_filled("bidding_start_date"), own), True).over(turn))
-    dates = members.select("root", F.col("ord").alias("since"), now.alias("now"))
+    least = F.min("ord").over(Window.partitionBy("root"))
+    dates = members.select("root", F.col("ord").alias("since"), now.alias("now"), least.alias("least")).where("least = root").drop("least")
     turn = Window.partitionBy("root").orderBy("since")
     dates = dates.withColumn("was", F.lag("now").over(turn)).where(~F.col("now").eqNullSafe(F.col("was")))
     return keys, dates.select("root", "since", F.lead("since").over(turn).alias("until"), "now.start", "now.day")
 
 
-def _steps(entities: DataFrame, key: str) -> DataFrame:
-    """Of entities (key, at, root) that hold a key from ``at`` on: the least root that an order finds, as key, root, from_, to: orders above from_ and up to to.
+def _steps(entities: DataFrame) -> DataFrame:
+    """Of entities (key, value, at, root) that hold a key's value from ``at`` on: the least root that an order finds, as key, value, root, from_, to: orders above from_ and up to to.
 
-    A key has as many rows as its least root has values in time, mostly one, however many records share it.
+    A value has as many rows as its least root has values in time, mostly one, however many records share it.
     """
-    turn = Window.partitionBy(key).orderBy("at")
+    turn = Window.partitionBy("key", "value").orderBy("at")
     lower = entities.withColumn("lowest", F.min("root").over(turn.rowsBetween(Window.unboundedPreceding, -1))).where("lowest is null or root < lowest")
-    return lower.select(key, "root", F.col("at").alias("from_"), F.lead("at").over(turn).alias("to"))
+    return lower.select("key", "value", "root", F.col("at").alias("from_"), F.lead("at").over(turn).alias("to"))
 
 
-def _found_by_name(wanted: DataFrame, named: DataFrame, dates: DataFrame) -> DataFrame:
-    """Columns ord, root: of what records want (ord, y, on), entities (root, y, at) whose date, as it stood at the record's turn, is close.
+def _found_by_name(wanted: DataFrame, keys: DataFrame, dates: DataFrame) -> DataFrame:
+    """Columns ord, root: of what records want (ord, y, on), entities of that name whose date, as it stood at the record's turn, is close.
 
     Records meet entities whose dates ever fall near theirs, by name and month; how an entity then stood is the last of its dates before the record, in
     one pass over both, so the changes of an entity's date are not multiplied with the records that ask for it.
     """
     month = lambda day: F.floor(F.col(day) / (DAYS + 1))
-    near = named.join(dates.where("day is not null").select("root", month("day").alias("month")).distinct(), "root")
+    months = dates.where("day is not null").groupBy("root").agg(F.collect_set(month("day")).alias("months"))
+    near = keys.where("by_name.name <> ''").join(months, "root").select("root", F.col("by_name.name").alias("y"), F.col("by_name.ord").alias("at"), F.explode("months").alias("month"))
     asks = wanted.withColumn("month", F.explode(F.array(month("on") - 1, month("on"), month("on") + 1)))
-    asks = asks.join(near, ["y", "month"]).where("root < ord and at < ord").select("root", "ord", "on").distinct()
-    known = dates.join(asks.select("root").distinct(), "root", "left_semi")
+    asks = asks.join(near, ["y", "month"]).where("root < ord and at < ord")
     both = asks.select("root", "ord", F.lit(0).alias("kind"), "on", F.lit(None).cast("struct<day:int>").alias("now"))
-    both = both.union(known.select("root", "since", F.lit(1), F.lit(None).cast("int"), F.struct("day")))
+    both = both.union(dates.select("root", "since", F.lit(1), F.lit(None).cast("int"), F.struct("day")))
     now = F.last("now", True).over(Window.partitionBy("root").orderBy("ord", "kind"))
     return both.withColumn("now", now).where((F.col("kind") == 0) & (F.abs(F.col("now.day") - F.col("on")) <= DAYS)).select("ord", "root")
 
 
+def _by_key(frame: DataFrame, isin: Column, symbol: Column, *more: str) -> DataFrame:
+    """Rows of key and value for the isin and the symbol, each a struct with a value, with columns of the frame."""
+    with_key = lambda c, key: F.struct(F.lit(key).alias("key"), c["value"].alias("value"), c["at"].alias("at"))
+    return frame.select(*more, F.explode(F.array(with_key(isin, BY_ISIN), with_key(symbol, BY_SYMBOL))).alias("k")).where("k.value <> ''").select(*more, "k.*")
+
+
 def _decided(guess: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One round: the keys of records with a new root (the record's entity, by its first order) and moved, from those with a guess of their root."""
-    roots = guess.where("ord = root").select("root")
-    keys, dates = _standing(guess.join(roots, "root", "left_semi"))
-    found = []
-    for field, of in (("isin", "by_isin"), ("sym", "by_sym")):
-        entities = keys.where(F.coalesce(F.col(f"{of}.{field}"), F.lit("")) != "").select(F.col(f"{of}.{field}").alias(field), F.col(f"{of}.ord").alias("at"), "root")
-        met = guess.select("ord", field).join(_steps(entities, field), field)
-        found.append(met.where((F.col("from_") < F.col("ord")) & (F.col("to").isNull() | (F.col("ord") <= F.col("to")))).select("ord", "root"))
-    named = keys.where("by_name.name <> ''").select("root", F.col("by_name.name").alias("y"), F.col("by_name.ord").alias("at"))
-    found.append(_found_by_name(wanted, named, dates.select("root", "since", "day")))
-    best = found[0].union(found[1]).union(found[2]).groupBy("ord").agg(F.min("root").alias("best"))
+    """One round: the keys of records with a new root (the record's entity, by its first order), by, and moved, from those with a guess of root and by."""
+    keys, dates = _standing(guess)
+    held = lambda of, name: F.struct(F.col(f"{of}.{name}").alias("value"), F.col(f"{of}.ord").alias("at"))
+    own = lambda name: F.struct(F.col(name).alias("value"), F.col("ord").alias("at"))
+    steps = _steps(_by_key(keys, held("by_isin", "isin"), held("by_sym", "sym"), "root"))
+    met = _by_key(guess, own("isin"), own("sym")).withColumnRenamed("at", "ord").join(steps, ["key", "value"])
+    found = met.where((F.col("from_") < F.col("ord")) & (F.col("to").isNull() | (F.col("ord") <= F.col("to")))).select("ord", "root", "key")
+    found = found.union(_found_by_name(wanted, keys, dates.select("root", "since", "day")).select("ord", "root", F.lit(BY_NAME)))
+    kinds = (BY_ISIN, BY_SYMBOL, BY_NAME)
+    best = found.groupBy("ord").agg(F.min("root").alias("best"), *[F.min(F.when(F.col("key") == k, F.col("root"))).alias(f"best_{k}") for k in kinds])
+    by = sum((F.when(F.col(f"best_{k}") == F.col("best"), k).otherwise(0) for k in kinds), F.lit(0))
     now = F.coalesce("best", "ord")
-    return guess.join(best, "ord", "left").withColumns({"moved": now != F.col("root"), "root": now}).drop("best")
+    met = guess.join(best, "ord", "left").withColumns({"moved": (now != F.col("root")) | (by != F.col("by")), "root": now, "by": by})
+    return met.drop("best", *[f"best_{k}" for k in kinds])
 
 
 def _first_guess(keyed: DataFrame) -> DataFrame:
@@ -404,7 +419,8 @@ def deduplicate(records: DataFrame) -> Merge:
     asks = pairs.where(F.col("score") >= SAME).select("x", "y").union(names.select(F.col("name").alias("x"), F.col("name").alias("y")))
     wanted = light.where("name <> '' and day is not null").select("ord", F.col("name").alias("x"), F.col("day").alias("on")).join(asks, "x").select("ord", "y", "on")
     wanted = scratch.save(wanted, "wanted")
-    assigned, turn = scratch.save(light.join(_first_guess(light), "ord"), "guess"), 0
+    guess = light.join(_first_guess(light), "ord").withColumn("by", F.lit(BY_ISIN + BY_SYMBOL + BY_NAME))
+    assigned, turn = scratch.save(guess, "guess"), 0
     while True:
         turn += 1
         assigned = scratch.save(_decided(assigned.drop("moved"), wanted), f"round-{turn}")
@@ -412,7 +428,7 @@ def deduplicate(records: DataFrame) -> Merge:
             break
         if turn > 1:
             scratch.drop(f"round-{turn - 1}")
-    members = assigned.select("ord", "root")
+    members = assigned.select("ord", "root", "by")
     return Merge(_merged(keyed.join(members, "ord")), _misses(light, pairs, members), members.select("ord", F.col("root").alias("first_ord")))
 
 

@@ -103,6 +103,18 @@ def test_merge_equals_a_sequential_one(spark, seed):
     assert text(got) == text(misses) and misses
 
 
+def test_records_of_a_key_do_not_hold_each_other_up(spark, monkeypatch):
+    """Guessed into the first entity through a record that its date keeps out, all records of a symbol leave at once; they left one in a round."""
+    base = {"isin": None, "symbol": None, "company_name": "a", "status": None, "price_band": None, "document_urls": None, "listing_date": None, "raw_sources": {"groww": "p"}, "src": "groww", "bidding_start_date": None}
+    rows = [{**base, "ord": 0, "isin": "I", "bidding_start_date": "2026-01-02"}, {**base, "ord": 1, "isin": "I", "src": "nse", "raw_sources": {"nse": "p"}, "bidding_start_date": "2026-06-01"}, {**base, "ord": 2, "symbol": "S", "bidding_start_date": "2026-01-03"}]
+    rows += [{**base, "ord": i, "symbol": "S", "company_name": chr(96 + i) * 9} for i in range(3, 18)]
+    rounds, decided = [], match._decided
+    monkeypatch.setattr(match, "_decided", lambda *args: rounds.append(1) or decided(*args))
+    out = match.deduplicate(spark.createDataFrame(rows, STD_RECORD))
+    assert {x["ord"]: x["first_ord"] for x in out.members.collect()} == {o: e["members"][0] for e in plain_merge(rows)[0] for o in e["members"]} == {0: 0, 1: 0, **{i: 2 for i in range(2, 18)}}
+    assert len(rounds) <= 5
+
+
 def test_no_records(spark):
     out = match.deduplicate(spark.createDataFrame([], STD_RECORD))
     assert out.masters.count() == 0 and out.misses.count() == 0 and out.members.count() == 0

@@ -15,9 +15,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.scratch import Scratch
-from .store import upsert
+from .store import prepared, upsert_fresh
 
 KEYS = ("isin", "symbol")
 
@@ -53,13 +54,24 @@ class BucketStore:
     def _numbers(self, rows: DataFrame, column: str) -> list[int]:
         return [r[0] for r in rows.select(self._bucket(column)).distinct().collect()]  # at most one for each bucket
 
-    def _replace(self, name: str, rows: DataFrame, numbers: list[int]) -> None:
-        """Overwrites the buckets with the rows, which hold all that they are to have. A bucket left without rows keeps one empty file."""
+    def _staged(self, name: str, rows: DataFrame, numbers: list[int]) -> None:
+        """Writes what buckets are to have beside the store, where readers do not look."""
         written = rows.withColumn("bucket", self._bucket("slug" if name == "entities" else "key")).repartition(max(1, min(len(numbers), 200)), "bucket")
-        written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
-        emptied = sorted(set(numbers) - {r[0] for r in written.select("bucket").distinct().collect()})
-        for k in emptied:
-            rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}/bucket={k}")
+        written.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/.next-{name}")
+
+    def _swap(self, name: str, schema: StructType, numbers: list[int]) -> None:
+        """Puts staged buckets in the place of the store's. A bucket left without rows keeps one empty file."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path(f"{self.path}/{name}"))
+        for k in numbers:
+            staged, place = (path(f"{self.path}/{of}/bucket={k}") for of in (f".next-{name}", name))
+            files.delete(place, True)
+            if not files.exists(staged):
+                self.spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}/bucket={k}")
+            elif not files.rename(staged, place):
+                raise OSError(f"can't move {staged} to {place}")
+        files.delete(path(f"{self.path}/.next-{name}"), True)
 
     def replace_all(self, rows: DataFrame) -> None:
         """Makes these entities the whole store, and its key tables theirs."""
@@ -70,35 +82,32 @@ class BucketStore:
     def upsert(self, incoming: DataFrame, now: str, order: str | None = None) -> DataFrame:
         """Takes a batch of entities; returns the actions (slug, action, changes), as ``store.upsert`` against the whole store gives them."""
         scratch = Scratch(self.spark, "bucket-upsert")
-        batch = scratch.save(incoming, "batch")
+        batch = prepared(incoming, now, scratch)
         slugs = batch.select("slug")
         for key in KEYS:
             asked = batch.where(F.coalesce(F.col(key), F.lit("")) != "").select(F.col(key).alias("key")).distinct()
             slugs = slugs.union(self._read(key, self._numbers(asked, "key")).join(asked, "key", "left_semi").select("slug"))
         slugs = scratch.save(slugs.distinct(), "slugs")
-        met = scratch.save(self.of_slugs(slugs).select(*batch_columns(self.schema)), "met")
-        state, actions = upsert(met, batch, now, order)
-        state, actions = scratch.save(state, "state"), scratch.save(actions, "actions")
-
+        met = self.of_slugs(slugs).select(*batch_columns(self.schema))
         # entities that stay as they were are not written
-        fresh = scratch.save(state.join(met.select("slug", F.to_json(F.struct("*")).alias("was")), "slug", "left").where(~F.to_json(F.struct(*state.columns)).eqNullSafe(F.col("was"))).drop("was"), "fresh")
+        fresh, actions = upsert_fresh(met, batch, now, order, scratch)
         touched = self._numbers(fresh, "slug")
         rest = self._read("entities", touched).drop("bucket").join(fresh.select("slug"), "slug", "left_anti").select(*fresh.columns)
-        keys = {}
+        tables = []
         for key in KEYS:
             was = met.join(fresh.select("slug"), "slug", "left_semi").select(F.col(key).alias("key"), "slug").where("coalesce(key, '') <> ''")
             now_ = fresh.select(F.col(key).alias("key"), "slug").where("coalesce(key, '') <> ''")
             gone, added = was.join(now_, ["key", "slug"], "left_anti"), now_.join(was, ["key", "slug"], "left_anti")
             numbers = self._numbers(gone.select("key").union(added.select("key")), "key")
             held = self._read(key, numbers).drop("bucket").join(gone, ["key", "slug"], "left_anti")
-            keys[key] = (scratch.save(held.unionByName(added), f"keys-{key}"), numbers)
-        whole = scratch.save(rest.unionByName(fresh), "whole")
+            tables.append((key, held.unionByName(added), numbers))
+        tables.append(("entities", rest.unionByName(fresh), touched))
+        tables = [(name, rows, numbers) for name, rows, numbers in tables if numbers]
+        for name, rows, numbers in tables:
+            self._staged(name, rows, numbers)
         # a batch that is tried again finds its keys before its entities, and then writes these
-        for key, (rows, numbers) in keys.items():
-            if numbers:
-                self._replace(key, rows, numbers)
-        if touched:
-            self._replace("entities", whole, touched)
+        for name, rows, numbers in tables:
+            self._swap(name, rows.schema, numbers)
         return actions
 
 

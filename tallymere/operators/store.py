@@ -90,10 +90,10 @@ def _crowded(stored: DataFrame, incoming: DataFrame, scratch: Scratch) -> tuple[
     new = scratch.save(linked(incoming, "row", "_row"), "incoming-keys")
     old = linked(stored, "stored", "slug")
     # where no key has two rows and no stored entity is met by two, every group has one row, and groups need not be found
-    several = lambda pairs, by: not pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    meets = old.join(new.withColumnRenamed("a", "row"), "b").select("a", "row").distinct()
+    several = lambda pairs, by, of: not pairs.groupBy(by).agg(F.min(of).alias("least"), F.max(of).alias("most")).where("least <> most").isEmpty()
+    meets = old.join(new.withColumnRenamed("a", "row"), "b").select("a", "row")
     unnamed = F.coalesce(F.col("company_name"), F.lit("")) == ""
-    if not several(new.distinct(), "b") and not several(meets, "a") and incoming.where(unnamed).isEmpty():
+    if not several(new, "b", "a") and not several(meets, "a", "row") and incoming.where(unnamed).isEmpty():
         return None
     met = old.join(new.select("b").distinct(), "b", "left_semi").select("a").distinct()
     groups = scratch.save(components(new.union(old.join(met, "a", "left_semi")), scratch, "upsert"), "groups")
@@ -118,22 +118,54 @@ def upsert(stored: DataFrame, incoming: DataFrame, now: str, order: str | None =
     name never takes a stored slug; its own gets its symbol or the end of its isin as a suffix.
     """
     scratch = Scratch(stored.sparkSession, "upsert")
+    both, turned = _met_and_turned(stored, prepared(incoming, now, scratch), now, order, scratch)
+    state, actions = both.select("state.*"), both.where("action is not null").select(F.col("key").alias("slug"), "action", "changes")
+    return (state, actions) if turned is None else (state.unionByName(turned[0]), actions.unionByName(turned[1]))
+
+
+def upsert_fresh(stored: DataFrame, batch: DataFrame, now: str, order: str | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """As upsert, of a prepared batch: the entities that it makes or changes, without those that stay as they were, and the actions. What is returned reads no stored entity."""
+    both, turned = _met_and_turned(stored, batch, now, order, scratch)
+    stays = F.to_json("state").eqNullSafe(F.to_json("old"))
+    told = scratch.save(both.where("action is not null").select(F.col("key").alias("slug"), "action", "changes", F.when(~stays, F.col("state")).alias("state")), "told")
+    fresh, actions = told.where("state is not null").select("state.*"), told.select("slug", "action", "changes")
+    if turned is None:
+        return fresh, actions
+    was = stored.join(turned[0].select("slug"), "slug", "left_semi").select("slug", F.to_json(F.struct(*stored.columns)).alias("was"))
+    more = turned[0].join(was, "slug", "left").where(~F.to_json(F.struct(*stored.columns)).eqNullSafe(F.col("was"))).drop("was")
+    return scratch.save(fresh.unionByName(more), "fresh"), actions.unionByName(turned[1])
+
+
+def prepared(incoming: DataFrame, now: str, scratch: Scratch) -> DataFrame:
+    """A batch as it is taken: saved, with the time of creation and a number of each row (_row)."""
+    return scratch.save(incoming.withColumn("created_at", F.lit(now)).withColumn("_row", F.monotonically_increasing_id()), "batch")
+
+
+def _met_and_turned(stored: DataFrame, batch: DataFrame, now: str, order: str | None, scratch: Scratch) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """Rows that share no key with others, met with the store (``_met``), and of those that do state and actions, if there are any."""
     columns = stored.columns
     texts = {f.name for f in stored.schema.fields if f.dataType.simpleString() == "string"}
-    batch = scratch.save(incoming.withColumn("created_at", F.lit(now)).withColumn("_row", F.monotonically_increasing_id()), "batch")
     crowded = _crowded(stored, batch, scratch)
     if crowded is None:
-        return _joined_upsert(stored, batch, columns, texts, now)
+        return _met(stored, batch, columns, texts, now), None
     ours, theirs = crowded
-    alone = _joined_upsert(stored.join(theirs, "slug", "left_anti").select(*columns), batch.join(ours, "_row", "left_anti"), columns, texts, now)
+    alone = _met(stored.join(theirs, "slug", "left_anti").select(*columns), batch.join(ours, "_row", "left_anti"), columns, texts, now)
+    return alone, take_in_turn(stored.join(theirs.select("slug"), "slug", "left_semi"), batch.join(ours.select("_row"), "_row"), order or "slug", columns, texts, WATCHED, now, scratch)
+
 
-    state, actions = take_in_turn(stored.join(theirs.select("slug"), "slug", "left_semi"), batch.join(ours.select("_row"), "_row"), order or "slug", columns, texts, WATCHED, now, scratch)
-    return alone[0].unionByName(state), alone[1].unionByName(actions)
+def _entity_of(fresh: DataFrame, stored: DataFrame) -> DataFrame:
+    """Columns _row, stored_slug: the stored entities that ``resolve`` gives to rows, of those that have one. Only a row's number and the key that it has move."""
+    has = lambda key: F.coalesce(F.col(key), F.lit("")) != ""
+    found = fresh.where(filled(F.col("company_name")).isNotNull()).select("_row", "slug").join(stored.select("slug").distinct(), "slug").select("_row", F.lit(2).alias("place"), "slug")
+    for place, key in enumerate(("isin", "symbol")):
+        first = stored.where(has(key)).groupBy(key).agg(F.min("slug").alias("slug"))
+        found = found.union(fresh.where(has(key)).select("_row", key).join(first, key).select("_row", F.lit(place), "slug"))
+    return found.groupBy("_row").agg(F.min(F.struct("place", "slug"))["slug"].alias("stored_slug"))
 
 
-def _joined_upsert(stored: DataFrame, fresh: DataFrame, columns: list[str], texts: set[str], now: str) -> tuple[DataFrame, DataFrame]:
-    """As upsert, of rows that each have an entity or a new slug of their own."""
-    found = resolve(fresh, stored).select(F.coalesce("stored_slug", "slug").alias("key"), F.struct(*[F.col(c) for c in columns]).alias("new"))
+def _met(stored: DataFrame, fresh: DataFrame, columns: list[str], texts: set[str], now: str) -> DataFrame:
+    """Entities and rows that each have an entity or a new slug of their own: key, old, state, changes, and action, null without a row. Rows find their entity by their keys alone, and move whole only then."""
+    found = fresh.join(_entity_of(fresh, stored), "_row", "left").select(F.coalesce("stored_slug", "slug").alias("key"), F.struct(*[F.col(c) for c in columns]).alias("new"))
     old = stored.select(F.col("slug").alias("key"), F.struct(*columns).alias("old"))
     both = old.join(found, "key", "full").withColumn("merged", F.when(F.col("old").isNull(), F.col("new")).when(F.col("new").isNotNull(), merge_into("old", "new", columns, texts)))
     both = both.withColumn("changes", F.when(F.col("old").isNotNull() & F.col("new").isNotNull(), changed_fields("old", "merged")).otherwise(F.array().cast("array<string>")))
@@ -142,7 +174,7 @@ def _joined_upsert(stored: DataFrame, fresh: DataFrame, columns: list[str], text
     touched = F.struct(*[(F.col("merged.sources") if c == "sources" else F.col(f"old.{c}")).alias(c) for c in columns])
     written = F.struct(*[(F.lit(now) if c == "updated_at" else F.col(f"merged.{c}")).alias(c) for c in columns])
     state = F.when(F.col("action").isNull(), F.col("old")).when(F.col("action") == "new", F.col("new")).when(F.col("action") == "unchanged", touched).otherwise(written)
-    return both.select(state.alias("s")).select("s.*"), both.where("action is not null").select(F.col("key").alias("slug"), "action", "changes")
+    return both.select("key", "old", state.alias("state"), "changes", "action")
 
 
 def tally(actions: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallymere.operators import buckets, listing, scrape, series, store
 from tallymere.plans import feeds
 from tallymere.plans.catalog import NOW, TODAY
+from tallymere.plans.scratch import Scratch
 from tallymere.streaming.ingest import ingest, version
 
 SCHEMA = (
@@ -143,6 +144,20 @@ def test_buckets_equal_the_whole_store_and_stay_where_untouched(spark, tmp_path)
     whole.unpersist()
 
 
+def test_a_batch_for_buckets_saves_whole_rows_twice(spark, tmp_path, monkeypatch):
+    """The batch, and what it makes or changes; they were saved six times."""
+    one = buckets.BucketStore(spark, str(tmp_path / "store"), SCHEMA, buckets=4)
+    one.upsert(frame(spark, [entity(f"e{i}", isin=f"I{i}", status="open") for i in range(12)]).drop("created_at"), "t0")
+    batch = frame(spark, [entity(f"e{i}", isin=f"I{i}", status="open" if i % 2 else "closed") for i in range(12)] + [entity("x", isin="I99")]).drop("created_at")
+    state, actions = store.upsert(one.entities(), batch, "t1")
+    expected = listed(state), sorted((r["slug"], r["action"]) for r in actions.collect())
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, rows, name, *more: saved.append((name, rows.count() if "raw_sources" in rows.schema.simpleString() else 0)) or save(self, rows, name, *more))
+    done = one.upsert(batch, "t1")
+    assert (listed(one.entities()), sorted((r["slug"], r["action"]) for r in done.collect())) == expected
+    assert [name for name, rows in saved if rows] == ["batch", "told"] and not list((tmp_path / "store").glob(".next-*"))
+
+
 def test_a_run_twice_changes_nothing(spark, small):
     landing = feeds.feeds(spark, small)
     first = scrape.run_feeds(landing, None, NOW, TODAY, sources=("upstox", "nse", "groww", "zerodha", "bourse"))

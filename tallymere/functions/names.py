@@ -83,6 +83,11 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[filled(c) for c in columns])
 
 
+def first_delivered(*columns: Column) -> Column:
+    """As first_filled, but the empty string where none is filled and one was delivered empty; null only where there is none."""
+    return F.coalesce(*[filled(c) for c in columns], *columns)
+
+
 def nonzero(c: Column) -> Column:
     """Null for 0 and NaN, where a feed's 0 means missing."""
     return F.nullif(F.nanvl(c, F.lit(0.0)), F.lit(0.0))

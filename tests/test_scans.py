@@ -129,3 +129,8 @@ def test_a_run_from_landed_lists(spark):
     assert {(r["source"], r["records"]) for r in run.counts.collect()} == {("upstox", 1), ("nse", 1), ("nowhere", 0)}
     assert [tuple(r) for r in run.errors.collect()] == [("nowhere", "unknown source")] and tuple(run.merged.first())[:2] == (2, 1)
     assert [r["slug"] for r in run.state.collect()] == ["alpha-foods-ipo"]
+
+
+def test_an_empty_name_stays_as_it_was_delivered(spark):
+    rows = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate([{"companyName": ""}, {"companyName": "N"}, {}])], "ord long, payload string")
+    assert [r["company_name"] for r in mappers.zerodha(rows, "2024-01-01").orderBy("ord").collect()] == ["", "N", None]

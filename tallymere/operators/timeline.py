@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.base import let
 from ..functions.dates import event_date
 from ..functions.names import filled
-from ..schemas import EVENT, NSE, TIMELINE_EVENTS, UPSTOX
+from ..schemas import EVENT, NSE, PARSE, TIMELINE_EVENTS, UPSTOX
 
 
 def payload(source: str, schema: str) -> Column:
-    return F.from_json(F.col("raw_sources")[source], schema)
+    return F.from_json(F.col("raw_sources")[source], schema, PARSE)
 
 
 def _parsed(records: DataFrame) -> DataFrame:

@@ -47,4 +47,6 @@ ZERODHA = (
     "listingDateText string, listingDate string, priceText string, prospectusUrl string, docType string"
 )
 PAYLOADS = {"upstox": UPSTOX, "nse": NSE, "groww": GROWW, "zerodha": ZERODHA}
+#: Texts of any length are read; by default a payload with one beyond 20,000,000 characters would be null as a whole.
+PARSE = {"maxStringLen": str(2**31 - 1)}
 CANDLE = "struct<date:string,open:double,high:double,low:double,close:double,volume:bigint,oi:bigint>"

@@ -134,3 +134,22 @@ def test_a_run_from_landed_lists(spark):
 def test_an_empty_name_stays_as_it_was_delivered(spark):
     rows = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate([{"companyName": ""}, {"companyName": "N"}, {}])], "ord long, payload string")
     assert [r["company_name"] for r in mappers.zerodha(rows, "2024-01-01").orderBy("ord").collect()] == ["", "N", None]
+
+
+def test_empty_names_and_long_texts_of_all_feeds(spark):
+    long = "y" * 20_000_001
+    row = lambda *payloads: spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)], "ord long, payload string")
+    given = {
+        "upstox": row({"name": ""}, {"name": " A IPO"}, {}), "nse": row({"companyName": "", "company": "C"}, {"companyName": ""}, {}),
+        "groww": row({"list": {"companyName": ""}, "detail": {"companyName": "D"}}, {"list": {"companyName": ""}}, {"list": {}}), "zerodha": row({"symbol": "S", "companyName": long}),
+    }
+    got = [(r["src"], r["company_name"]) for r in mappers.standard_records(given, "2024-01-01").orderBy("ord").collect()]
+    assert got[:9] == [("upstox", ""), ("upstox", " A"), ("upstox", None), ("nse", "C"), ("nse", ""), ("nse", None), ("groww", "D"), ("groww", ""), ("groww", None)]
+    assert got[9][1] == long
+
+
+def test_made_records_of_large_numbers(spark, tmp_path):
+    from tallymere.plans import feeds as made
+
+    spark.createDataFrame([((1 << 58) + k, "a b c d", 5) for k in (0, 4, 8, 12)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r["name"] for r in made.base(spark, str(tmp_path)).orderBy("i").collect()] == ["a b c Limited", "a b c Ltd.", "a b c IPO", "a b c"]

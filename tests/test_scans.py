@@ -153,3 +153,15 @@ def test_made_records_of_large_numbers(spark, tmp_path):
 
     spark.createDataFrame([((1 << 58) + k, "a b c d", 5) for k in (0, 4, 8, 12)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert [r["name"] for r in made.base(spark, str(tmp_path)).orderBy("i").collect()] == ["a b c Limited", "a b c Ltd.", "a b c IPO", "a b c"]
+
+
+def empty_documents(spark, folder):
+    spark.createDataFrame([(16 * 300 + k, "", 0) for k in (12, 13, 14, 15)], "doc_id long, text string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_records_that_are_not_listed_show_empty_names(spark, tmp_path):
+    from tallymere.plans.record_queries import q_without_listed
+
+    got = q_without_listed(spark, empty_documents(spark, tmp_path)).orderBy("ord").collect()
+    assert [(r["src"], r["status"], r["company_name"]) for r in got] == [("nse", "forthcoming", ""), ("zerodha", "upcoming", "")]

@@ -4,13 +4,13 @@ Records are merged in the order of ``ord``: each goes to the first entity that
 matches it by identifier, symbol, or similar name with close dates, as that
 entity stands when the record's turn comes.
 
-No record is handled by itself and no group in one task.  A round takes a guess
-of where every record went, derives from it how each entity stood at any time,
-and decides all records anew, by joins.  A guess that a round does not change
-is the result of taking the records in turn, as each record's decision then
-rests on right ones before it.  A round makes at least the first undecided
-record of every chain right, so rounds end; how many it takes depends on how far
-corrections travel along chains of records that decide each other.
+Records are taken in turn by windows of a bounded number, each in one task, which gets the
+entities that its records may meet; how entities stand goes from window to window as a table.
+That is a guess of where every record went.  A round takes a guess, derives from it how each
+entity stood at any time, and decides all records anew, by joins.  A guess that a round does
+not change is the result of taking the records in turn, as each record's decision then rests
+on right ones before it.  So the first round mostly only confirms; were the guess wrong
+somewhere, a round makes at least the first undecided record of every chain right, so rounds end.
 
 A key of an entity counts from the first member that came to it by another key: one
 that came by this key alone can't have brought it.  Else records of one key, guessed
@@ -26,8 +26,9 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections import Counter
-from collections.abc import Iterator
+from bisect import insort
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -46,6 +47,12 @@ SAME, NEAR = 0.90, 0.85
 DAYS = 30
 PREMIUM = 0.92
 BY_ISIN, BY_SYMBOL, BY_NAME = 1, 2, 4  #: by which keys a record found its entity, as a sum
+WINDOW = 50_000  #: records that one task takes in turn
+RECORD, PAIR, ENTITY = range(3)  #: what the rows of a window are
+#: A record, a pair (id, name) of similar names, or an entity by its root; exchange is also whether an entity has a record of the exchange or the broker.
+WINDOW_ROWS = {"kind": "int", "id": "long", "isin": "long", "sym": "long", "name": "long", "day": "int", "dated": "boolean", "exchange": "boolean", "broker": "boolean"}
+TAKEN_ROWS = "kind int, id long, root long, by int, isin long, sym long, name long, day int, dated boolean, exchange boolean"
+TAKEN = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in TAKEN_ROWS.split(", "))])
 
 
 # --- similar names -----------------------------------------------------------------------------------------------
@@ -463,8 +470,13 @@ def names_between(names: DataFrame, others: DataFrame, least: float, block: int
 @dataclass
 class Merge:
     masters: DataFrame  #: the entities: first_ord, n_members, and the columns of a record
-    misses: DataFrame  #: near misses: reason, score, first_ord of the entity, ord of the record, and both as they stood (existing, incoming)
     members: DataFrame  #: ord of each record, with the first_ord of its entity
+    find_misses: Callable[[], DataFrame]
+
+    @cached_property
+    def misses(self) -> DataFrame:
+        """Near misses: reason, score, first_ord of the entity, ord of the record, and both as they stood (existing, incoming)."""
+        return self.find_misses()
 
 
 def _filled(name: str) -> Column:
@@ -554,17 +566,97 @@ def _decided(guess: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.drop("best", *[f"best_{k}" for k in kinds])
 
 
-def _first_guess(keyed: DataFrame) -> DataFrame:
-    """Columns ord, root: the first record with the same isin, symbol, or name and month, followed twice."""
-    guess = keyed.select("ord", F.col("ord").alias("root"))
-    month = F.floor(F.col("day") / (DAYS + 1))
-    for test, key in ((_filled("isin"), [F.col("isin")]), (F.col("sym") != "", [F.col("sym")]), ((F.col("name") != "") & month.isNotNull(), [F.col("name"), month])):
-        asked = keyed.where(test).select("ord", F.struct(*key).alias("key"))
-        first = asked.join(asked.groupBy("key").agg(F.min("ord").alias("first")), "key").select("ord", "first")
-        guess = guess.join(first, "ord", "left").select("ord", F.least("root", "first").alias("root"))
-    for _ in range(2):
-        guess = guess.join(guess.select(F.col("ord").alias("_ord"), F.col("root").alias("_root")), F.col("root") == F.col("_ord")).select("ord", F.col("_root").alias("root"))
-    return guess
+def _taken(rows: pa.Table) -> pa.Table:
+    """Records of a window, taken in turn: the root and by of each, and the entities that they make or change, as they stand after it.
+
+    The table has the records, the pairs of similar names and the entities from before the window that they may meet, by kind, as ``_in_turn`` makes it.
+    """
+    of = lambda kind, *columns: zip(*(rows.filter(pc.equal(rows["kind"], kind))[c].to_pylist() for c in columns), strict=True)
+    similar = defaultdict(list)
+    for x, y in of(PAIR, "id", "name"):
+        similar[x].append(y)
+    entities, by_isin, by_sym, by_name, taken, touched = {}, {}, {}, defaultdict(list), [], set()
+
+    def hold(root: int, isin: int | None, sym: int | None) -> None:
+        for held, value in ((by_isin, isin), (by_sym, sym)):
+            if value:
+                held[value] = min(root, held.get(value, root))
+
+    for root, isin, sym, *rest in sorted(of(ENTITY, "id", "isin", "sym", "name", "day", "dated", "exchange")):
+        entities[root] = [isin, sym, *rest]
+        hold(root, isin, sym)
+        if rest[0] and rest[1] is not None:
+            by_name[rest[0]].append(root)
+
+    def near(name: int, day: int) -> int | None:
+        best = None
+        for y in (name, *similar.get(name, ())):
+            for root in by_name.get(y, ()):
+                if best is not None and root >= best:
+                    break
+                held = entities[root][3]
+                if held is not None and abs(held - day) <= DAYS:
+                    best = root
+        return best
+
+    for ord_, isin, sym, name, day, dated, exchange, broker in sorted(of(RECORD, "id", "isin", "sym", "name", "day", "dated", "exchange", "broker")):
+        found = (by_isin.get(isin), by_sym.get(sym), near(name, day) if name and day is not None else None)
+        root = min((f for f in found if f is not None), default=ord_)
+        taken.append((ord_, root, sum(key for key, f in zip((BY_ISIN, BY_SYMBOL, BY_NAME), found, strict=True) if f == root)))
+        touched.add(root)
+        e = entities.setdefault(root, [None, None, None, None, False, False])
+        unnamed = not e[2] or e[3] is None
+        e[:3] = [value if own is None else own for own, value in zip(e, (isin, sym, name))]
+        hold(root, e[0], e[1])
+        if dated and (exchange or not e[4] or (broker and not e[5])):
+            e[3], e[4] = day, True
+        e[5] = e[5] or exchange or broker
+        if unnamed and e[2] and e[3] is not None and root not in by_name[e[2]]:
+            insort(by_name[e[2]], root)
+    none = [None] * len(taken)
+    out = [[RECORD] * len(taken), *map(list, zip(*taken, strict=True)), *[none] * 6] if taken else [[]] * 10
+    more = [(ENTITY, root, None, None, *entities[root]) for root in sorted(touched)]
+    return pa.table([pa.array([*a, *b], t) for a, b, t in zip(out, zip(*more, strict=True) if more else out, TAKEN.types, strict=True)], TAKEN)
+
+
+def _in_turn(light: DataFrame, asks: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """Columns ord, root, by: records taken in turn, by windows of about ``window`` of them; asks are pairs (x, y) of different similar names.
+
+    A window is one task's, which reads no more than its records, the pairs of their names, and of the entities from before it those that its keys and names lead to; how
+    entities stand goes from window to window as a table.  Keys and names are numbers there, by a hash: two that clashed would make a wrong guess, which rounds put right.
+    """
+    spark = light.sparkSession
+    number = lambda c: F.when(F.col(c) != "", F.xxhash64(c)).otherwise(F.lit(0))
+    known = lambda test, c: F.when(_filled(test), number(c))
+    ids = light.select(
+        F.col("ord").alias("id"), known("isin", "isin").alias("isin"), known("symbol", "sym").alias("sym"), known("company_name", "name").alias("name"), "day",
+        _filled("bidding_start_date").alias("dated"), (F.col("src") == "nse").alias("exchange"), (F.col("src") == "upstox").alias("broker"),
+    )
+    ids = scratch.save(ids, "numbers")
+    asks = scratch.save(asks.select(F.xxhash64("x").alias("id"), F.xxhash64("y").alias("name")), "near-numbers")
+    parts = math.ceil(ids.count() / window)
+    cuts = ids.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 100_000)).first()[0] if parts > 1 else []
+    columns = ["kind", *ids.columns]
+    rows = lambda frame, kind: frame.withColumn("kind", F.lit(kind)).select(*[c if c in (*frame.columns, "kind") else F.lit(None).cast(t).alias(c) for c, t in WINDOW_ROWS.items()])
+    ends, state = [*sorted(set(cuts)), None], None
+    for k, end in enumerate(ends):
+        own = ids if end is None else ids.where(F.col("id") <= end)
+        own = own if k == 0 else own.where(F.col("id") > ends[k - 1])
+        names = own.where("name <> 0 and day is not null").select("name").distinct()
+        near = asks.join(names.withColumnRenamed("name", "id"), "id", "left_semi")
+        given = rows(own, RECORD).union(rows(near, PAIR))
+        if state is not None:
+            by = lambda c: state.where(f"{c} <> 0").join(own.select(c).distinct(), c, "left_semi").groupBy(c).agg(F.min("id").alias("id")).select("id")  # noqa: B023, E731
+            named = state.where("name <> 0 and day is not null").join(names.union(near.select("name")).distinct(), "name", "left_semi").select("id")
+            given = given.union(rows(state.join(by("isin").union(by("sym")).union(named).distinct(), "id"), ENTITY))
+        turn = scratch.save(given.select(*columns).groupBy().applyInArrow(_taken, TAKEN_ROWS), f"turn-{k}")
+        if end is not None:
+            changed = turn.where(F.col("kind") == ENTITY).select("id", "isin", "sym", "name", "day", "dated", "exchange")
+            state = scratch.save(changed if state is None else state.join(changed, "id", "left_anti").union(changed), f"state-{k}")
+            if k:
+                scratch.drop(f"state-{k - 1}")
+    taken = spark.read.schema(TAKEN_ROWS).parquet(*[f"{scratch.path}/turn-{k}" for k in range(len(ends))])
+    return taken.where(F.col("kind") == RECORD).select(F.col("id").alias("ord"), "root", "by")
 
 
 def _merged(members: DataFrame) -> DataFrame:
@@ -626,18 +718,22 @@ def _misses(keyed: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame
     return when.select(reason.alias("reason"), "score", F.col("root").alias("first_ord"), "ord", existing, "incoming")
 
 
-def deduplicate(records: DataFrame) -> Merge:
-    """Entities, near misses and members of standard records, whose ``ord`` differ and whose payload is that of their source."""
+def deduplicate(records: DataFrame, window: int = WINDOW, near: bool = False) -> Merge:
+    """Entities, near misses and members of standard records, whose ``ord`` differ and whose payload is that of their source.
+
+    Names below ``SAME`` meet only for near misses: when those are asked for, or at once if ``near``.
+    """
     scratch = Scratch(records.sparkSession, "deduplicate")
     keyed = scratch.save(_keyed(records), "keyed")
     light = keyed.select("ord", "src", "isin", "symbol", "sym", "company_name", "name", "bidding_start_date", "day")
     names = light.where("name <> ''").select("name").distinct()
-    pairs = similar_names(names, scratch)
+    pairs = similar_names(names, scratch, NEAR if near else SAME)
+    asks = pairs.where(F.col("score") >= SAME).select("x", "y")
+    guess = light.join(_in_turn(light, asks, scratch, window), "ord")
     # what a record asks for by name: entities of its own and of similar names
-    asks = pairs.where(F.col("score") >= SAME).select("x", "y").union(names.select(F.col("name").alias("x"), F.col("name").alias("y")))
+    asks = asks.union(names.select(F.col("name").alias("x"), F.col("name").alias("y")))
     wanted = light.where("name <> '' and day is not null").select("ord", F.col("name").alias("x"), F.col("day").alias("on")).join(asks, "x").select("ord", "y", "on")
     wanted = scratch.save(wanted, "wanted")
-    guess = light.join(_first_guess(light), "ord").withColumn("by", F.lit(BY_ISIN + BY_SYMBOL + BY_NAME))
     assigned, turn = scratch.save(guess, "guess"), 0
     while True:
         turn += 1
@@ -647,7 +743,8 @@ def deduplicate(records: DataFrame) -> Merge:
         if turn > 1:
             scratch.drop(f"round-{turn - 1}")
     members = assigned.select("ord", "root", "by")
-    return Merge(_merged(keyed.join(members, "ord")), _misses(light, pairs, members), members.select("ord", F.col("root").alias("first_ord")))
+    near_pairs = lambda: pairs if near else similar_names(names, Scratch(records.sparkSession, "near-misses"))
+    return Merge(_merged(keyed.join(members, "ord")), members.select("ord", F.col("root").alias("first_ord")), lambda: _misses(light, near_pairs(), members))
 
 
 # --- key matches and premium matches -------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from ..sources import feeds as scans
 from ..sources.mappers import standard_records
 from ..sources.scans import without_listed
 from .entity import to_entities
-from .match import deduplicate
+from .match import Merge, deduplicate
 from .store import upsert
 from .timeline import with_timeline
 
@@ -26,8 +26,13 @@ class Run:
     entities: DataFrame  #: what the feeds give, merged, without listed ones
     counts: DataFrame  #: source, records (of each source asked for)
     merged: DataFrame  #: one row: records, masters, listed_dropped
-    borderline: DataFrame  #: near misses of the merge
     errors: DataFrame  #: source, error: names that no feed has
+    merge: Merge
+
+    @property
+    def borderline(self) -> DataFrame:
+        """Near misses of the merge."""
+        return self.merge.misses
 
 
 def merge_counts(masters: DataFrame) -> DataFrame:
@@ -71,9 +76,9 @@ def run_records(records: DataFrame, known: Sequence[str], stored: DataFrame | No
     merged = merge_counts(masters)
     errors = asked.where(~F.col("source").isin(list(known))).select("source", F.lit("unknown source").alias("error"))
     if dry_run:
-        return Run(None, None, entities, counts, merged, merge.misses, errors)
+        return Run(None, None, entities, counts, merged, errors, merge)
     # the merge's order decides which of two entities with one key comes first
     batch = to_entities(with_timeline(kept, now), now, "first_ord")
     old = entities.withColumn("created_at", F.lit(now)).limit(0) if stored is None else stored
     state, actions = upsert(old, batch, now, order="first_ord")
-    return Run(state, actions, entities, counts, merged, merge.misses, errors)
+    return Run(state, actions, entities, counts, merged, errors, merge)

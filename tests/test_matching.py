@@ -127,6 +127,20 @@ def test_windows_leave_nothing_to_later_rounds(spark, monkeypatch, window):
     assert len(rounds) == 1
 
 
+def test_a_run_scores_names_below_the_bound_only_for_near_misses(spark, monkeypatch):
+    from tallymere.operators.scrape import run_records
+
+    r = random.Random(5)
+    bounds, similar = [], match.similar_names
+    monkeypatch.setattr(match, "similar_names", lambda names, scratch, least=match.NEAR, block=None: bounds.append(least) or similar(names, scratch, least, block))
+    records = spark.createDataFrame([record(r, i) for i in range(40)], STD_RECORD)
+    run = run_records(records, ["upstox", "nse", "groww", "zerodha"], None, "2026-06-01T00:00:00.000Z", dry_run=True)
+    assert run.merged.first()["records"] == 40 and bounds == [match.SAME]
+    assert run.borderline.count() > 0 and bounds == [match.SAME, match.NEAR]
+    bounds.clear()
+    assert match.deduplicate(records, near=True).misses.count() == run.borderline.count() and bounds == [match.NEAR]
+
+
 def test_no_records(spark):
     out = match.deduplicate(spark.createDataFrame([], STD_RECORD))
     assert out.masters.count() == 0 and out.misses.count() == 0 and out.members.count() == 0

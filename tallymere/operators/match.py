@@ -257,24 +257,27 @@ def _matched(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarr
     return taken, used
 
 
-def _exact(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray, taken: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """Scores from matched characters, in the steps of functions.similarity, so the numbers are the same."""
+def _exact(a: _Side, b: _Side, i: np.ndarray, j: np.ndarray, taken: np.ndarray, used: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """Scores from matched characters, in the steps of functions.similarity, so the numbers are the same. Those below ``least`` can be given as 0: a pair goes no further than the characters out of order that it may have."""
     one = np.uint64(1)
     m, moved = np.bitwise_count(taken).astype(np.int64), np.zeros(len(i), np.int64)
-    left, right, rest = taken, used, np.arange(len(i))
-    while True:
-        more = left != 0
-        left, right, rest = left[more], right[more], rest[more]
-        if not len(rest):
-            break
+    prefix = _prefix(a.codes[i], b.codes[j])
+    jaro = (least - 0.1 * prefix) / (1 - 0.1 * prefix)
+    most = 2 * m * (m / a.n[i] + m / b.n[j] + 1 - 3 * jaro) + 1e-6
+    rest = np.nonzero(taken)[0]
+    left, right = taken[rest], used[rest]
+    while len(rest):
         at = [np.bitwise_count((bits & (~bits + one)) - one) for bits in (left, right)]
         moved[rest] += a.codes[i[rest], at[0]] != b.codes[j[rest], at[1]]
         left, right = left & (left - one), right & (right - one)
-    prefix = _prefix(a.codes[i], b.codes[j])
+        more = (left != 0) & (moved[rest] <= most[rest])
+        left, right, rest = left[more], right[more], rest[more]
     with np.errstate(divide="ignore", invalid="ignore"):
         jaro = (m / a.n[i] + m / b.n[j] + (m - moved / 2) / m) / 3
-    out = np.where(m == 0, 0.0, jaro + prefix * 0.1 * (1 - jaro))
-    return np.where((a.n[i] == b.n[j]) & (a.codes[i] == b.codes[j]).all(1), 1.0, out)
+    out = np.where((m == 0) | (moved > most), 0.0, jaro + prefix * 0.1 * (1 - jaro))
+    same = np.nonzero((a.n[i] == b.n[j]) & (m == a.n[i]) & (moved == 0) | (a.n[i] == 1) & (b.n[j] == 1))[0]
+    out[same[(a.codes[i[same]] == b.codes[j[same]]).all(1)]] = 1.0
+    return out
 
 
 def _long_pairs(x: list[str], y: list[str], least: float, both: bool, rows: int = 500) -> Iterator[tuple[list[str], list[str], np.ndarray, np.ndarray | None]]:
@@ -304,19 +307,28 @@ def _long_pairs(x: list[str], y: list[str], least: float, both: bool, rows: int
                 yield left, right, scores(right, left), scores(left, right) if both else None
 
 
-def scored_pairs(x: list[str], y: list[str], least: float, both: bool, chunk: int = 20_000) -> tuple[list[str], list[str], np.ndarray, np.ndarray | None]:
+def scored_pairs(x: list[str], y: list[str], least: float, both: bool, chunk: int = 20_000, rising: bool = False) -> tuple[list[str], list[str], np.ndarray, np.ndarray | None]:
     """Pairs of two lists of non-empty texts with the scores of (y, x), and if ``both`` of (x, y) too, of which one is at least ``least``; loses none.
 
     Characters that match within the window are as many in both directions, as those of a kind are taken first to first; so the first
-    direction's number bounds both, whatever the order of the characters.  Texts of more than 64 characters, or beyond 256 kinds of them, have no bits and go by products and columns.
+    direction's number bounds both, whatever the order of the characters.  ``rising``: instead, the score in one direction, from the lesser to the greater text, and
+    the texts in that order; equal texts are no pair, and if the lists are the same, a pair stands once.  Texts of more than 64 characters, or beyond 256 kinds of them, have no bits and go by products and columns.
     """
     kinds = set("".join(itertools.chain(x, y)))
     if len(kinds) > 256:
         kinds = {c for c, _ in Counter(itertools.chain.from_iterable(itertools.chain(x, y))).most_common(256)}
     short, long = ([[t for t in side if (len(t) <= 64 and kinds.issuperset(t)) == fits] for side in (x, y)] for fits in (True, False))
-    found = [_short_pairs(*short, least, both, chunk)] if all(short) else []
+    long_texts, same = set(long[0]), rising and x == y
+    found = [_short_pairs(*short, least, both, chunk, rising, same)] if all(short) else []
     for of, others in ((long[0], y), (short[0], long[1])):
-        for left, right, back, there in _long_pairs(of, others, least, both):
+        if same and of is not long[0]:
+            continue  # these stand among the pairs of long texts with all
+        for left, right, back, there in _long_pairs(of, others, least, both or rising):
+            if rising:
+                kept = [k for k, (p, q) in enumerate(zip(left, right, strict=True)) if (there[k] if p < q else back[k]) >= least and p != q and not (same and p > q and q in long_texts)]
+                pairs = [(left[k], right[k], there[k]) if left[k] < right[k] else (right[k], left[k], back[k]) for k in kept]
+                found.append(([p for p, _, _ in pairs], [q for _, q, _ in pairs], np.array([s for _, _, s in pairs], float), None))
+                continue
             kept = np.nonzero((back if there is None else np.maximum(back, there)) >= least)[0]
             found.append(([left[k] for k in kept], [right[k] for k in kept], back[kept], None if there is None else there[kept]))
     none = np.zeros(0)
@@ -324,7 +336,7 @@ def scored_pairs(x: list[str], y: list[str], least: float, both: bool, chunk: in
     return left, right, np.concatenate([none, *(f[2] for f in found)]), np.concatenate([none, *(f[3] for f in found)]) if both else None
 
 
-def _short_pairs(x: list[str], y: list[str], least: float, both: bool, chunk: int) -> tuple[list[str], list[str], np.ndarray, np.ndarray | None]:
+def _short_pairs(x: list[str], y: list[str], least: float, both: bool, chunk: int, rising: bool = False, same: bool = False) -> tuple[list[str], list[str], np.ndarray, np.ndarray | None]:
     """scored_pairs of texts of at most 64 characters, of at most 256 kinds."""
     width = max(4, *map(len, x), *map(len, y))
     a, b = _Side(sorted(x, key=len), width), _Side(sorted(y, key=len), width)
@@ -332,40 +344,67 @@ def _short_pairs(x: list[str], y: list[str], least: float, both: bool, chunk: in
     for side in (a, b):
         side.number(alphabet)
     none = np.zeros(0, np.int64), np.zeros(0)
+
+    def scored(one: _Side, other: _Side, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs that may reach ``least`` by their matched characters, and their scores from ``one`` to ``other``, 0 for some below it."""
+        order = np.argsort(-one.n[i], kind="stable")
+        i, j = i[order], j[order]
+        taken, used = _matched(one, other, i, j)
+        count = np.bitwise_count(taken).astype(np.float64)
+        jaro = np.where(count > 0, (count / one.n[i] + count / other.n[j] + 1) / 3, 0)
+        # texts of one character match nothing within the window, yet equal ones score 1
+        kept = (jaro + 0.1 * _prefix(one.codes[i], other.codes[j]) * (1 - jaro) >= least - 1e-9) | ((one.n[i] == 1) & (other.n[j] == 1))
+        i, j = i[kept], j[kept]
+        return i, j, _exact(one, other, i, j, taken[kept], used[kept], least)
+
+    if rising:
+        at = {t: k for k, t in enumerate(sorted({*x, *y}))}
+        ranks = [np.array([at[t] for t in side.texts]) for side in (a, b)]
+        left, right, found = [], [], [none[1]]
+        for i, j in _shared_pairs(a, b, least):
+            lesser, greater = ranks[0][i] < ranks[1][j], ranks[0][i] > ranks[1][j]
+            for (one, other), p, q in (((a, b), i[lesser], j[lesser]), *([] if same else [((b, a), j[greater], i[greater])])):
+                for lo in range(0, len(p), chunk):
+                    u, v, score = scored(one, other, p[lo : lo + chunk], q[lo : lo + chunk], least)
+                    kept = np.nonzero(score >= least)[0]
+                    left += [one.texts[k] for k in u[kept]]
+                    right += [other.texts[k] for k in v[kept]]
+                    found.append(score[kept])
+        return left, right, np.concatenate(found), None
     out = [(none[0], none[0], none[1], none[1])]
     for i, j in _shared_pairs(a, b, least):
         for lo in range(0, len(i), chunk):
-            p, q = i[lo : lo + chunk], j[lo : lo + chunk]
-            order = np.argsort(-b.n[q], kind="stable")
-            p, q = p[order], q[order]
-            taken, used = _matched(b, a, q, p)
-            count = np.bitwise_count(taken).astype(np.float64)
-            jaro = np.where(count > 0, (count / a.n[p] + count / b.n[q] + 1) / 3, 0)
-            # texts of one character match nothing within the window, yet equal ones score 1
-            kept = (jaro + 0.1 * _prefix(a.codes[p], b.codes[q]) * (1 - jaro) >= least - 1e-9) | ((a.n[p] == 1) & (b.n[q] == 1))
-            p, q = p[kept], q[kept]
-            back, there = _exact(b, a, q, p, taken[kept], used[kept]), None
+            q, p, back = scored(b, a, j[lo : lo + chunk], i[lo : lo + chunk], least)
+            there = None
             if both:
                 order = np.argsort(-a.n[p], kind="stable")
                 p, q, back = p[order], q[order], back[order]
-                there = _exact(a, b, p, q, *_matched(a, b, p, q))
+                there = _exact(a, b, p, q, *_matched(a, b, p, q), least)
             kept = np.nonzero((back if there is None else np.maximum(back, there)) >= least)[0]
-            out.append((p[kept], q[kept], back[kept], None if there is None else there[kept]))
+            p, q, back = p[kept], q[kept], back[kept]
+            if both:
+                # what is below the bound in one direction alone counts as it is, too
+                there = there[kept]
+                for one, other, u, v, score in ((b, a, q, p, back), (a, b, p, q, there)):
+                    low = np.nonzero(score < least)[0]
+                    low = low[np.argsort(-one.n[u[low]], kind="stable")]
+                    score[low] = _exact(one, other, u[low], v[low], *_matched(one, other, u[low], v[low]))
+            out.append((p, q, back, there))
     i, j, back = (np.concatenate([o[k] for o in out]) for k in range(3))
     return [a.texts[k] for k in i], [b.texts[k] for k in j], back, np.concatenate([o[3] for o in out]) if both else None
 
 
-def _met(left: DataFrame, right: DataFrame, least: float, both: bool, groups: int, best: bool = False) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, least: float, both: bool, groups: int, best: bool = False, rising: bool = False) -> DataFrame:
     """Pairs x, y with score of two dealt sides (i, j, x) and (i, j, y). ``both``: of one set of names dealt as both sides, each pair in both directions.
 
-    ``best``: of a group's pairs, those with the highest score of their x.
+    ``best``: of a group's pairs, those with the highest score of their x.  ``rising``: of one set dealt so, each pair once, x before y.
     """
 
     def pairs(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         x, y = sorted(a["x"].to_pylist()), sorted(b["y"].to_pylist())
         if not x or not y:
             return pa.table({"x": pa.array([], pa.string()), "y": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
-        left, right, back, there = scored_pairs(x, y, least, both)
+        left, right, back, there = scored_pairs(x, y, least, both, rising=rising)
         # in one set the score is that of (x, y), between two sets that of (y, x)
         found = [(left, right, there), (right, left, back)] if both else [(left, right, back)]
         found = [pa.table({"x": pa.array(p, pa.string()), "y": pa.array(q, pa.string()), "score": r}).filter(pa.array(r >= least)) for p, q, r in found]
@@ -431,8 +470,8 @@ def _blocks(names: DataFrame, block: int | None, most: int) -> _Blocks:
     return _Blocks(names.select("name", place.alias("b")), bands or [(0, 0, 1)], max(total, 1))
 
 
-def similar_names(names: DataFrame, scratch: Scratch, least: float = NEAR, block: int | None = None) -> DataFrame:
-    """Of distinct non-empty names (column name), pairs x, y with score of (x, y) at least ``least``, in both directions.
+def similar_names(names: DataFrame, scratch: Scratch, least: float = NEAR, block: int | None = None, rising: bool = False) -> DataFrame:
+    """Of distinct non-empty names (column name), pairs x, y with score of (x, y) at least ``least``, in both directions, or if ``rising`` those with x before y.
 
     Names are dealt into blocks by length, and each pair of blocks whose lengths allow it is one group of at most two blocks.
     """
@@ -442,7 +481,7 @@ def similar_names(names: DataFrame, scratch: Scratch, least: float = NEAR, block
     first, last = (dealt.of_band([ends[k] for ends in near]) for k in range(2))
     left = dealt.names.select("name", "b", F.explode(F.sequence(F.col("b"), last)).alias("other")).select(F.col("b").alias("i"), F.col("other").alias("j"), F.col("name").alias("x"))
     right = dealt.names.select(F.explode(F.sequence(first, F.col("b"))).alias("i"), F.col("b").alias("j"), F.col("name").alias("y"))
-    met = scratch.save(_met(left, right, least, True, dealt.total * (dealt.total + 1) // 2), "similar-names")
+    met = scratch.save(_met(left, right, least, not rising, dealt.total * (dealt.total + 1) // 2, rising=rising), "similar-names")
     scratch.drop("names")
     return met
 

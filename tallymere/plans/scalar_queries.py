@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, names, numbers
 from ..functions.similarity import jaro_winkler
-from ..operators.match import similar_names
+from ..operators.match import SAME, similar_names
 from ..sources.html import link_targets
 from .catalog import TODAY, query, table
 from .feeds import BASE, base
@@ -201,8 +201,8 @@ p AS (SELECT row_number() OVER () AS id, x.a, y.a AS b FROM k x JOIN k y ON x.a
 @query(f"WITH RECURSIVE {PAIRS} SELECT a AS x, b AS y, round(score, 9) AS score FROM jw WHERE score >= 0.9")
 def q_fuzzy_pairs(spark, sf_dir):
     k = base(spark, sf_dir).select(names.company_key(F.col("name")).alias("name")).where("name <> ''").distinct()
-    pairs = similar_names(k, Scratch(spark, "fuzzy-pairs"))
-    return pairs.where("x < y and score >= 0.9").select("x", "y", F.round("score", 9).alias("score"))
+    pairs = similar_names(k, Scratch(spark, "fuzzy-pairs"), SAME, rising=True)
+    return pairs.select("x", "y", F.round("score", 9).alias("score"))
 
 
 @query(f"WITH RECURSIVE {PAIRS} SELECT a AS x, b AS y, round(score, 9) AS score FROM jw WHERE score >= 0.85 AND score < 0.9")

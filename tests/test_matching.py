@@ -180,6 +180,30 @@ def test_scores_by_bits_equal_the_plain_ones():
         assert got == {p: s for p, s in every.items() if max(s) >= 0.85} and len(left) == len(got)
 
 
+def test_rising_pairs_are_scored_in_one_direction():
+    """Short and long texts, a list with itself and two lists, of which a pair stands once."""
+    r = random.Random(4)
+    for longest, least in ((6, 0.9), (30, 0.85), (64, 0.85), (90, 0.85)):
+        texts = sorted({"".join(r.choice("abc dé"[: r.randint(1, 6)]) for _ in range(r.randint(1, longest))) for _ in range(240)})
+        for x, y in ((texts, texts), (texts[::2], texts[1::2])):
+            left, right, found, _ = match.scored_pairs(x, y, least, False, chunk=50, rising=True)
+            every = {(min(a, b), max(a, b)): plain_jaro_winkler(min(a, b), max(a, b)) for a in x for b in y if a != b}
+            assert dict(zip(zip(left, right, strict=True), found.tolist(), strict=True)) == {p: s for p, s in every.items() if s >= least} and len(left) == len({*zip(left, right, strict=True)})
+
+
+def test_similar_names_of_the_query_reach_its_bound(spark, tmp_path, monkeypatch):
+    """q_fuzzy_pairs asks for no pair below 0.9, and for each in one direction."""
+    from tallymere.plans import scalar_queries
+
+    asked, similar = [], match.similar_names
+    monkeypatch.setattr(scalar_queries, "similar_names", lambda *args, **more: asked.append((args[2], more)) or similar(*args, **more))
+    spark.createDataFrame([(16 * k + 15, f"apex logistic{c} x", 5) for k, c in enumerate("abc")], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = scalar_queries.q_fuzzy_pairs(spark, str(tmp_path)).collect()
+    names = [f"apex logistic{c} x" for c in "abc"]
+    assert sorted(tuple(r) for r in got) == [(a, b, round(plain_jaro_winkler(a, b), 9)) for k, a in enumerate(names) for b in names[k + 1 :]]
+    assert asked == [(match.SAME, {"rising": True})]
+
+
 def test_texts_without_pairs_or_window():
     assert match.scored_pairs(["x"], ["y"], 0.9, False)[0] == []
     assert match.scored_pairs(["x"], ["x"], 0.9, True)[2].tolist() == [1.0]
